@@ -28,13 +28,20 @@ CTES: dict[str, tuple[str, ...]] = {
     "qe": ("SELECT q, src, dst, type FROM pr WHERE q <> ''", "pr"),
     "qc": ("SELECT DISTINCT q, src AS claim_id FROM qe UNION SELECT DISTINCT q, dst FROM qe", "qe"),
     "qs": ("SELECT qc.q, count(DISTINCT ak.sk) AS n_sources FROM qc JOIN ak ON ak.node_id = qc.claim_id WHERE sk IS NOT NULL GROUP BY qc.q", "qc", "ak"),
+    "pc": ("SELECT q, count(*) AS edge_count, count(*) FILTER (WHERE type = 'contradicts') AS n_contra, count(*) FILTER (WHERE type = 'weak_contradicts') AS n_weak, count(*) FILTER (WHERE type = 'quantitative_divergence') AS n_div, count(*) FILTER (WHERE type = 'self_inconsistency') AS n_self FROM qe GROUP BY q", "qe"),
     "pp": (
-        "SELECT e.q, count(*) AS edge_count, count(*) FILTER (WHERE type = 'contradicts') AS n_contra, count(*) FILTER (WHERE type = 'weak_contradicts') AS n_weak, count(*) FILTER (WHERE type = 'quantitative_divergence') AS n_div, "
-        "count(*) FILTER (WHERE type = 'self_inconsistency') AS n_self, coalesce(max(s.n_sources), 0) AS n_sources, CASE WHEN count(*) FILTER (WHERE type = 'contradicts') > 0 THEN 'contested' WHEN count(*) FILTER (WHERE type = 'quantitative_divergence') > 0 THEN 'divergent' "
-        "WHEN count(*) FILTER (WHERE type = 'self_inconsistency') > 0 THEN 'single_author_tension' WHEN count(*) FILTER (WHERE type = 'weak_contradicts') > 0 THEN 'weak_tension' ELSE 'open' END AS status FROM qe e LEFT JOIN qs s ON s.q = e.q GROUP BY e.q",
-        "qe", "qs",
+        "SELECT c.*, coalesce(s.n_sources, 0) AS n_sources, CASE WHEN n_contra > 0 AND coalesce(s.n_sources, 0) >= 2 THEN 'contested' WHEN n_div > 0 THEN 'divergent' WHEN n_self > 0 AND n_self = edge_count THEN 'single_author_tension' "
+        "WHEN n_weak > 0 AND n_weak = edge_count THEN 'weak_tension' ELSE 'open' END AS status FROM pc c LEFT JOIN qs s ON s.q = c.q",
+        "pc", "qs",
+    ),
+    "bm": (
+        "SELECT crux, q, j, shared FROM (SELECT *, row_number() OVER (PARTITION BY crux ORDER BY j DESC NULLS LAST, shared DESC NULLS LAST, q) AS k FROM (SELECT c.crux, m.q, m.shared, round(m.shared::DOUBLE / (c.nc + p.np - m.shared), 4) AS j "
+        "FROM (SELECT crux, count(*) AS nc FROM (SELECT DISTINCT crux, claim_id FROM cx) GROUP BY 1) c LEFT JOIN (SELECT x.crux, y.q, count(*) AS shared FROM (SELECT DISTINCT crux, claim_id FROM cx) x JOIN qc y ON y.claim_id = x.claim_id GROUP BY 1, 2) m ON m.crux = c.crux "
+        "LEFT JOIN (SELECT q, count(*) AS np FROM qc GROUP BY 1) p ON p.q = m.q)) WHERE k = 1",
+        "cx", "qc",
     ),
     "cx": ("SELECT DISTINCT key_question AS crux, id AS claim_id, case_name, evidential_weight AS w FROM nd WHERE type = 'claim' AND coalesce(trim(key_question), '') <> ''", "nd"),
+    "ct": ("SELECT DISTINCT c.crux, n.case_name || '/' || coalesce(nullif(trim(n.subfield), ''), 'Uncategorized') AS theme FROM cx c JOIN nd n ON n.id = c.claim_id", "cx", "nd"),
     "th": ("SELECT DISTINCT case_name || '/' || coalesce(nullif(trim(subfield), ''), 'Uncategorized') AS theme, id, content, needs FROM (SELECT *, coalesce(specificity_score < 0.3, false) OR NOT coalesce(quote_grounded, false) OR coalesce(polarity_risk IN ('high', 'conflict'), false) AS needs FROM nd) WHERE type = 'presupposition'", "nd"),
 }
 
