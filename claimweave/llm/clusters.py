@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.components import seed_tree_components
 from claimweave.llm.hashing import flat_of, list_array
-from claimweave.llm.wordsets import bucket_of, classes_of, document_frequency, word_rows
+from claimweave.llm.wordsets import BROADCAST_ROWS, bucket_of, classes_of, document_frequency, word_rows
 from claimweave.runtime import ship, small_enough, stash
 
 LIKENESS = 0.3
-#: Inner nodes (rarest words shared by at least two records) under which a record or leaf is filed.
-ROUTES = 5
+#: A record or leaf is filed under those of its ROUTES rarest words that another record may share, and under LEAST in any case.
+ROUTES, LEAST = 4, 2
 #: Leaves a tree holds before it is written out and begun anew.
 TREE_LEAVES = 40_000
 #: Words a leaf counts; the least frequent half is dropped beyond.
@@ -29,21 +29,26 @@ HOT_CLUSTER, SALTS = 20_000, 16
 TYPICAL = 5
 
 
-def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of words, within each set from the rarest to the most frequent; words of one record only come last."""
+def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of words, within each set from the rarest to the most frequent, and which of them it is filed under."""
     n = counts[bucket_of(words)].astype(np.int64)
-    n[n < 2] = np.iinfo(np.int64).max
     row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    return np.lexsort((words, n, row))
+    order = np.lexsort((words, n, row))
+    alone = n[order] < 2
+    place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
+    before = np.concatenate([[0], np.cumsum(~alone)])
+    shared_place = before[:-1] - np.repeat(before[starts[:-1]], np.diff(starts)) if len(words) else place
+    return order, ~alone & ((place < ROUTES) | (shared_place < LEAST))
 
 
 class Leaf:
     """A cluster feature: N, the linear sum per word, and the words most of its records have (its rounded centroid)."""
 
-    __slots__ = ("id", "n", "sums", "core", "seed", "due")
+    __slots__ = ("id", "n", "sums", "core", "odd", "size", "seed", "due")
 
-    def __init__(self, cid: int, words: list[int]):
+    def __init__(self, cid: int, words: list[int], odd: int):
         self.id, self.n, self.core, self.seed, self.due = cid, 1, frozenset(words), words, 2
+        self.odd, self.size = odd, len(words)
         self.sums = dict.fromkeys(words, 1)
 
     def add(self, words: list[int]) -> None:
@@ -57,10 +62,18 @@ class Leaf:
         if self.n >= self.due:
             core = frozenset(w for w, c in sums.items() if 2 * c > self.n)
             if core:
-                self.core = core
+                self.core, self.odd, self.size = core, odd_bits(core), len(core)
             self.due = self.n + 1 + self.n // 3
 
 
+def odd_bits(words) -> int:
+    """256 parity bits of a set: two sets differ in at least as many words as their bits do."""
+    out = 0
+    for w in words:
+        out ^= 1 << (w & 255)
+    return out
+
+
 def likeness(a: frozenset | set, b: frozenset | set) -> float:
     shared = len(a & b)
     either = len(a) + len(b) - shared
@@ -68,10 +81,12 @@ def likeness(a: frozenset | set, b: frozenset | set) -> float:
 
 
 def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
-    """(leaf, cid, n, core, seed, routes): a row per record with its leaf, and (cid null) a row per leaf with its summary."""
+    """(leaf, cid, n, core, seed, routes): a row per record with its leaf and (as core) its words, and a row per leaf (cid
+    null) with its summary."""
 
     def run(batches):
         counts = counts_bc.value
+        apart = (1 - threshold) / (1 + threshold) + 1e-9  # of all their words, sets at the threshold differ in so many at most
         leaves: list[Leaf] = []
         filed: dict[int, list[Leaf]] = {}
 
@@ -82,8 +97,9 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
                 sizes = np.array([len(c) for c in core], np.int64)
                 flat = np.array([w for c in core for w in c], np.int64)
                 starts = np.concatenate([[0], np.cumsum(sizes)])
-                order = rare_first(flat, starts, counts)
-                routes = [flat[order[a : min(b, a + ROUTES)]].tolist() for a, b in zip(starts[:-1], starts[1:])]
+                order, filed_under = rare_first(flat, starts, counts)
+                ranked = flat[order]
+                routes = [ranked[a:b][filed_under[a:b]].tolist() for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x.id for x in some], pa.int64()),
@@ -99,34 +115,39 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
         for batch in batches:
             cids = batch.column(0).to_pylist()
             flat, starts = flat_of(batch.column(1))
-            order = rare_first(flat, starts, counts)
+            order, take = rare_first(flat, starts, counts)
             ranked = flat[order].tolist()
+            routes = flat[order][take].tolist()
+            ends = np.concatenate([[0], np.cumsum(take)])[starts].tolist()
             bounds = starts.tolist()
             where = []
             for i, cid in enumerate(cids):
                 words = ranked[bounds[i] : bounds[i + 1]]
-                have = set(words)
+                have, odd, size = set(words), odd_bits(words), len(words)
                 best, near = None, threshold
                 tried = set()
-                for r in words[:ROUTES]:
+                under = routes[ends[i] : ends[i + 1]]
+                for r in under:
                     for leaf in filed.get(r, ()):
                         if leaf.id in tried:
                             continue
                         tried.add(leaf.id)
+                        if (odd ^ leaf.odd).bit_count() > apart * (size + leaf.size):
+                            continue
                         s = likeness(have, leaf.core)
                         if s >= near and (best is None or s > near):
                             best, near = leaf, s
                 if best is None:
-                    best = Leaf(cid, words)
+                    best = Leaf(cid, words, odd)
                     leaves.append(best)
-                    for r in words[:ROUTES]:
+                    for r in under:
                         filed.setdefault(r, []).append(best)
                 else:
                     best.add(words)
                 where.append(best.id)
             k = len(cids)
             none = pa.ListArray.from_arrays(pa.array(np.zeros(k + 1, np.int32)), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(k, pa.int64()), none, none, none], ["leaf", "cid", "n", "core", "seed", "routes"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(k, pa.int64()), batch.column(1), none, none], ["leaf", "cid", "n", "core", "seed", "routes"])
             if len(leaves) > TREE_LEAVES:
                 yield from summaries()
                 leaves, filed = [], {}
@@ -180,7 +201,7 @@ def ward_links(leaves: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     # the low half of a 64-bit word hash
-    narrow = F.expr("transform(core, w -> cast(w & 4294967295L as bigint))")
+    narrow = F.expr("transform(core, w -> cast((w & 4294967295L) - 2147483648L as int))")
     filed = leaves.select(F.explode("routes").alias("route"), "leaf", "n", narrow.alias("core"))
     filed = filed.repartition("route").sortWithinPartitions("route", F.desc("n"), "leaf")
     return filed.select("route", "leaf", "n", "core").mapInArrow(run, "a bigint, b bigint")
@@ -196,11 +217,13 @@ def nearness(joined: DataFrame, threshold: float) -> DataFrame:
             near, ok = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             wl, cl, rl = w[0].tolist(), c[0].tolist(), r[0].tolist()
             ws, cs, rs = w[1].tolist(), c[1].tolist(), r[1].tolist()
-            for i in range(batch.num_rows):
+            last = None
+            for i, cluster in enumerate(batch.column(1).to_pylist()):
+                if cluster != last:  # rows of one cluster mostly follow each other
+                    last, core, rep = cluster, set(cl[cs[i] : cs[i + 1]]), set(rl[rs[i] : rs[i + 1]])
                 have = set(wl[ws[i] : ws[i + 1]])
-                near[i] = likeness(have, set(cl[cs[i] : cs[i + 1]]))
-                rep = rl[rs[i] : rs[i + 1]]
-                ok[i] = likeness(have, set(rep)) >= threshold - 1e-9 if rep else near[i] >= threshold - 1e-9
+                near[i] = likeness(have, core)
+                ok[i] = likeness(have, rep) >= threshold - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(ok)], ["cid", "cluster", "near", "ok"])
 
     return joined.select("cid", "cluster", "words", "core", "rep").mapInArrow(run, "cid bigint, cluster bigint, near double, ok boolean")
@@ -213,9 +236,7 @@ def _routes_of(classes: DataFrame, counts_bc) -> DataFrame:
         counts = counts_bc.value
         for batch in batches:
             flat, starts = flat_of(batch.column(1))
-            order = rare_first(flat, starts, counts)
-            pos = np.arange(len(flat)) - np.repeat(starts[:-1], np.diff(starts))
-            take = pos < ROUTES
+            order, take = rare_first(flat, starts, counts)
             row = np.repeat(batch.column(0).to_numpy(), np.diff(starts))
             yield pa.RecordBatch.from_arrays([pa.array(flat[order][take]), pa.array(row[take])], ["route", "cid"])
 
@@ -229,33 +250,34 @@ def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str =
     counts_bc = spark.sparkContext.broadcast(counts.astype(np.int32))
     rows = stash(leaf_rows(classes, counts_bc, threshold), label + "-l")
     leaves = rows.where("cid IS NULL").select("leaf", "n", "core", "seed", "routes")
-    records = rows.where("cid IS NOT NULL").select("cid", "leaf")
+    records = rows.where("cid IS NOT NULL").select("cid", "leaf", F.col("core").alias("words"))
     merged = seed_tree_components(ward_links(leaves, threshold), "a", "b", label)
     merged = stash(merged.select(F.col("id").alias("leaf"), F.col("group_id").alias("cluster")), label + "-w")
-    # summaries of the tree's top: one row per cluster of two or more records; it speaks through its largest leaf
-    top = leaves.select("leaf", "n").join(merged, "leaf", "left").select("leaf", "n", F.coalesce("cluster", "leaf").alias("cluster"))
-    top = top.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf"))).alias("leaf")).where("size > 1")
-    profile = stash(top.join(leaves, "leaf").select("cluster", "size", "core", F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"), "routes"), label + "-p")
+    # summaries of the trees' top: one row per cluster of two or more records; it speaks through its largest leaf
+    placed = stash(leaves.select("leaf", "n").join(merged, "leaf", "left").select("leaf", "n", F.coalesce("cluster", "leaf").alias("cluster")), label + "-t")
+    top = placed.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf"))).alias("best")).where("size > 1")
+    profile = stash(top.join(leaves.withColumnRenamed("leaf", "best"), "best").select("cluster", "size", "core", F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"), "routes"), label + "-p")
     # the assignment pass: records whose leaf belongs to such a cluster are compared with it
     hot = F.col("size") > HOT_CLUSTER
-    own = records.join(merged, "leaf", "left").select("cid", F.coalesce("cluster", "leaf").alias("cluster"))
-    own = own.join(profile.select("cluster", "size"), "cluster")
-    own = own.select("cid", "cluster", F.when(hot, F.pmod("cid", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"))
-    held = stash(own, label + "-o")
+    home = stash(placed.join(profile.select("cluster", hot.alias("hot")), "cluster").select("leaf", "cluster", "hot"), label + "-h")
+    home = F.broadcast(home) if small_enough(home, BROADCAST_ROWS) else home
+    held = records.join(home, "leaf").select("cid", "words", "cluster", F.when(F.col("hot"), F.pmod("cid", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"))
     salted = profile.select("cluster", "core", "rep", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    looked = stash(nearness(held.join(classes.select("cid", "words"), "cid").join(salted, ["cluster", "salt"]), threshold), label + "-n")
+    looked = stash(nearness(held.join(salted, ["cluster", "salt"]), threshold), label + "-n")
     sure = looked.where("ok").select("cid", "cluster", "near")
     # all others are compared with every cluster they meet in an inner node
-    others = classes.select("cid", "words").join(sure.select("cid"), "cid", "left_anti")
-    others = stash(others, label + "-r")
+    failed = looked.where("NOT ok").select("cid")
+    failed = F.broadcast(failed) if small_enough(failed, BROADCAST_ROWS) else failed
+    others = stash(records.join(home, "leaf", "left_anti").select("cid", "words").unionByName(records.join(failed, "cid", "left_semi").select("cid", "words")), label + "-r")
     met = _routes_of(others, counts_bc).join(profile.select(F.explode("routes").alias("route"), "cluster"), "route").select("cid", "cluster").distinct()
     tried = nearness(met.join(others, "cid").join(profile.select("cluster", "core", "rep"), "cluster"), threshold).where("ok")
-    late = stash(tried.groupBy("cid").agg(F.max_by(F.struct("cluster", "near"), F.struct("near", -F.col("cluster"))).alias("x")).select("cid", "x.cluster", "x.near"), label + "-b")
+    late = stash(tried.groupBy("cid").agg(F.max_by(F.struct("cluster", "near"), F.struct(F.col("near"), -F.col("cluster"))).alias("x")).select("cid", "x.cluster", "x.near"), label + "-b")
     found = sure.unionByName(late)
     # records that were summed up with others yet belong elsewhere start over among themselves
     astray = looked.where("NOT ok").select("cid").join(late.select("cid"), "cid", "left_anti")
     if depth > 1 and astray.limit(1).count():
-        found = found.unionByName(class_clusters(stash(others.join(astray, "cid", "left_semi").select("cid", F.size("words").alias("n"), "words"), label + "-z"), threshold, f"{label}{depth}", depth - 1))
+        again = stash(others.join(astray, "cid", "left_semi").select("cid", F.size("words").alias("n"), "words"), label + "-z")
+        found = found.unionByName(class_clusters(again, threshold, f"{label}{depth}", depth - 1))
     return found
 
 
