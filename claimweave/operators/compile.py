@@ -70,7 +70,8 @@ def source_importance(nodes: DataFrame, keyed: DataFrame, crux_claims: DataFrame
         F.count_if(F.col("sole") & (F.col("w") >= C.DEFAULT.high_weight)).alias("high_value_unique"),
         F.count_if("crux").alias("crux_claims_count"),
         F.count_if(F.col("crux") & F.col("sole")).alias("crux_exclusive_count"),
-        F.round(F.avg("w"), 3).alias("mean_evidential_weight"),
+        # three digits, half up, in integers: no sum of binary fractions decides a digit
+        (F.floor((2 * F.sum(F.round(F.col("w") * 10_000).cast("bigint")) + 10 * F.count("*")) / (20 * F.count("*"))) / 1000).alias("mean_evidential_weight"),
     )
     out = out.withColumn("epistemic_risk", F.round(2.0 * F.col("high_value_unique") + 3.0 * F.col("crux_exclusive_count") + 0.5 * F.col("unique_claims_count") + 0.25 * F.col("crux_claims_count"), 2))
     return out.withColumn("importance_tier", importance_tier())

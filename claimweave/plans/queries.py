@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimweave.plans import filters, joins, registry, scans  # noqa: F401
+from claimweave.plans import aggregates, boundary, clusters, filters, joins, registry, scans, texts  # noqa: F401
 
 
 def queries() -> dict:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_STASHED: set[str] = set()
 
 
 def session(app: str = "claimweave", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -50,11 +51,22 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/claimweave-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STASHED:
+        _STASHED.add(app)
+        atexit.register(_clean, spark)
+    path = f"{shared_dir(spark)}/claimweave-{app}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _clean(spark: SparkSession) -> None:
+    try:
+        drop_stashes(spark)
+    except Exception:  # the session is gone; the folder is the cluster's to clean
+        pass
+
+
 def drop_stashes(spark: SparkSession) -> None:
     """Remove every intermediate table this application wrote."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
