@@ -6,6 +6,8 @@ one whose demand vector has the largest weighted dot product with the room that
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,8 @@ from claimweave.runtime import ship, stash
 
 CAPACITY, SEGMENTS = 4096, 64
 #: Items packed together at once; containers filled below REPACK go into a second round.
-GROUP, REPACK = 4096, 0.97
+GROUP, REPACK = 2048, 0.97
+MOST_TASKS = 4096
 
 
 def items_of(docs: DataFrame, capacity: int = CAPACITY, path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -74,19 +77,21 @@ def packed(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
     limits = np.array([capacity, segments, loss_limit or capacity], dtype=float)
     schema = "doc_id bigint, piece int, n_pieces int, n_tokens int, loss_tokens int, container_id bigint, fill double"
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(turn: int, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         got = fill(np.stack([frame["n_tokens"], np.ones(len(frame)), frame["loss_tokens"]], axis=1).astype(float), limits)
         total = np.bincount(got, weights=frame["n_tokens"])
-        base = (int(key[1]) << 62) | (int(key[0]) << 24)
+        base = (turn << 62) | (int(key[0]) << 24)
         return frame[["doc_id", "piece", "n_pieces", "n_tokens", "loss_tokens"]].assign(container_id=base + got, fill=total[got] / capacity)
 
     items = stash(items, label + "-i")
     once = items
     for turn in range(2):
         groups = max(1, -(-once.count() // GROUP))
-        spread = once.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int")).withColumn("turn", F.lit(turn))
-        done = stash(spread.groupBy("g", "turn").applyInPandas(pack, schema), f"{label}-{turn}")
+        spread = once.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int"))
+        # a number of partitions is given, since groups are small in bytes but not in work
+        spread = spread.repartition(min(groups, MOST_TASKS), "g")
+        done = stash(spread.groupBy("g").applyInPandas(partial(pack, turn), schema), f"{label}-{turn}")
         if turn == 0:
             first, once = done, done.where(F.col("fill") < REPACK).drop("container_id", "fill")
     return first.where(F.col("fill") >= REPACK).unionByName(done).drop("fill")
