@@ -20,6 +20,10 @@ from claimweave.runtime import ship, small_enough, stash
 LIKENESS = 0.3
 #: A record or leaf is filed under those of its ROUTES rarest words that another record may share, and under LEAST in any case.
 ROUTES, LEAST = 4, 2
+#: A large cluster makes its own words frequent, so that its records are not filed under them. Records that meet nothing are
+#: therefore compared with the RECENT latest and the HEAVY largest leaves, and later with the HEAVY largest clusters: lists
+#: of fixed size that a cluster of any size beyond a small share of all rows is on.
+RECENT, HEAVY = 1024, 1024
 #: Leaves a tree holds before it is written out and begun anew.
 TREE_LEAVES = 40_000
 #: Words a leaf counts; the least frequent half is dropped beyond.
@@ -44,14 +48,15 @@ def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
 class Leaf:
     """A cluster feature: N, the linear sum per word, and the words most of its records have (its rounded centroid)."""
 
-    __slots__ = ("id", "n", "sums", "core", "odd", "size", "seed", "due")
+    __slots__ = ("id", "n", "sums", "core", "odd", "size", "seed", "due", "slots")
 
     def __init__(self, cid: int, words: list[int], odd: int):
         self.id, self.n, self.core, self.seed, self.due = cid, 1, frozenset(words), words, 2
-        self.odd, self.size = odd, len(words)
+        self.odd, self.size, self.slots = odd, len(words), []
         self.sums = dict.fromkeys(words, 1)
 
-    def add(self, words: list[int]) -> None:
+    def add(self, words: list[int]) -> bool:
+        """Sum one more record up; whether the centroid was taken anew."""
         self.n += 1
         sums = self.sums
         for w in words:
@@ -64,6 +69,8 @@ class Leaf:
             if core:
                 self.core, self.odd, self.size = core, odd_bits(core), len(core)
             self.due = self.n + 1 + self.n // 3
+            return True
+        return False
 
 
 def odd_bits(words) -> int:
@@ -74,6 +81,49 @@ def odd_bits(words) -> int:
     return out
 
 
+def odd_row(odd: int) -> np.ndarray:
+    return np.frombuffer(odd.to_bytes(32, "little"), dtype="<u8")
+
+
+class Shelf:
+    """The latest and the largest leaves of a tree, compared with a record all at once by their parity bits."""
+
+    def __init__(self):
+        k = RECENT + HEAVY
+        self.bits, self.size, self.n = np.zeros((k, 4), "<u8"), np.full(k, -(10**9), np.int64), np.zeros(k, np.int64)
+        self.leaves: list[Leaf | None] = [None] * k
+        self.turn = 0
+
+    def put(self, slot: int, leaf: Leaf) -> None:
+        old = self.leaves[slot]
+        if old is not None:
+            old.slots.remove(slot)
+        self.leaves[slot] = leaf
+        leaf.slots.append(slot)
+        self.changed(leaf)
+
+    def latest(self, leaf: Leaf) -> None:
+        self.put(self.turn % RECENT, leaf)
+        self.turn += 1
+
+    def changed(self, leaf: Leaf) -> None:
+        for slot in leaf.slots:
+            self.bits[slot], self.size[slot], self.n[slot] = odd_row(leaf.odd), leaf.size, leaf.n
+
+    def grown(self, leaf: Leaf) -> None:
+        """Called where a leaf reaches a power of two; the smallest leaf on the shelf of large ones makes room."""
+        if any(s >= RECENT for s in leaf.slots):
+            self.changed(leaf)
+            return
+        slot = RECENT + int(np.argmin(self.n[RECENT:]))
+        if self.n[slot] < leaf.n:
+            self.put(slot, leaf)
+
+    def near(self, odd: int, size: int, apart: float) -> list[Leaf]:
+        far = np.bitwise_count(self.bits ^ odd_row(odd)).sum(axis=1)
+        return [self.leaves[k] for k in np.flatnonzero(far <= apart * (self.size + size)).tolist()]
+
+
 def likeness(a: frozenset | set, b: frozenset | set) -> float:
     shared = len(a & b)
     either = len(a) + len(b) - shared
@@ -89,6 +139,7 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
         apart = (1 - threshold) / (1 + threshold) + 1e-9  # of all their words, sets at the threshold differ in so many at most
         leaves: list[Leaf] = []
         filed: dict[int, list[Leaf]] = {}
+        shelf = Shelf()
 
         def summaries():
             for lo in range(0, len(leaves), 4000):
@@ -137,20 +188,29 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
                         s = likeness(have, leaf.core)
                         if s >= near and (best is None or s > near):
                             best, near = leaf, s
+                if best is None:
+                    for leaf in shelf.near(odd, size, apart):
+                        s = likeness(have, leaf.core)
+                        if s >= near and (best is None or s > near):
+                            best, near = leaf, s
                 if best is None:
                     best = Leaf(cid, words, odd)
                     leaves.append(best)
+                    shelf.latest(best)
                     for r in under:
                         filed.setdefault(r, []).append(best)
                 else:
-                    best.add(words)
+                    if best.add(words):
+                        shelf.changed(best)
+                    if best.n & (best.n - 1) == 0:
+                        shelf.grown(best)
                 where.append(best.id)
             k = len(cids)
             none = pa.ListArray.from_arrays(pa.array(np.zeros(k + 1, np.int32)), pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(k, pa.int64()), batch.column(1), none, none], ["leaf", "cid", "n", "core", "seed", "routes"])
             if len(leaves) > TREE_LEAVES:
                 yield from summaries()
-                leaves, filed = [], {}
+                leaves, filed, shelf = [], {}, Shelf()
         yield from summaries()
 
     return classes.select("cid", "words").mapInArrow(run, "leaf bigint, cid bigint, n bigint, core array<bigint>, seed array<bigint>, routes array<bigint>")
@@ -243,6 +303,53 @@ def _routes_of(classes: DataFrame, counts_bc) -> DataFrame:
     return classes.select("cid", "words").mapInArrow(run, "route bigint, cid bigint")
 
 
+def heavy_merges(heavy, threshold: float) -> dict[int, int]:
+    """Of the largest clusters (at most HEAVY rows: cluster, core) those to be renamed: their centroids reach the threshold."""
+    names, cores = heavy["cluster"].tolist(), [frozenset(map(int, c)) for c in heavy["core"]]
+    bits = np.array([odd_row(odd_bits(c)) for c in cores]).reshape(-1, 4)
+    size = np.array([len(c) for c in cores])
+    apart = (1 - threshold) / (1 + threshold) + 1e-9
+    goes = {c: c for c in names}
+
+    def root(c: int) -> int:
+        while goes[c] != c:
+            c = goes[c]
+        return c
+
+    for k in range(len(names)):
+        far = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1)
+        for j in (np.flatnonzero(far <= apart * (size[k + 1 :] + size[k])) + k + 1).tolist():
+            if likeness(cores[k], cores[j]) >= threshold:
+                a, b = root(names[k]), root(names[j])
+                goes[max(a, b)] = min(a, b)
+    return {c: root(c) for c in names if root(c) != c}
+
+
+def near_heavy(others: DataFrame, heavy, threshold: float) -> DataFrame:
+    """(cid, cluster, near) of records whose likeness to the representative of one of the largest clusters reaches the threshold."""
+    names = heavy["cluster"].tolist()
+    cores, reps = [frozenset(map(int, x)) for x in heavy["core"]], [frozenset(map(int, x)) for x in heavy["rep"]]
+    bits = np.array([odd_row(odd_bits(r)) for r in reps], dtype="<u8").reshape(-1, 4)
+    size = np.array([len(r) for r in reps], dtype=np.int64)
+    apart = (1 - threshold) / (1 + threshold) + 1e-9
+
+    def run(batches):
+        for batch in batches:
+            flat, starts = flat_of(batch.column(1))
+            fl, st = flat.tolist(), starts.tolist()
+            out: list[tuple[int, int, float]] = []
+            for i, cid in enumerate(batch.column(0).to_pylist()):
+                have = set(fl[st[i] : st[i + 1]])
+                far = np.bitwise_count(bits ^ odd_row(odd_bits(have))).sum(axis=1)
+                for k in np.flatnonzero(far <= apart * (size + len(have))).tolist():
+                    if likeness(have, reps[k]) >= threshold - 1e-9:
+                        out.append((cid, names[k], likeness(have, cores[k])))
+            c = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["cid", "cluster", "near"])
+
+    return others.mapInArrow(run, "cid bigint, cluster bigint, near double")
+
+
 def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str = "clusters", depth: int = 3) -> DataFrame:
     """(cid, cluster, near): the cluster of every class that shares one with another class, as a written table."""
     spark = classes.sparkSession
@@ -255,7 +362,13 @@ def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str =
     merged = stash(merged.select(F.col("id").alias("leaf"), F.col("group_id").alias("cluster")), label + "-w")
     # summaries of the trees' top: one row per cluster of two or more records; it speaks through its largest leaf
     placed = stash(leaves.select("leaf", "n").join(merged, "leaf", "left").select("leaf", "n", F.coalesce("cluster", "leaf").alias("cluster")), label + "-t")
-    top = placed.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf"))).alias("best")).where("size > 1")
+    summed = lambda df: df.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf"))).alias("best")).where("size > 1")
+    largest = summed(placed).orderBy(F.desc("size"), "cluster").limit(HEAVY)
+    renamed = heavy_merges(largest.join(leaves.withColumnRenamed("leaf", "best"), "best").select("cluster", "core").toPandas(), threshold)
+    if renamed:  # at most HEAVY rows
+        names = spark.createDataFrame(list(renamed.items()), "cluster bigint, renamed bigint")
+        placed = placed.join(F.broadcast(names), "cluster", "left").select("leaf", "n", F.coalesce("renamed", "cluster").alias("cluster"))
+    top = summed(placed)
     profile = stash(top.join(leaves.withColumnRenamed("leaf", "best"), "best").select("cluster", "size", "core", F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"), "routes"), label + "-p")
     # the assignment pass: records whose leaf belongs to such a cluster are compared with it
     hot = F.col("size") > HOT_CLUSTER
@@ -271,6 +384,8 @@ def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str =
     others = stash(records.join(home, "leaf", "left_anti").select("cid", "words").unionByName(records.join(failed, "cid", "left_semi").select("cid", "words")), label + "-r")
     met = _routes_of(others, counts_bc).join(profile.select(F.explode("routes").alias("route"), "cluster"), "route").select("cid", "cluster").distinct()
     tried = nearness(met.join(others, "cid").join(profile.select("cluster", "core", "rep"), "cluster"), threshold).where("ok")
+    heavy = profile.orderBy(F.desc("size"), "cluster").limit(HEAVY).select("cluster", "core", "rep").toPandas()
+    tried = tried.select("cid", "cluster", "near").unionByName(near_heavy(others, heavy, threshold))
     late = stash(tried.groupBy("cid").agg(F.max_by(F.struct("cluster", "near"), F.struct(F.col("near"), -F.col("cluster"))).alias("x")).select("cid", "x.cluster", "x.near"), label + "-b")
     found = sure.unionByName(late)
     # records that were summed up with others yet belong elsewhere start over among themselves
