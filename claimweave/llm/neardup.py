@@ -16,7 +16,7 @@ from claimweave.llm.wordsets import bucket_of, classes_of, document_frequency, i
 from claimweave.runtime import ship, stash
 
 LIKENESS = 0.7
-BANDS, ROWS = 14, 3
+BANDS, ROWS = 20, 3
 #: A band bucket beyond so many classes is split by further samples instead of being paired whole.
 HOT_BUCKET = 1024
 SPLIT_BANDS, SPLIT_ROWS, SPLIT_LEVELS = 6, 2, 4
