@@ -29,11 +29,11 @@ def source_plan(counted: DataFrame, targets: DataFrame) -> pd.DataFrame:
     if not small_enough(targets, MAX_SOURCES):
         raise ValueError(f"mix_targets has more than {MAX_SOURCES} rows")
     sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n_docs"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    plan = targets.where("source IS NOT NULL").join(sizes, "source", "left").crossJoin(F.broadcast(total)).toPandas()  # total is one row
+    total = float(counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    plan = targets.where("source IS NOT NULL").join(sizes, "source", "left").toPandas()  # a row per source of the mix
     plan["size"] = plan["size"].fillna(0).astype(float)
     plan["n_docs"] = plan["n_docs"].fillna(0).astype("int64")
-    plan["wanted"] = plan["target_share"].fillna(0.0) * plan["total"].astype(float)
+    plan["wanted"] = plan["target_share"].fillna(0.0) * total
     cap = plan["max_repeats"].fillna(0).clip(lower=0)
     plan["short"] = plan["wanted"] > plan["size"] * cap
     plan["factor"] = np.minimum(np.where(plan["size"] > 0, plan["wanted"] / plan["size"].where(plan["size"] > 0, 1.0), 0.0), cap)
@@ -158,8 +158,8 @@ def shares(uses: DataFrame, plan: pd.DataFrame) -> DataFrame:
     spark = uses.sparkSession
     rows = spark.createDataFrame([(r.source, float(r.target_share), int(r.size), int(r.max_repeats), bool(r.short)) for r in plan.fillna({"target_share": 0.0, "max_repeats": 0}).itertuples()], "source string, target_share double, size bigint, max_repeats int, short boolean")
     used = uses.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("uses")).alias("used"))
-    total = used.agg(F.sum("used").alias("all"))
-    return rows.join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(total)).select("source", "target_share", F.coalesce(F.col("used") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)).alias("actual_share"), "size", F.coalesce("used", F.lit(0)).alias("used_tokens"), "max_repeats", "short")
+    total = float(uses.agg(F.coalesce(F.sum(F.col("n_tokens").cast("long") * F.col("uses")), F.lit(0))).first()[0])
+    return rows.join(F.broadcast(used), "source", "left").select("source", "target_share", F.coalesce(F.try_divide(F.col("used"), F.lit(total)), F.lit(0.0)).alias("actual_share"), "size", F.coalesce("used", F.lit(0)).alias("used_tokens"), "max_repeats", "short")
 
 
 def counted_documents(docs: DataFrame, path: str = DEFAULT_VOCABULARY, label: str = "mix") -> DataFrame:
