@@ -119,9 +119,9 @@ def a10(t: Tables):
 )
 def a11(t: Tables):
     m = joins.matches(t)
-    orphans = K.disputes(props(t), m, C.DEFAULT.jaccard_floor).where("NOT covered AND edge_count >= 2").agg(F.count("*").alias("orphan_propositions"))
+    orphans = K.disputes(props(t), m, C.DEFAULT.jaccard_floor).where("NOT covered AND edge_count >= 2").agg(F.count("*"))
     head = m.agg(F.count("*").alias("n_cruxes"), F.count_if(F.col("jaccard") >= C.DEFAULT.strong_alignment).alias("strong"), F.count_if(F.col("jaccard") < C.DEFAULT.jaccard_floor).alias("orphan_cruxes"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"))
-    return head.crossJoin(orphans)  # one row each
+    return head.withColumn("orphan_propositions", orphans.scalar())
 
 
 _IMP = (
@@ -320,12 +320,12 @@ def w07(t: Tables):
     """Running sums by offset: rows are first added up per edge count (few values), so the global order needs no single task
     over all rows; within one edge count the share of a row is its rank times the count."""
     d = K.disputes(props(t), joins.matches(t), C.DEFAULT.jaccard_floor)
-    total = d.agg(F.sum("edge_count").alias("m"))
+    total = d.agg(F.sum("edge_count")).scalar()
     u = d.where("NOT covered")
     step = u.groupBy("edge_count").agg(F.sum("edge_count").alias("s"))
     before = step.select("edge_count", F.coalesce(F.sum("s").over(Window.orderBy(F.desc("edge_count")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("edge_count").orderBy("q"))
-    rows = u.join(before, "edge_count").withColumn("run", F.col("before") + F.col("edge_count") * rank).crossJoin(F.broadcast(total))  # one row
+    rows = u.join(before, "edge_count").withColumn("run", F.col("before") + F.col("edge_count") * rank).withColumn("m", total)
     return rows.select("q", "edge_count", F.round(F.col("edge_count") / F.col("m"), 4).alias("share"), F.round(F.col("run") / F.col("m"), 4).alias("running"))
 
 
