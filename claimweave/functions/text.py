@@ -109,6 +109,13 @@ def html_text(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != ""), "\n")
 
 
+def escaped(c: Column) -> Column:
+    """Text for a page: markup characters as entities."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
 def blocked_page(text: Column) -> Column:
     low = F.lower(F.substring(text, 1, 2000))
     out = F.length(text) < 800

@@ -234,7 +234,15 @@ def j21(t: Tables):
     return p.select("node_id", "att_ord", F.when(hard, F.col("det")).otherwise(F.col("judged")).alias("grounding"), F.when(hard, "rule").when(F.col("judged") != F.col("det"), "judge").otherwise("none").alias("override_by"))
 
 
-@query("J22_grounded_paragraphs")
+_GROUND = (
+    filters._PROSE
+    + f", pt AS (SELECT doc_id, k, unnest(t) AS w, len(t) AS n FROM (SELECT doc_id, row_number() OVER () AS k, {_tok('p', C.REPORT_STOP_WORDS)} AS t FROM c)), e AS (SELECT DISTINCT list_sort({_tok('textual_evidence', C.REPORT_STOP_WORDS)}) AS t FROM nodes WHERE textual_evidence IS NOT NULL), "
+    "et AS (SELECT k, unnest(t) AS w, len(t) AS n FROM (SELECT t, row_number() OVER () AS k FROM e)), hit AS (SELECT DISTINCT pk FROM (SELECT pt.k AS pk, et.k AS ek, count(*) AS s, any_value(pt.n) AS pn, any_value(et.n) AS en FROM pt JOIN et ON et.w = pt.w AND et.n >= 0.18 * pt.n - 1e-9 AND pt.n >= 0.18 * et.n - 1e-9 GROUP BY 1, 2) WHERE s >= 0.18 * (pn + en - s) - 1e-9), "
+    "pg AS (SELECT DISTINCT doc_id, k FROM pt), gr AS (SELECT c.doc_id, c.n, coalesce(h.g, 0) AS grounded FROM (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN (SELECT doc_id, count(*) AS g FROM pg WHERE k IN (SELECT pk FROM hit) GROUP BY 1) h ON h.doc_id = c.doc_id) "
+)
+
+
+@query("J22_grounded_paragraphs", _GROUND + "SELECT doc_id, n, grounded FROM gr")
 def j22(t: Tables):
     """Document paragraphs against the evidence of nodes at a Jaccard likeness of 0.18, by exact prefix filtering on distinct
     token sets; one row per document with its paragraphs and the grounded ones."""

@@ -62,6 +62,11 @@ def x09(t: Tables):
     return t.nd("content").where("content IS NOT NULL").select("id", X.summary_line(F.col("content")).alias("line"))
 
 
+@query("X10_escaped", "SELECT id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html FROM {nd} WHERE content IS NOT NULL")
+def x10(t: Tables):
+    return t.nd("content").where("content IS NOT NULL").select("id", X.escaped(F.col("content")).alias("html"))
+
+
 @query("X11_short_names", "SELECT source_id, list_last(string_split(source_id, '/')) AS name FROM {so}")
 def x11(t: Tables):
     return t.so.select("source_id", F.substring_index("source_id", "/", -1).alias("name"))
