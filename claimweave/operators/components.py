@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import stash
+from claimweave.runtime import ship, small_enough, stash
 
+#: Up to so many edges, counted first, the rounds cost more than one task that holds them all.
+FEW_EDGES = 100_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, label: str = "cc") -> DataFrame:
+
+def _in_one_task(pairs: DataFrame) -> DataFrame:
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def run(frames):
+        parent: dict = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for frame in frames:
+            for u, v in zip(frame["u"].tolist(), frame["v"].tolist()):
+                x, y = find(u), find(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        ids = list(parent)
+        yield pd.DataFrame({"id": ids, "component": [find(x) for x in ids]})
+
+    return pairs.coalesce(1).mapInPandas(run, f"id {kind}, component {kind}")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, label: str = "cc", few: int = FEW_EDGES) -> DataFrame:
     """(id, component): the least vertex each vertex of an edge is linked to, directly or through others.
 
     Each round every vertex takes the least label among itself and its neighbours, and then the label of its label, so a
-    chain of n edges settles in about log n rounds. Null ends and self-links add nothing.
+    chain of n edges settles in about log n rounds. Null ends and self-links add nothing. A table of at most few edges is
+    settled in one task.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    pairs = stash(pairs, label + "-p")
+    if small_enough(pairs, few):
+        ship(pairs.sparkSession)
+        return _in_one_task(pairs)
     both = stash(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), label + "-e")
     state = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), label + "-0")
     for k in range(1, rounds + 1):

@@ -12,6 +12,7 @@ from claimweave.operators import reconcile as Q
 from claimweave.operators import similarity as M
 from claimweave.plans import filters, relations
 from claimweave.plans.registry import Tables, query
+from claimweave.runtime import stash
 
 #: Bands for the vectors of the test tables, whose similarities are low.
 MERGE, CONTRA = (0.40, 0.84), (0.30, 0.84)
@@ -250,7 +251,8 @@ def j22(t: Tables):
     p = filters.prose(t.documents).withColumn("tokens", F.array_sort(X.token_set(F.col("p"), stop)))
     e = t.nodes.where("textual_evidence IS NOT NULL").select(F.array_sort(X.token_set(F.col("textual_evidence"), stop)).alias("tokens")).distinct()
     key = F.xxhash64("tokens")
-    hit = M.jaccard_pairs(M.token_rows(p.select("tokens").distinct().withColumn("k", key), "k", F.col("tokens")), M.token_rows(e.withColumn("k", key), "k", F.col("tokens")), C.DEFAULT.lexical_grounding).select(F.col("a").alias("k")).distinct().withColumn("hit", F.lit(True))
+    sides = [stash(M.token_rows(x.withColumn("k", key), "k", F.col("tokens")), "j22") for x in (p.select("tokens").distinct(), e)]
+    hit = M.jaccard_pairs(*sides, C.DEFAULT.lexical_grounding).select(F.col("a").alias("k")).distinct().withColumn("hit", F.lit(True))
     return p.withColumn("k", key).join(hit, "k", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("grounded"))
 
 

@@ -125,9 +125,10 @@ def test_jaccard_pairs_are_exact(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a int, b int")
-    got = dict(components(e).collect())
-    assert set(got.values()) == {0, 100} and len(got) == 53
-    assert components(e.limit(0)).count() == 0
+    for few in (0, 1000):
+        got = dict(components(e, few=few).collect())
+        assert set(got.values()) == {0, 100} and len(got) == 53
+        assert components(e.limit(0), few=few).count() == 0
 
 
 def test_redirect_drops_loops(spark):
