@@ -116,7 +116,7 @@ def mixed(counted: DataFrame, plan: pd.DataFrame, seed: int = 7, label: str = "m
 
     schema = "doc_id bigint, source string, n_tokens int, uses int, open double"
 
-    def up(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id"], kind="stable")
         rows, held = [], None
         base, source = int(frame["uses"].iloc[0]), frame["source"].iloc[0]
