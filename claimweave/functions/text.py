@@ -87,7 +87,7 @@ def toc_line(line: Column) -> Column:
 def is_junk_quote(c: Column) -> Column:
     """Whether a quote is index debris: null, empty or short ones are."""
     q = F.trim(F.coalesce(c, F.lit("")))
-    lines = F.filter(F.transform(F.split(q, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(q, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     votes = F.size(F.filter(lines, toc_line))
     junk = F.length(q) < 8
     for pattern in (*P.JUNK_ANYWHERE, P.TOC_DOTS, P.TOC_EMBEDDED, P.PAGE_SECTION):
@@ -106,7 +106,7 @@ def html_text(c: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.array_join(F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def escaped(c: Column) -> Column:

@@ -76,6 +76,13 @@ def f05(t: Tables):
     return t.nd("type", "textual_evidence", "quote_exact").select("id", gate(F.col("quote_exact"), found).alias("reason"))
 
 
+@query("F06_literal_quotes", f"SELECT id, length({_NORM('quote_exact')}) >= 20 AND contains({_NORM('textual_evidence')}, {_NORM('quote_exact')}) AS literal FROM {{nd}} WHERE textual_evidence IS NOT NULL AND quote_exact IS NOT NULL")
+def f06_literal(t: Tables):
+    n = t.nd("textual_evidence", "quote_exact").where("textual_evidence IS NOT NULL AND quote_exact IS NOT NULL")
+    q, b = X.matching_form(F.col("quote_exact")), X.matching_form(F.col("textual_evidence"))
+    return n.select("id", ((F.length(q) >= C.DEFAULT.min_quote) & F.contains(b, q)).alias("literal"))
+
+
 @query("F06_quote_in_body")
 def f06(t: Tables):
     """Literal containment first; the fuzzy window runs in vectorised Python on the rest only."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave import config as C
+from claimweave.functions import patterns as P
 from claimweave.functions import text as X
 from claimweave.plans.registry import Tables, query
 from claimweave.runtime import shared_dir
@@ -40,7 +41,19 @@ def s04(t: Tables):
     return t.bd.select("capture_id", X.without_toc(F.substring("body", 1, C.DEFAULT.body_chars)).alias("body"))
 
 
-@query("S05_page_text")
+def _page_sql() -> str:
+    x = "'<html><nav>menu</nav><article><h1>' || coalesce(title, '') || '</h1><p>' || replace(text, '&', '&amp;') || '</p></article><script>x</script></html>'"
+    for tag in P.DROPPED_TAGS:
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}\\s*>', chr(10), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    lines = f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '')"
+    blocked = " OR ".join(["length(t) < 800", *[f"contains(lower(left(t, 2000)), '{p}')" for p in C.BLOCK_PHRASES]])
+    return f"SELECT doc_id, {blocked} AS blocked, length(t)::INT AS n_chars, sha256(t) AS digest FROM (SELECT doc_id, left(array_to_string({lines}, chr(10)), 50000) AS t FROM documents)"
+
+
+@query("S05_page_text", _page_sql())
 def s05(t: Tables):
     html = F.concat(F.lit("<html><nav>menu</nav><article><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("</p></article><script>x</script></html>"))
     return R.page_text(t.documents.select("doc_id", html.alias("html")), "html").select("doc_id", "blocked", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))

@@ -141,3 +141,20 @@ def test_memo(spark):
     old = spark.createDataFrame([("l", "1", "x"), ("l", "2", '{"refused": true}')], "level string, key string, response string")
     new = spark.createDataFrame([("l", "1", "y"), ("l", "3", "")], "level string, key string, response string")
     assert rows(W.remember(old, new)) == [("l", "1", "y")]
+
+
+def test_audit_text():
+    paper = "Title\n\nAbstract\n" + "We studied many things. " * 8 + "\nMethods\n" + "A cohort was followed. " * 12 + "\nResults\n" + "There were many of them. " * 6 + "\nDiscussion\nIt was fine."
+    got = X.methodology_text(paper, "published")
+    assert got.startswith("=== ABSTRACT") and "=== METHODS ===" in got and "=== RESULTS" in got and "It was fine" not in got
+    talk = "\n\n".join(["Nothing here at all."] * 5 + ["The base rate and the prior probability matter. " * 12])
+    assert X.methodology_text(talk, "").startswith("The base rate") and X.methodology_text("FETCH_ERROR: x", "") == "" and X.methodology_text(None, None) == ""
+
+
+def test_hashed_vectors_are_unit(spark, tmp_path):
+    from claimweave.plans.registry import QUERIES
+    import claimweave.plans.queries  # noqa: F401
+
+    spark.createDataFrame([(1, "alpha beta gamma alpha"), (2, "delta words here beta")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["X21_hashed_vectors"](spark, str(tmp_path)).collect()
+    assert [r["norm"] for r in out] == [1.0, 1.0]
