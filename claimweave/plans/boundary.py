@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import judges as J
 from claimweave.plans.registry import Tables, query
-from claimweave.runtime import shared_dir
+from claimweave.runtime import work_dir
 from claimweave.sources.writers import memo_key
 from claimweave.streaming import incremental as I
 
@@ -64,7 +64,7 @@ def l18(t: Tables):
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/streams-{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
 @query("T01_incremental_ingest", "SELECT node_id, count(*) AS n FROM (SELECT DISTINCT node_id, coalesce(trim(source_id), '') AS s, coalesce(trim(quote), '') AS q FROM attestations) GROUP BY 1")

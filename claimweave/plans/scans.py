@@ -9,7 +9,7 @@ from claimweave import config as C
 from claimweave.functions import patterns as P
 from claimweave.functions import text as X
 from claimweave.plans.registry import Tables, query
-from claimweave.runtime import shared_dir
+from claimweave.runtime import work_dir
 from claimweave.sources import readers as R
 from claimweave.sources import writers as W
 
@@ -91,7 +91,7 @@ _ARTIFACT = T.StructType([T.StructField("source_id", T.StringType()), T.StructFi
 
 @query("S10_artifact_directory", "SELECT source_id, count(*) AS n FROM attestations WHERE source_id IS NOT NULL GROUP BY 1")
 def s10(t: Tables):
-    folder = f"{shared_dir(t.spark)}/artifacts-{t.spark.sparkContext.applicationId}-{hash(t.dir) & 0xFFFFFF}"
+    folder = f"{work_dir(t.spark)}/artifacts-{hash(t.dir) & 0xFFFFFF}"
     rows = t.attestations.where("source_id IS NOT NULL").groupBy("source_id").agg(F.count("*").alias("n"))
     rows.select(F.to_json(F.struct("source_id", "n")).alias("value")).write.mode("overwrite").text(folder + "/audits")
     return t.spark.read.schema(_ARTIFACT).json(folder + "/audits").select("source_id", "n")
@@ -113,7 +113,7 @@ def s13(t: Tables):
 
 
 def _written(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/sinks-{t.spark.sparkContext.applicationId}-{hash(t.dir) & 0xFFFFFF}/{name}"
+    return f"{work_dir(t.spark)}/sinks-{hash(t.dir) & 0xFFFFFF}/{name}"
 
 
 @query("K01_graph_sink", "SELECT type, count(*) AS n FROM {nd} GROUP BY 1")

@@ -48,14 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder within the shared one; removed when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _STASHED:
         _STASHED.add(app)
         atexit.register(_clean, spark)
-    path = f"{shared_dir(spark)}/claimweave-{app}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/claimweave-{app}"
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and outlives any executor."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
