@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.hashing import flat_of, mix64
-from claimweave.llm.wordsets import bucket_of, classes_of, document_frequency, idf_weights, word_rows
-from claimweave.runtime import ship, stash
+from claimweave.llm.wordsets import BROADCAST_ROWS, bucket_of, classes_of, document_frequency, idf_weights, word_rows
+from claimweave.runtime import ship, small_enough, stash
 
 LIKENESS = 0.7
 BANDS, ROWS = 20, 3
-#: A band bucket beyond so many classes is split by further samples instead of being paired whole.
+#: A band bucket beyond so many classes is paired in blocks of about so many by several tasks instead of whole by one.
 HOT_BUCKET = 1024
-SPLIT_BANDS, SPLIT_ROWS, SPLIT_LEVELS = 6, 2, 4
 #: A class of exact copies beyond so many ids is linked through its smallest id instead of all its pairs.
 COPY_PAIRS = 64
 _BLOCK = 3_000_000
@@ -62,8 +61,8 @@ def odd_sketch(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, starts[:-1])
 
 
-def band_rows(classes: DataFrame, weights_bc, bands: int, rows: int, level: int = 0) -> DataFrame:
-    """(band, cid, odd, n): bands rows per class. From level 1 on, classes carry the band to be split as `band`."""
+def band_rows(classes: DataFrame, weights_bc, bands: int, rows: int) -> DataFrame:
+    """(band, cid, odd, n): bands rows per class."""
 
     def run(batches):
         weights = weights_bc.value
@@ -79,12 +78,10 @@ def band_rows(classes: DataFrame, weights_bc, bands: int, rows: int, level: int
                 hi = min(len(cid), lo + size)
                 st = starts[lo : hi + 1] - starts[lo]
                 fl = flat[starts[lo] : starts[hi]]
-                got = cws_samples(fl, st, weights, level * 1000, bands * rows)
+                got = cws_samples(fl, st, weights, 0, bands * rows)
                 key = np.zeros((hi - lo, bands), dtype=np.uint64)
                 for b in range(bands):
-                    h = np.full(hi - lo, b + 1 + level * 100, dtype=np.uint64)
-                    if level:
-                        h ^= batch.column(names.index("band")).to_numpy()[lo:hi].view(np.uint64)
+                    h = np.full(hi - lo, b + 1, dtype=np.uint64)
                     for i in range(rows):
                         h = mix64(h ^ (got[:, b * rows + i] & np.uint64(0xFFFFFFFF)))
                     key[:, b] = h
@@ -108,7 +105,7 @@ def _apart(threshold: float, n: np.ndarray) -> np.ndarray:
 
 
 def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFrame:
-    """(a, b, band) with a < b for classes of one band whose sketches allow the likeness; a null b marks a class of a hot band.
+    """(a, b, band, odd, n) with a < b for classes of one band whose sketches allow the likeness; a null b marks a class of a hot band.
 
     Rows arrive sorted by band and are read as a stream: no more than a batch and `hot` rows are held.
     """
@@ -127,8 +124,13 @@ def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFram
             d += 1
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def made(a, b, band):
-        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(band, type=pa.int64())], ["a", "b", "band"])
+    def made(a, b):
+        none = [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32())], ["a", "b", "band", "odd", "n"])
+
+    def passed(cols, which):
+        band, cid, odd, n = (c[which] for c in cols)
+        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array([None] * len(cid), pa.int64()), pa.array(band), pa.array(odd.view(np.int64)), pa.array(n)], ["a", "b", "band", "odd", "n"])
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
@@ -142,12 +144,12 @@ def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFram
                 size = np.diff(np.append(edge, len(band)))
                 long = np.repeat(size > hot, size)
                 if long.any():
-                    yield made(cid[long], [None] * int(long.sum()), band[long])
+                    yield passed(cols, long)
                     band, cid, odd, n = band[~long], cid[~long], odd[~long], n[~long]
             a, b = pairs_of(band, cid, odd, n)
             if len(a):
                 both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield made(both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
+                yield made(both[:, 0], both[:, 1])
 
         for batch in batches:
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
@@ -156,7 +158,7 @@ def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFram
             if split is not None:  # the rest of a hot band passes through
                 same = new[0] == split
                 if same.any():
-                    yield made(new[1][same], [None] * int(same.sum()), new[0][same])
+                    yield passed(new, same)
                     new = [c[~same] for c in new]
                 if not len(new[0]):
                     continue
@@ -171,7 +173,53 @@ def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFram
                 held = [c[:0] for c in held]
         yield from settle(held)
 
-    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a bigint, b bigint, band bigint")
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a bigint, b bigint, band bigint, odd bigint, n int")
+
+
+def block_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b), a < b: all pairs of classes (band, cid, odd, n) of one band whose sizes and sketches allow the likeness.
+
+    The classes of a band are hashed into blocks of about `block`, and each pair of blocks is compared by itself: no task
+    holds more than two blocks, and no pair is lost.
+    """
+    size = stash(rows.groupBy("band").agg(F.count("*").alias("m")), "hot-bands")
+    if small_enough(size, BROADCAST_ROWS):
+        size = F.broadcast(size)
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    own = rows.join(size, "band").withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: F.struct(F.least("g", h).alias("x"), F.greatest("g", h).alias("y")))
+    sent = own.select("band", "cid", "odd", "n", "g", F.explode(meets).alias("p")).select("band", "cid", "odd", "n", "g", "p.x", "p.y")
+
+    def product(cols):
+        band, cid, odd, n, g, x, y = cols
+        left, right = np.flatnonzero(g == x[0]), np.flatnonzero(g == y[0])
+        for lo in range(0, len(left), 256):
+            part = left[lo : lo + 256, None]
+            size_a, size_b = n[part].astype(np.int64), n[right].astype(np.int64)
+            ok = np.bitwise_count(odd[part] ^ odd[right]) <= _apart(threshold, size_a + size_b)
+            ok &= np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9
+            ok &= cid[part] < cid[right] if x[0] == y[0] else cid[part] != cid[right]
+            i, j = np.nonzero(ok)
+            a, b = cid[part[i, 0]], cid[right[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            cols[2] = cols[2].view(np.uint64)
+            cols = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[5][1:] != cols[5][:-1]) | (cols[6][1:] != cols[6][:-1])) + 1
+            for lo, hi in zip(np.append(0, edge[:-1]), edge):
+                yield from product([c[lo:hi] for c in cols])
+            held = [c[edge[-1] if len(edge) else 0 :] for c in cols]
+        if held is not None:
+            yield from product(held)
+
+    key = ["band", "x", "y"]
+    return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, weights_bc, threshold: float) -> DataFrame:
@@ -213,13 +261,9 @@ def class_links(classes: DataFrame, threshold: float = LIKENESS, hot: int = HOT_
     weights_bc = spark.sparkContext.broadcast(idf_weights(counts, total))
     found = stash(bucket_pairs(band_rows(classes, weights_bc, BANDS, ROWS), threshold, hot), label + "-c0")
     pairs = found.where("b IS NOT NULL").select("a", "b")
-    for level in range(1, SPLIT_LEVELS + 1):
-        rest = found.where("b IS NULL").select(F.col("a").alias("cid"), "band")
-        if not rest.limit(1).count():
-            break
-        again = rest.join(classes, "cid")
-        found = stash(bucket_pairs(band_rows(again, weights_bc, SPLIT_BANDS, SPLIT_ROWS, level), threshold, hot if level < SPLIT_LEVELS else None), f"{label}-c{level}")
-        pairs = pairs.unionByName(found.where("b IS NOT NULL").select("a", "b"))
+    rest = found.where("b IS NULL").select("band", F.col("a").alias("cid"), "odd", "n")
+    if rest.limit(1).count():
+        pairs = pairs.unionByName(block_pairs(rest, threshold, hot))
     return stash(verified(pairs.distinct(), classes, weights_bc, threshold), label + "-v")
 
 

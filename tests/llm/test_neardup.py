@@ -75,6 +75,15 @@ def test_hot_buckets_are_split_without_losing_pairs(spark):
     assert got <= truth and len(got) >= 0.97 * len(truth)
 
 
+def test_hot_buckets_lose_nothing_against_pairing_them_whole(spark):
+    """A template of 20 words with four own words each: every pair is a true one, and the shared words are the frequent ones."""
+    base = VOCABULARY[:20]
+    rows = [(f"{g:04d}", " ".join(base + [f"own{LETTERS[g % 26]}{LETTERS[g // 26]}{x}" for x in "abcd"])) for g in range(400)]
+    whole = found(spark, rows, hot=10**6)
+    assert len(whole) >= 0.95 * 400 * 399 / 2
+    assert found(spark, rows, hot=64) == whole
+
+
 def test_very_long_text(spark):
     long = " ".join("".join(random.choices(LETTERS, k=8)) for _ in range(150_000))
     assert found(spark, [("a", long), ("b", long + " tail word")]) == {("a", "b")}
