@@ -19,8 +19,10 @@ LIKENESS = 0.7
 BANDS, ROWS = 20, 3
 #: A band bucket beyond so many classes is paired in blocks of about so many by several tasks instead of whole by one.
 HOT_BUCKET = 1024
-#: A class of exact copies beyond so many ids is linked through its smallest id instead of all its pairs.
+#: A group of exact copies of one text beyond so many ids is linked through its smallest id instead of all its pairs.
 COPY_PAIRS = 64
+#: Ids of a class that are paired at a time.
+ID_BLOCK = 1024
 _BLOCK = 3_000_000
 
 
@@ -268,7 +270,7 @@ def class_links(classes: DataFrame, threshold: float = LIKENESS, hot: int = HOT_
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = LIKENESS, hot: int = HOT_BUCKET, label: str = "neardup") -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid) of all ids with at least one word, and (links: a, b, likeness) between classes.
+    """(members: id, cid, text) of all ids with at least one word, text being a digest, and (links: a, b, likeness) between classes.
 
     Null ids, and null, empty or word-less texts, have no likeness and appear in neither. Rows that repeat an id and its
     text count once. Ids with one word set share a class, so copies are never paired. Other columns are ignored.
@@ -278,19 +280,27 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     return members, class_links(classes, threshold, hot, label)
 
 
-def id_pairs(members: DataFrame, links: DataFrame, copy_pairs: int = COPY_PAIRS) -> DataFrame:
+def id_pairs(members: DataFrame, links: DataFrame, copy_pairs: int = COPY_PAIRS, copies_by: str = "text") -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs across linked classes and within a class.
 
-    A class of more than copy_pairs ids is a group of exact copies: there its smallest id stands for it in links to other
-    classes and is paired with each other member, so that no group grows with the square of its size.
+    Only exact copies are shortened: of more than copy_pairs ids of one class with the same text, the smallest id stands for
+    all in pairs with other texts and is paired with each other copy. Ids whose texts differ give all their pairs, in blocks
+    of ids, so that no task makes more than two blocks' pairs at a time. With copies_by "cid" a whole class counts as copies,
+    which links the same ids.
     """
-    stat = members.groupBy("cid").agg(F.count("*").alias("m"), F.min("id").alias("least"))
-    full = members.join(stat, "cid").withColumn("all", F.col("m") <= copy_pairs)
+    by = ["cid", copies_by] if copies_by != "cid" else ["cid"]
+    stat = members.groupBy(*by).agg(F.count("*").alias("m"), F.min("id").alias("least"))
+    full = members.join(stat, by).withColumn("all", F.col("m") <= copy_pairs)
     speaks = full.where("all OR id = least").select("cid", "id")
-    across = links.join(speaks.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").join(speaks.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    copies = full.where("m > 1")
-    within = copies.where("all").select("cid", F.col("id").alias("x")).join(copies.where("all").select("cid", F.col("id").alias("y")), "cid").where("x < y").select("x", "y")
-    star = copies.where("NOT all AND id <> least").select(F.col("least").alias("x"), F.col("id").alias("y"))
+    size = speaks.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(ID_BLOCK)).cast("int").alias("blocks"))
+    # x lies in one block of its class; y is sent to each block of the class it meets
+    one = speaks.join(size, "cid").select("cid", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("g"))
+    meets = links.select("a", "b").unionByName(size.where("blocks > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+    sent = meets.join(size.select(F.col("cid").alias("a"), "blocks"), "a").join(speaks.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b").select("a", "b", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g"))
+    across = sent.join(one.withColumnRenamed("cid", "a"), ["a", "g"]).where("a <> b OR x < y").select("x", "y")
+    small = one.join(size.where("blocks = 1").select("cid"), "cid", "left_semi").select("cid", "x")
+    within = small.join(small.withColumnRenamed("x", "y"), "cid").where("x < y").select("x", "y")
+    star = full.where("NOT all AND id <> least").select(F.col("least").alias("x"), F.col("id").alias("y"))
     return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -10,7 +10,8 @@ from claimweave.runtime import stash, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stash(neardup.id_pairs(*neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content")), "pairs")
+    """Links of p2_found's groups; a class of one word set is linked through its smallest id, since only the groups count."""
+    return stash(neardup.id_pairs(*neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content"), copies_by="cid"), "pairs")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, words) per row of df with a non-null id; words are sorted hashes, key their 128-bit digest."""
+    """(id, n, key, text, words) per row of df with a non-null id; words are sorted hashes, key their 128-bit digest, text that of the text."""
 
     def run(batches):
         hasher = WordHasher()
@@ -36,32 +36,32 @@ def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             raw = flat.tobytes()
             keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes.astype(np.int32)), pa.array(keys, type=pa.binary()), list_array(flat, sizes)],
-                ["id", "n", "key", "words"],
+                [ids, pa.array(sizes.astype(np.int32)), pa.array(keys, type=pa.binary()), pa.array([xxhash.xxh3_128_digest(t or "") for t in texts], type=pa.binary()), list_array(flat, sizes)],
+                ["id", "n", "key", "text", "words"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     return (
         df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .where(F.col("id").isNotNull())
-        .mapInArrow(run, f"id {kind}, n int, key binary, words array<bigint>")
+        .mapInArrow(run, f"id {kind}, n int, key binary, text binary, words array<bigint>")
     )
 
 
 def classes_of(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid) and (classes: cid, n, words): one class per distinct non-empty word set.
+    """(members: id, cid, text) and (classes: cid, n, words): one class per distinct non-empty word set; text is a digest.
 
     The words of a row are written once; only (key, cid) pairs are shuffled to choose representatives.
     """
     spark = rows.sparkSession
     base = stash(rows.where("n > 0").withColumn("cid", F.monotonically_increasing_id()), label)
     first = base.groupBy("key").agg(F.min("cid").alias("rep"))
-    members = stash(base.select("id", "key", "cid").join(first, "key").select("id", F.col("rep").alias("cid"), F.col("cid").alias("row")), label + "-m")
+    members = stash(base.select("id", "key", "cid", "text").join(first, "key").select("id", F.col("rep").alias("cid"), F.col("cid").alias("row"), "text"), label + "-m")
     spare = members.where("row <> cid").select(F.col("row").alias("cid"))
     if small_enough(spare, BROADCAST_ROWS):
         spare = F.broadcast(spare)
     classes = base.select("cid", "n", "words").join(spare, "cid", "left_anti")
-    return members.select("id", "cid").distinct(), classes
+    return members.groupBy("id", "cid").agg(F.min("text").alias("text")), classes
 
 
 def document_frequency(classes: DataFrame) -> tuple[np.ndarray, int]:

@@ -67,6 +67,15 @@ def test_large_group_of_copies_is_linked_by_its_smallest_id(spark):
     assert len(got) == 300 and ("0000", "0299") in got and ("0000", "zz") in got
 
 
+def test_ids_of_one_word_set_with_differing_texts_give_all_pairs(spark, monkeypatch):
+    """Numbers and short words make no words: 80 texts of one word set, 70 copies of another text of it, a neighbour, in blocks of 32."""
+    monkeypatch.setattr(N, "ID_BLOCK", 32)
+    rows = [(f"a{k:03d}", f"alpha beta gamma delta {k}") for k in range(80)] + [(f"b{k:03d}", "alpha beta not gamma delta") for k in range(70)] + [("zz", "alpha beta gamma delta epsilon")]
+    speak = [f"a{k:03d}" for k in range(80)] + ["b000", "zz"]
+    want = {(x, y) for i, x in enumerate(speak) for y in speak[i + 1 :]} | {("b000", f"b{k:03d}") for k in range(1, 70)}
+    assert found(spark, rows) == want
+
+
 def test_hot_buckets_are_split_without_losing_pairs(spark):
     """With a tiny bucket bound nearly every bucket is hot; the pairs stay."""
     rows = corpus(groups=12, size=12, edits=2)
