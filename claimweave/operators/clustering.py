@@ -78,30 +78,58 @@ def centroid_clusters(items: DataFrame, threshold: float, label: str = "centroid
     return _by_component(items, edges, label).groupBy("component").applyInPandas(run, "id bigint, cluster bigint")
 
 
+def fused(total: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of total the row it ends in: the closest pair of normalised rows is fused while it is at or above the
+    threshold, of equals the earliest. Each row keeps its best later row only, so that memory grows with the rows alone."""
+    k = len(total)
+    total, goes = total.copy(), np.arange(k)
+    norm = np.linalg.norm(total, axis=1)
+    unit = total / np.where(norm > 0, norm, 1.0)[:, None]
+    alive, best, to = np.ones(k, dtype=bool), np.full(k, -np.inf), np.zeros(k, dtype=int)
+
+    def seek(r: int) -> None:
+        best[r] = -np.inf
+        if r + 1 < k:
+            sims = np.where(alive[r + 1 :], unit[r + 1 :] @ unit[r], -np.inf)
+            m = int(np.argmax(sims))
+            best[r], to[r] = sims[m], r + 1 + m
+
+    for r in range(k):
+        seek(r)
+    while k:
+        i = int(np.argmax(best))
+        if best[i] < threshold or not np.isfinite(best[i]):
+            break
+        j = int(to[i])
+        total[i] += total[j]
+        unit[i] = total[i] / (np.linalg.norm(total[i]) or 1.0)
+        alive[j], best[j] = False, -np.inf
+        goes[goes == j] = i
+        sims = unit[:i] @ unit[i]
+        nearer = np.flatnonzero(alive[:i] & ((sims > best[:i]) | ((sims == best[:i]) & (i < to[:i]))))
+        stale = alive & ((to == i) | (to == j)) & np.isfinite(best)
+        best[nearer], to[nearer] = sims[nearer], i
+        stale[nearer] = False
+        stale[i] = True
+        for r in np.flatnonzero(stale):
+            seek(int(r))
+    return goes
+
+
 def merged_centroids(clusters: DataFrame, threshold: float) -> DataFrame:
     """(cluster, merged) from (cluster, n, total array): the closest pair of normalised centroids is fused while it is at or
-    above the threshold. Clusters that can meet lie in one component of the graph at the threshold squared."""
+    above the threshold. Done once over all clusters in one task: no bound on their likeness tells which can't meet after
+    fusions. A cluster without total stays alone."""
     ship(clusters.sparkSession)
-    unit = clusters.withColumn("norm", F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x))).select(F.col("cluster").alias("id"), F.col("cluster").alias("ord"), F.expr("transform(total, x -> x / norm)").alias("v"), "total")
-    edges = vector_pairs(unit, "id", "v", threshold * threshold - 1e-9).select("a", "b")
-    comp = components(edges, label="merge")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id").reset_index(drop=True)
-        total = {int(i): np.array(t, dtype=float) for i, t in zip(frame["id"], frame["total"])}
-        goes = {i: i for i in total}
-        while len(total) > 1:
-            keys = sorted(total)
-            unit_ = np.array([total[k] / (np.linalg.norm(total[k]) or 1.0) for k in keys])
-            sims = np.triu(unit_ @ unit_.T, 1) - np.tril(np.ones((len(keys), len(keys))))
-            i, j = np.unravel_index(int(np.argmax(sims)), sims.shape)
-            if sims[i, j] < threshold:
-                break
-            total[keys[i]] = total[keys[i]] + total.pop(keys[j])
-            goes = {k: keys[i] if g == keys[j] else g for k, g in goes.items()}
-        return pd.DataFrame({"cluster": list(goes), "merged": list(goes.values())})
-
-    return unit.join(comp, "id", "left").select("id", "total", F.coalesce("component", "id").alias("c")).groupBy("c").applyInPandas(run, "cluster bigint, merged bigint")
+        frame = frame.sort_values("cluster").reset_index(drop=True)
+        ids = frame["cluster"].to_numpy()
+        return pd.DataFrame({"cluster": ids, "merged": ids[fused(np.array(frame["total"].tolist(), dtype=float), threshold)]})
+
+    have = clusters.where("total IS NOT NULL").select(F.col("cluster").cast("bigint").alias("cluster"), "total")
+    alone = clusters.where("total IS NULL").select(F.col("cluster").cast("bigint").alias("cluster"), F.col("cluster").cast("bigint").alias("merged"))
+    return have.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "cluster bigint, merged bigint").unionByName(alone)
 
 
 def best_partition(members: list, sims: dict, conflicts: set) -> list[list]:

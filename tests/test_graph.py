@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,34 @@ def test_centroid_clusters_drift(spark):
     assert rows(U.centroid_clusters(items(spark, [0, 30, 50, 180]), 0.75)) == [(0, 0), (1, 0), (2, 0), (3, 3)]
 
 
+def test_merged_centroids_meet_across_blocks(spark):
+    """Two halves whose members lie below the squared threshold reach the threshold once their blocks are fused."""
+    block = np.arange(48) // 12
+    gram = np.where(block[:, None] == block, 0.48, np.where(block[:, None] // 2 == block // 2, 0.24, 0.19))
+    np.fill_diagonal(gram, 1.0)
+    v = np.linalg.cholesky(gram)
+    c = spark.createDataFrame([(k, 1, [float(x) for x in v[k]]) for k in range(48)], "cluster bigint, n int, total array<double>")
+    assert {m for _, m in U.merged_centroids(c, 0.45).collect()} == {0}
+
+
+def test_fused_equals_the_plain_loop():
+    rng = np.random.default_rng(7)
+    for t in (0.2, 0.45, 0.7):
+        total = rng.normal(size=(60, 5))
+        work = {k: [k] for k in range(60)}
+        while len(work) > 1:
+            keys = sorted(work)
+            u = np.array([total[work[k]].sum(axis=0) for k in keys])
+            u /= np.linalg.norm(u, axis=1)[:, None]
+            sims = np.where(np.triu(np.ones((len(keys), len(keys))), 1) > 0, u @ u.T, -2)
+            i, j = np.unravel_index(int(np.argmax(sims)), sims.shape)
+            if sims[i, j] < t:
+                break
+            work[keys[i]] += work.pop(keys[j])
+        want = {m: k for k, g in work.items() for m in g}
+        assert dict(enumerate(U.fused(total, t).tolist())) == want
+
+
 def test_merged_centroids_leave_no_close_pair(spark):
     c = spark.createDataFrame([(k, circle(d)) for k, d in enumerate([0, 20, 90, 100, 200])], "cluster long, total array<double>")
     got = dict(U.merged_centroids(c, 0.9).collect())
