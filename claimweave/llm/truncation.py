@@ -24,6 +24,8 @@ LIMIT_SUPPORT, LIMIT_SHARE = 3, 0.005
 BYTE_SLACK = 3
 #: Texts with fewer than one full stop in so many words are unpunctuated transcripts.
 WORDS_PER_STOP = 150
+#: In a source where so many texts and more than this share leave a bracket, quote or element open, an open one tells nothing.
+OPEN_SUPPORT, OPEN_SHARE = 3, 0.05
 _FLUSH = 200_000
 
 _STOP = re.compile(r"[.?!…]")
@@ -122,8 +124,18 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
     return "line", opener(line), None
 
 
+def holds_open(text: str) -> bool:
+    """Whether a bracket or element is open at the end of a text, or a quote that the text does not end with."""
+    end = text.rstrip()
+    held = left_open(end)
+    return bool(set(held) - set('"“«')) or (bool(held) and end[-1] not in '"”»')
+
+
 def endings(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, digest, n_chars, n_bytes, kind, key, word) of every row; a null text counts as blank."""
+    """(doc_id, source, digest, n_chars, n_bytes, kind, key, word, holds) of every row; a null text counts as blank.
+
+    The automaton runs over every text, however it ends; a list item too has its last word looked up.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
@@ -131,11 +143,15 @@ def endings(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column(2):
                 text = text.as_py() or ""
-                rows.append((xxhash.xxh3_128_digest(text), len(text), len(text.encode("utf-8", "surrogatepass")), *ending(text)))
-            c = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), *[pa.array(x, pa.string()) for x in c[3:]]], ["doc_id", "source", "digest", "n_chars", "n_bytes", "kind", "key", "word"])
+                kind, key, word = ending(text)
+                if kind == "list":
+                    last = text.split()[-1].lower()
+                    word = last if _TOKEN.fullmatch(last) else None
+                rows.append((xxhash.xxh3_128_digest(text), len(text), len(text.encode("utf-8", "surrogatepass")), kind, key, word, holds_open(text)))
+            c = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), *[pa.array(x, pa.string()) for x in c[3:6]], pa.array(c[6], pa.bool_())], ["doc_id", "source", "digest", "n_chars", "n_bytes", "kind", "key", "word", "holds"])
 
-    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, digest binary, n_chars int, n_bytes int, kind string, key string, word string")
+    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, digest binary, n_chars int, n_bytes int, kind string, key string, word string, holds boolean")
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -188,26 +204,28 @@ def judged(docs: DataFrame, label: str = "cut") -> DataFrame:
     ends = stash(endings(docs), label + "-e")
     counts = stash(corpus_counts(docs), label + "-s")
     limits = field_limits(ends)
-    atlimit = ends.join(limits, "source", "left").withColumn("full", F.coalesce(F.col("n_chars") == F.col("max_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") > F.col("max_bytes") - BYTE_SLACK, F.lit(False)))
+    # sources that leave things open by habit; what is judged cut or open for other reasons doesn't count for it
+    habit = ends.where("source IS NOT NULL").groupBy("source").agg(F.count_if(F.col("holds") & ~F.col("kind").isin("cut", "open")).alias("n"), F.count("*").alias("rows")).where((F.col("n") >= OPEN_SUPPORT) & (F.col("n") > OPEN_SHARE * F.col("rows"))).select("source", F.lit(True).alias("habit"))
+    atlimit = ends.join(limits, "source", "left").join(habit, "source", "left").withColumn("held", F.col("holds") & F.col("habit").isNull()).withColumn("full", F.coalesce(F.col("n_chars") == F.col("max_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") > F.col("max_bytes") - BYTE_SLACK, F.lit(False)))
     # closing lines and remarks: openers that stand at the end of texts nearly always
     last = ends.where("kind IN ('remark', 'line') AND key IS NOT NULL").groupBy("kind", "key").agg(F.count("*").alias("at_end"))
     closers = last.join(counts.where("what = 'o'").select("key", "n"), "key").where((F.col("at_end") >= CLOSER_SUPPORT) & (F.col("at_end") >= CLOSER_SHARE * F.col("n"))).select("kind", "key", F.lit(True).alias("closer"))
-    # broken-off words of transcripts: nowhere else a word, and the beginning of words that are
-    wanted = ends.where("kind = 'transcript' AND word IS NOT NULL").select("word").distinct()
+    # broken-off words of transcripts and list items: nowhere else a word, and the beginning of words that are
+    wanted = ends.where("kind IN ('transcript', 'list') AND word IS NOT NULL").select("word").distinct()
     words = counts.where("what = 'w'").select(F.col("key").alias("word"), "n")
     strange = wanted.join(words, "word", "left_anti")
     begins = words.where("n >= 2").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("word"))
     broken = strange.join(begins, "word", "left_semi").withColumn("broken", F.lit(True))
     # texts without key or word take keys of their own, so that they don't meet in one task
     own_key = lambda c: F.coalesce(c, F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).alias(c)
-    spread = atlimit.select("doc_id", "source", "digest", "kind", "full", own_key("key"), own_key("word"))
+    spread = atlimit.select("doc_id", "source", "digest", "kind", "full", "held", own_key("key"), own_key("word"))
     seen = spread.join(closers, ["kind", "key"], "left").join(broken, "word", "left")
     verdict = (
-        F.when(F.col("kind").isin("blank", "closed"), False)
-        .when(F.col("kind").isin("cut", "open"), True)
+        F.when(F.col("kind").isin("cut", "open") | F.col("held"), True)
+        .when(F.col("kind").isin("blank", "closed"), False)
         .when(F.col("kind") == "remark", F.col("closer").isNull())
         .when(F.col("kind") == "line", F.col("full") | F.col("closer").isNull())
-        .when(F.col("kind") == "list", F.col("full"))
+        .when(F.col("kind") == "list", F.col("full") | F.coalesce("broken", F.lit(False)))
         .otherwise(F.coalesce("broken", F.lit(False)))
     )
     own = stash(seen.select("doc_id", "source", "digest", verdict.alias("own")), label + "-v")

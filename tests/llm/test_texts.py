@@ -96,6 +96,17 @@ def test_judged_with_baselines(spark):
     assert T.judged(df.limit(0)).count() == 0
 
 
+def test_open_brackets_and_broken_list_items(spark):
+    """The automaton counts for every kind of end, but not in a source that leaves brackets open by habit."""
+    fine = "The panel met near the harbour. All of it was seen by the register."
+    rows = [(k, f"{fine} Number {k} (of {k}) is \"well\".", "a") for k in range(40)]
+    rows += [(50, f"{fine} It was small (approx.", "a"), (51, f"{fine}\nOpen points:\n- harbour\n- the panel (near", "a"), (52, f"{fine}\nOpen points:\n- panel\n- the regis", "a"), (53, f"{fine}\nOpen points:\n- panel\n- Saturn", "a")]
+    rows += [(60 + k, f"{fine} Point {k} ( was made.", "b") for k in range(5)]
+    got = {r["doc_id"] for r in T.judged(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "held").where("truncated").collect()}
+    # source a: 2 of 44 texts hold something open, within OPEN_SHARE
+    assert got == {50, 51, 52}
+
+
 def test_transcripts_need_a_broken_word(spark):
     words = "the cohort follows every register near the harbour while transcript readings amplify the measured gap between salinity and drought during each hearing of the panel"
     rows = [(k, f"{words} {words} {w}", "c") for k, w in enumerate(["register", "regis", "salinity", "tran"])]
