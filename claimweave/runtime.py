@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a checked side is broadcast.
+BROADCAST_ROWS = 200_000
+#: A key that more rows carry is joined by broadcasting its one row, see keyed_join.
+HOT_KEY = 100_000
+#: Hot keys there are at most.
+HOT_KEYS = 100_000
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -35,10 +44,16 @@ def session(app: str = "claimweave", cpus: str | int = "*", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a temporary one is made and set."""
+    """The folder named in spark.checkpoint.dir; only on a local master, where that is unset (tests), a temporary one is made.
+
+    On a cluster an unset folder is an error: each executor would write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^\]]*\])?$", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         path = tempfile.mkdtemp(prefix="claimweave-")
@@ -104,3 +119,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no further than one row past the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast where its rows were counted to be few; unmarked otherwise."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def keyed_join(rows: DataFrame, dim: DataFrame, key: str | list[str], how: str = "inner", n: str = "n", hot: int = HOT_KEY) -> DataFrame:
+    """rows joined (inner or left) with dim, which has one row per key and in column n how many of rows carry it.
+
+    A key with more than hot rows would meet in one task. There are few such keys (the bar rises with the rows, so that there
+    are at most HOT_KEYS), so their rows of dim are broadcast, and only the others are shuffled. dim is read more than once:
+    give a written table. For a left join dim has to hold every key that many rows carry.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total, most = dim.agg(F.sum(n), F.max(n)).first()
+    bar = max(hot, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bar:
+        return rows.join(dim.drop(n), keys, how)
+    few = dim.where(F.col(n) > bar).drop(n)
+    top = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(dim.where(F.col(n) <= bar).drop(n), keys, how)
+    return top.unionByName(rest)

@@ -205,3 +205,30 @@ def test_expand_stops_at_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = rows(G.expand(spark.createDataFrame([("a",)], "id string"), e, 3))
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    """Without spark.checkpoint.dir a non-local master is an error, not a temporary folder."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from claimweave.runtime import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app", getConf=lambda: conf)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_keyed_join_splits_hot_keys(spark):
+    """A third of all rows on one key; unknown and null keys stay in a left join."""
+    from pyspark.sql import functions as F
+
+    from claimweave.runtime import keyed_join
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 100 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    dim = rows.where("k IS NOT NULL AND k % 2 = 0").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    plain = sorted(map(tuple, rows.join(dim.drop("n"), "k", "left").collect()), key=str)
+    assert sorted(map(tuple, keyed_join(rows, dim, "k", "left", hot=50).select("k", "id", "top").collect()), key=str) == plain
+    assert keyed_join(rows, dim, "k", hot=50).count() == rows.join(dim, "k").count()
