@@ -1,8 +1,10 @@
 """Problem 3: grouping records into similarity clusters.
 
-Cluster-feature trees (Zhang et al. 1996) per partition, whose leaf summaries are mergeable; leaves that meet in a tree
-node are joined by Ward's criterion, one full pass assigns every record, and the members nearest the centroid describe
-each cluster. A record is its set of words; the inner nodes of a tree are the rarest words, so trees built apart agree.
+Cluster-feature trees (Zhang et al. 1996) per partition, whose leaf summaries (count, linear sum, founding record) are
+mergeable; leaves that meet in a tree node are joined by Ward's criterion on their features, the features of a cluster's
+leaves are summed up by partial aggregates, one full pass assigns every record, and the members nearest the centroid
+describe each cluster. A record is its set of words; the inner nodes of a tree are the rarest words, so trees built apart
+agree. Filing under few words is a short cut: clusters and records it leaves apart are then joined exactly.
 """
 
 from __future__ import annotations
@@ -12,28 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.llm.bucketjoin import HOT_BUCKET, bucket_pairs, odd_sketch, sketch_columns, verified
 from claimweave.llm.components import seed_tree_components
 from claimweave.llm.hashing import flat_of, list_array
-from claimweave.llm.wordsets import BROADCAST_ROWS, bucket_of, classes_of, document_frequency, word_rows
-from claimweave.runtime import ship, small_enough, stash
+from claimweave.llm.wordsets import bucket_of, classes_of, document_frequency, word_rows
+from claimweave.runtime import bounded, keyed_join, ship, stash
 
 LIKENESS = 0.3
 #: A record or leaf is filed under those of its ROUTES rarest words that another record may share, and under LEAST in any case.
 ROUTES, LEAST = 4, 2
-#: A large cluster makes its own words frequent, so that its records are not filed under them. Records that meet nothing are
-#: therefore compared with the RECENT latest and the HEAVY largest leaves, and later with the HEAVY largest clusters: lists
-#: of fixed size that a cluster of any size beyond a small share of all rows is on.
+#: A large cluster makes its own words frequent, so that its records are not filed under them. A record that meets nothing is
+#: therefore also compared with the RECENT latest and the HEAVY largest leaves of its tree.
 RECENT, HEAVY = 1024, 1024
-#: Leaves a tree holds before it is written out and begun anew.
+#: Leaves a tree holds before it is written out and begun anew; leaves of all trees are merged alike.
 TREE_LEAVES = 40_000
-#: Words a leaf counts; the least frequent half is dropped beyond.
+#: Words a leaf counts: beyond, the least frequent half is forgotten. A centroid has the words of more than half of the
+#: records, of which there are far fewer than this half.
 LEAF_WORDS = 2048
-#: Clusters beyond so many records are spread over SALTS tasks in the assignment pass.
-HOT_CLUSTER, SALTS = 20_000, 16
+#: Words of 64 parity bits in the sketches of the exact join.
+SKETCH = 6
 TYPICAL = 5
 
 
-def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, filing: tuple[int, int] = (ROUTES, LEAST)) -> tuple[np.ndarray, np.ndarray]:
     """Positions of words, within each set from the rarest to the most frequent, and which of them it is filed under."""
     n = counts[bucket_of(words)].astype(np.int64)
     row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -42,7 +45,7 @@ def rare_first(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
     place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
     before = np.concatenate([[0], np.cumsum(~alone)])
     shared_place = before[:-1] - np.repeat(before[starts[:-1]], np.diff(starts)) if len(words) else place
-    return order, ~alone & ((place < ROUTES) | (shared_place < LEAST))
+    return order, ~alone & ((place < filing[0]) | (shared_place < filing[1]))
 
 
 class Leaf:
@@ -88,8 +91,8 @@ def odd_row(odd: int) -> np.ndarray:
 class Shelf:
     """The latest and the largest leaves of a tree, compared with a record all at once by their parity bits."""
 
-    def __init__(self):
-        k = RECENT + HEAVY
+    def __init__(self, recent: int = RECENT, heavy: int = HEAVY):
+        self.recent, k = recent, recent + heavy
         self.bits, self.size, self.n = np.zeros((k, 4), "<u8"), np.full(k, -(10**9), np.int64), np.zeros(k, np.int64)
         self.leaves: list[Leaf | None] = [None] * k
         self.turn = 0
@@ -103,7 +106,7 @@ class Shelf:
         self.changed(leaf)
 
     def latest(self, leaf: Leaf) -> None:
-        self.put(self.turn % RECENT, leaf)
+        self.put(self.turn % self.recent, leaf)
         self.turn += 1
 
     def changed(self, leaf: Leaf) -> None:
@@ -112,10 +115,10 @@ class Shelf:
 
     def grown(self, leaf: Leaf) -> None:
         """Called where a leaf reaches a power of two; the smallest leaf on the shelf of large ones makes room."""
-        if any(s >= RECENT for s in leaf.slots):
+        if any(s >= self.recent for s in leaf.slots):
             self.changed(leaf)
             return
-        slot = RECENT + int(np.argmin(self.n[RECENT:]))
+        slot = self.recent + int(np.argmin(self.n[self.recent :]))
         if self.n[slot] < leaf.n:
             self.put(slot, leaf)
 
@@ -124,22 +127,25 @@ class Shelf:
         return [self.leaves[k] for k in np.flatnonzero(far <= apart * (self.size + size)).tolist()]
 
 
+LEAF_COLUMNS = ["leaf", "cid", "n", "core", "words", "sums", "seed", "routes"]
+
+
 def likeness(a: frozenset | set, b: frozenset | set) -> float:
     shared = len(a & b)
     either = len(a) + len(b) - shared
     return shared / either if either else 0.0
 
 
-def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
-    """(leaf, cid, n, core, seed, routes): a row per record with its leaf and (as core) its words, and a row per leaf (cid
-    null) with its summary."""
+def leaf_rows(classes: DataFrame, counts_bc, threshold: float, filing: tuple[int, int] = (ROUTES, LEAST), shelves: tuple[int, int] = (RECENT, HEAVY)) -> DataFrame:
+    """(leaf, cid, n, core, words, sums, seed, routes): a row per record with its leaf and (as core) its words, and a row per
+    leaf (cid null) with its feature: count, linear sum by word, rounded centroid (core) and founding record (seed)."""
 
     def run(batches):
         counts = counts_bc.value
         apart = (1 - threshold) / (1 + threshold) + 1e-9  # of all their words, sets at the threshold differ in so many at most
         leaves: list[Leaf] = []
         filed: dict[int, list[Leaf]] = {}
-        shelf = Shelf()
+        shelf = Shelf(*shelves)
 
         def summaries():
             for lo in range(0, len(leaves), 4000):
@@ -148,7 +154,7 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
                 sizes = np.array([len(c) for c in core], np.int64)
                 flat = np.array([w for c in core for w in c], np.int64)
                 starts = np.concatenate([[0], np.cumsum(sizes)])
-                order, filed_under = rare_first(flat, starts, counts)
+                order, filed_under = rare_first(flat, starts, counts, filing)
                 ranked = flat[order]
                 routes = [ranked[a:b][filed_under[a:b]].tolist() for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -157,16 +163,18 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
                         pa.nulls(len(some), pa.int64()),
                         pa.array([x.n for x in some], pa.int64()),
                         list_array(flat, sizes),
+                        pa.array([list(x.sums) if x.n > 1 else [] for x in some], pa.list_(pa.int64())),
+                        pa.array([list(x.sums.values()) if x.n > 1 else [] for x in some], pa.list_(pa.int64())),
                         pa.array([x.seed if x.n > 1 else [] for x in some], pa.list_(pa.int64())),
                         pa.array(routes, pa.list_(pa.int64())),
                     ],
-                    ["leaf", "cid", "n", "core", "seed", "routes"],
+                    LEAF_COLUMNS,
                 )
 
         for batch in batches:
             cids = batch.column(0).to_pylist()
             flat, starts = flat_of(batch.column(1))
-            order, take = rare_first(flat, starts, counts)
+            order, take = rare_first(flat, starts, counts, filing)
             ranked = flat[order].tolist()
             routes = flat[order][take].tolist()
             ends = np.concatenate([[0], np.cumsum(take)])[starts].tolist()
@@ -207,19 +215,26 @@ def leaf_rows(classes: DataFrame, counts_bc, threshold: float) -> DataFrame:
                 where.append(best.id)
             k = len(cids)
             none = pa.ListArray.from_arrays(pa.array(np.zeros(k + 1, np.int32)), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(k, pa.int64()), batch.column(1), none, none], ["leaf", "cid", "n", "core", "seed", "routes"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(k, pa.int64()), batch.column(1), none, none, none, none], LEAF_COLUMNS)
             if len(leaves) > TREE_LEAVES:
                 yield from summaries()
-                leaves, filed, shelf = [], {}, Shelf()
+                leaves, filed, shelf = [], {}, Shelf(*shelves)
         yield from summaries()
 
-    return classes.select("cid", "words").mapInArrow(run, "leaf bigint, cid bigint, n bigint, core array<bigint>, seed array<bigint>, routes array<bigint>")
+    return classes.select("cid", "words").mapInArrow(run, "leaf bigint, cid bigint, n bigint, core array<bigint>, words array<bigint>, sums array<bigint>, seed array<bigint>, routes array<bigint>")
+
+
+def ward_cost(n: int, size: int, m: int, square: float, dot: float) -> float:
+    """The rise of the squared error when n records with the centroid of size words are merged into m records whose linear
+    sum has this square and this dot product with the centroid."""
+    return n * m / (n + m) * (size + square / (m * m) - 2 * dot / m)
 
 
 def ward_links(leaves: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): leaves joined under an inner node. Each leaf meets the leaders filed there before it, and joins the one whose
-    merger raises the squared error least (Ward), among those at or above the threshold. Rows stream in sorted order; only
-    leaders are held. Words come as 32-bit values here: the assignment pass decides exactly."""
+    """(a, b): leaves joined under an inner node. Each leaf, the largest first, meets the leaders filed there before it and is
+    merged into the one whose merger raises the squared error least (Ward), of those whose centroid reaches the threshold;
+    a leader's feature takes up the leaf's. Rows stream in sorted order; only leaders are held. Words come as 32-bit values
+    here, and leaves by their rounded centroids: the assignment pass decides exactly."""
 
     def run(batches):
         route, leaders, filed = None, [], {}
@@ -243,20 +258,24 @@ def ward_links(leaves: DataFrame, threshold: float) -> DataFrame:
                         meets[k] = meets.get(k, 0) + 1
                 best, cost = None, float("inf")
                 for k, shared in meets.items():
-                    m, other = leaders[k][1], leaders[k][2]
-                    either = size + other - shared
-                    if shared >= threshold * either:
-                        rise = n * m / (n + m) * (either - shared)
+                    _, m, core, sums, square = leaders[k]
+                    if shared >= threshold * (size + core - shared):
+                        rise = ward_cost(n, size, m, square, sum(sums.get(w, 0) for w in words))
                         if rise < cost:
                             best, cost = k, rise
                 if best is None:
                     for w in words:
                         filed.setdefault(w, []).append(len(leaders))
-                    leaders.append([int(ids[i]), n, size])
+                    leaders.append([int(ids[i]), n, size, dict.fromkeys(words, n), float(n * n * size)])
                 else:
-                    out_a.append(leaders[best][0])
+                    one = leaders[best]
+                    out_a.append(one[0])
                     out_b.append(int(ids[i]))
-                    leaders[best][1] += n
+                    one[1] += n
+                    for w in words:
+                        was = one[3].get(w, 0)
+                        one[3][w] = was + n
+                        one[4] += n * (2 * was + n)
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
@@ -267,6 +286,23 @@ def ward_links(leaves: DataFrame, threshold: float) -> DataFrame:
     return filed.select("route", "leaf", "n", "core").mapInArrow(run, "a bigint, b bigint")
 
 
+def merged_features(leaves: DataFrame, placed: DataFrame, label: str) -> DataFrame:
+    """(cluster, size, core, rep) of clusters of two or more records from leaves and (leaf, n, cluster).
+
+    Linear sums are added up per cluster and word by partial aggregates before and after the shuffle, so that a cluster with
+    very many leaves is summed up by many tasks. core has the words of more than half of the records (the rounded
+    centroid), rep the founding record of the largest leaf.
+    """
+    best = F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf")))
+    top = stash(placed.groupBy("cluster").agg(F.sum("n").alias("size"), best.alias("best")).where("size > 1"), label + "-t")
+    own = leaves.join(placed.select("leaf", "cluster").join(bounded(top.select("cluster")), "cluster", "left_semi"), "leaf")
+    word = F.when(F.size("words") > 0, F.arrays_zip(F.col("words").alias("w"), F.col("sums").alias("s"))).otherwise(F.transform("core", lambda w: F.struct(w.alias("w"), F.lit(1).cast("bigint").alias("s"))))
+    sums = own.select("cluster", F.explode(word).alias("x")).groupBy("cluster", F.col("x.w").alias("w")).agg(F.sum("x.s").alias("s"))
+    core = sums.join(bounded(top.select("cluster", "size")), "cluster").where("2 * s > size").groupBy("cluster").agg(F.collect_list("w").alias("core"))  # fewer than two records' words
+    founder = leaves.select(F.col("leaf").alias("best"), F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"))
+    return stash(top.join(founder, "best").join(core, "cluster", "left").select("cluster", "size", F.coalesce("core", "rep").alias("core"), "rep"), label + "-p")
+
+
 def nearness(joined: DataFrame, threshold: float) -> DataFrame:
     """(cid, cluster, near, ok) from (cid, cluster, words, core, rep): near is the likeness to the centroid, ok whether the
     likeness to the cluster's representative record reaches the threshold."""
@@ -289,134 +325,100 @@ def nearness(joined: DataFrame, threshold: float) -> DataFrame:
     return joined.select("cid", "cluster", "words", "core", "rep").mapInArrow(run, "cid bigint, cluster bigint, near double, ok boolean")
 
 
-def _routes_of(classes: DataFrame, counts_bc) -> DataFrame:
-    """(route, cid) for each class: its rarest words."""
+def prefix_rows(sets: DataFrame, counts_bc, threshold: float) -> DataFrame:
+    """(key, id, n, o0, …): each set (id, words) under the words it must share one of with any set at the threshold: all but
+    ceil(threshold x n) - 1 of its n words, the rarest ones. Words no other set has are left out."""
 
     def run(batches):
         counts = counts_bc.value
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             flat, starts = flat_of(batch.column(1))
-            order, take = rare_first(flat, starts, counts)
-            row = np.repeat(batch.column(0).to_numpy(), np.diff(starts))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][take]), pa.array(row[take])], ["route", "cid"])
-
-    return classes.select("cid", "words").mapInArrow(run, "route bigint, cid bigint")
-
-
-def heavy_merges(heavy, threshold: float) -> dict[int, int]:
-    """Of the largest clusters (at most HEAVY rows: cluster, core) those to be renamed: their centroids reach the threshold."""
-    names, cores = heavy["cluster"].tolist(), [frozenset(map(int, c)) for c in heavy["core"]]
-    bits = np.array([odd_row(odd_bits(c)) for c in cores]).reshape(-1, 4)
-    size = np.array([len(c) for c in cores])
-    apart = (1 - threshold) / (1 + threshold) + 1e-9
-    goes = {c: c for c in names}
-
-    def root(c: int) -> int:
-        while goes[c] != c:
-            c = goes[c]
-        return c
-
-    for k in range(len(names)):
-        far = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1)
-        for j in (np.flatnonzero(far <= apart * (size[k + 1 :] + size[k])) + k + 1).tolist():
-            if likeness(cores[k], cores[j]) >= threshold:
-                a, b = root(names[k]), root(names[j])
-                goes[max(a, b)] = min(a, b)
-    return {c: root(c) for c in names if root(c) != c}
-
-
-def near_heavy(others: DataFrame, heavy, threshold: float) -> DataFrame:
-    """(cid, cluster, near) of records whose likeness to the representative of one of the largest clusters reaches the threshold."""
-    names = heavy["cluster"].tolist()
-    cores, reps = [frozenset(map(int, x)) for x in heavy["core"]], [frozenset(map(int, x)) for x in heavy["rep"]]
-    bits = np.array([odd_row(odd_bits(r)) for r in reps], dtype="<u8").reshape(-1, 4)
-    size = np.array([len(r) for r in reps], dtype=np.int64)
-    apart = (1 - threshold) / (1 + threshold) + 1e-9
-
-    def run(batches):
-        for batch in batches:
-            flat, starts = flat_of(batch.column(1))
-            fl, st = flat.tolist(), starts.tolist()
-            out: list[tuple[int, int, float]] = []
-            for i, cid in enumerate(batch.column(0).to_pylist()):
-                have = set(fl[st[i] : st[i + 1]])
-                far = np.bitwise_count(bits ^ odd_row(odd_bits(have))).sum(axis=1)
-                for k in np.flatnonzero(far <= apart * (size + len(have))).tolist():
-                    if likeness(have, reps[k]) >= threshold - 1e-9:
-                        out.append((cid, names[k], likeness(have, cores[k])))
-            c = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["cid", "cluster", "near"])
-
-    return others.mapInArrow(run, "cid bigint, cluster bigint, near double")
-
-
-def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str = "clusters", depth: int = 3) -> DataFrame:
-    """(cid, cluster, near): the cluster of every class that shares one with another class, as a written table."""
+            if not len(flat):
+                continue
+            sizes = np.diff(starts)
+            row = np.repeat(np.arange(len(ids)), sizes)
+            seen = counts[bucket_of(flat)]
+            order = np.lexsort((flat, seen, row))
+            place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
+            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            take = (place < np.repeat(prefix, sizes)) & (seen[order] > 1)
+            odd = odd_sketch(flat, starts, SKETCH)[row[take]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][take]), pa.array(ids[row[take]]), pa.array(sizes[row[take]].astype(np.int64)), *[pa.array(odd[:, i].copy()) for i in range(SKETCH)]], ["key", "id", "n", *sketch_columns(SKETCH)])
+
+    return sets.mapInArrow(run, "key bigint, id bigint, n bigint, " + ", ".join(f"{c} bigint" for c in sketch_columns(SKETCH)))
+
+
+def exact_links(sets: DataFrame, threshold: float, hot: int = HOT_BUCKET, label: str = "exact") -> DataFrame:
+    """(a, b, likeness): all pairs of non-empty sets (id, words) at or above the threshold, by prefix filtering and parity
+    sketches, none of which loses a pair."""
+    counts, _ = document_frequency(sets)
+    counts_bc = sets.sparkSession.sparkContext.broadcast(counts)
+    return stash(verified(bucket_pairs(prefix_rows(sets, counts_bc, threshold), threshold, SKETCH, hot, label + "-b"), sets, threshold), label + "-x")
+
+
+def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str = "clusters", **short_cuts) -> DataFrame:
+    """(cid, cluster, near): the cluster of every class that shares one with another class, as a written table.
+
+    After the assignment pass the representatives of clusters, and the records that belong to no cluster yet or are not
+    like their cluster's representative, are joined with each other exactly. In that join a cluster is one record, so
+    that its words are no longer frequent; what is alike there becomes one cluster. So no link to a representative is lost,
+    however few words records were filed under (filing) or however short the lists of leaves are (shelves).
+    """
     spark = classes.sparkSession
     counts, _ = document_frequency(classes)
     counts_bc = spark.sparkContext.broadcast(counts.astype(np.int32))
-    rows = stash(leaf_rows(classes, counts_bc, threshold), label + "-l")
-    leaves = rows.where("cid IS NULL").select("leaf", "n", "core", "seed", "routes")
+    rows = stash(leaf_rows(classes, counts_bc, threshold, **short_cuts), label + "-l")
+    leaves = rows.where("cid IS NULL").drop("cid")
     records = rows.where("cid IS NOT NULL").select("cid", "leaf", F.col("core").alias("words"))
     merged = seed_tree_components(ward_links(leaves, threshold), "a", "b", label)
     merged = stash(merged.select(F.col("id").alias("leaf"), F.col("group_id").alias("cluster")), label + "-w")
-    # summaries of the trees' top: one row per cluster of two or more records; it speaks through its largest leaf
-    placed = stash(leaves.select("leaf", "n").join(merged, "leaf", "left").select("leaf", "n", F.coalesce("cluster", "leaf").alias("cluster")), label + "-t")
-    summed = lambda df: df.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf"))).alias("best")).where("size > 1")
-    largest = summed(placed).orderBy(F.desc("size"), "cluster").limit(HEAVY)
-    renamed = heavy_merges(largest.join(leaves.withColumnRenamed("leaf", "best"), "best").select("cluster", "core").toPandas(), threshold)
-    if renamed:  # at most HEAVY rows
-        names = spark.createDataFrame(list(renamed.items()), "cluster bigint, renamed bigint")
-        placed = placed.join(F.broadcast(names), "cluster", "left").select("leaf", "n", F.coalesce("renamed", "cluster").alias("cluster"))
-    top = summed(placed)
-    profile = stash(top.join(leaves.withColumnRenamed("leaf", "best"), "best").select("cluster", "size", "core", F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"), "routes"), label + "-p")
-    # the assignment pass: records whose leaf belongs to such a cluster are compared with it
-    hot = F.col("size") > HOT_CLUSTER
-    home = stash(placed.join(profile.select("cluster", hot.alias("hot")), "cluster").select("leaf", "cluster", "hot"), label + "-h")
-    home = F.broadcast(home) if small_enough(home, BROADCAST_ROWS) else home
-    held = records.join(home, "leaf").select("cid", "words", "cluster", F.when(F.col("hot"), F.pmod("cid", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt"))
-    salted = profile.select("cluster", "core", "rep", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    looked = stash(nearness(held.join(salted, ["cluster", "salt"]), threshold), label + "-n")
+    placed = stash(leaves.select("leaf", "n").join(merged, "leaf", "left").select("leaf", "n", F.coalesce("cluster", "leaf").alias("cluster")), label + "-c")
+    profile = merged_features(leaves, placed, label)
+    # the assignment pass: every record is compared with the cluster of its leaf; a leaf has no more records than one task reads
+    home = bounded(placed.join(bounded(profile.select("cluster")), "cluster", "left_semi").select("leaf", "cluster"))
+    held = records.join(home, "leaf", "left").select("cid", "words", "cluster")
+    looked = stash(nearness(keyed_join(held.where("cluster IS NOT NULL"), profile, "cluster", n="size"), threshold), label + "-n")
     sure = looked.where("ok").select("cid", "cluster", "near")
-    # all others are compared with every cluster they meet in an inner node
-    failed = looked.where("NOT ok").select("cid")
-    failed = F.broadcast(failed) if small_enough(failed, BROADCAST_ROWS) else failed
-    others = stash(records.join(home, "leaf", "left_anti").select("cid", "words").unionByName(records.join(failed, "cid", "left_semi").select("cid", "words")), label + "-r")
-    met = _routes_of(others, counts_bc).join(profile.select(F.explode("routes").alias("route"), "cluster"), "route").select("cid", "cluster").distinct()
-    tried = nearness(met.join(others, "cid").join(profile.select("cluster", "core", "rep"), "cluster"), threshold).where("ok")
-    heavy = profile.orderBy(F.desc("size"), "cluster").limit(HEAVY).select("cluster", "core", "rep").toPandas()
-    tried = tried.select("cid", "cluster", "near").unionByName(near_heavy(others, heavy, threshold))
-    late = stash(tried.groupBy("cid").agg(F.max_by(F.struct("cluster", "near"), F.struct(F.col("near"), -F.col("cluster"))).alias("x")).select("cid", "x.cluster", "x.near"), label + "-b")
-    found = sure.unionByName(late)
-    # records that were summed up with others yet belong elsewhere start over among themselves
-    astray = looked.where("NOT ok").select("cid").join(late.select("cid"), "cid", "left_anti")
-    if depth > 1 and astray.limit(1).count():
-        again = stash(others.join(astray, "cid", "left_semi").select("cid", F.size("words").alias("n"), "words"), label + "-z")
-        found = found.unionByName(class_clusters(again, threshold, f"{label}{depth}", depth - 1))
-    return found
-
-
-def similarity_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = LIKENESS, label: str = "clusters") -> DataFrame:
+    # clusters go by -cluster - 1 among the records left over
+    apart = stash(records.select("cid", "words").join(bounded(sure.select("cid")), "cid", "left_anti").select(F.col("cid").alias("id"), "words").unionByName(profile.select((-F.col("cluster") - 1).alias("id"), F.col("rep").alias("words"))), label + "-r")
+    links = exact_links(apart, threshold, label=label)
+    joined = stash(seed_tree_components(links, "a", "b", label + "-j"), label + "-g")
+    renamed = joined.where("id < 0").select((-F.col("id") - 1).alias("cluster"), "group_id")
+    found = sure.join(bounded(renamed), "cluster", "left").select("cid", F.coalesce("group_id", -F.col("cluster") - 1).alias("cluster"), "near")
+    best = links.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), "likeness"), F.struct(F.col("b").alias("cid"), "likeness"))).alias("x")).groupBy("x.cid").agg(F.max("x.likeness").alias("near"))
+    late = joined.where("id >= 0").select(F.col("id").alias("cid"), F.col("group_id").alias("cluster")).join(best, "cid")
+    return found.unionByName(late)
+
+
+def similarity_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = LIKENESS, label: str = "clusters", **short_cuts) -> DataFrame:
     """(id, cluster_id, size, near): one row per id with at least one word; cluster_id is the smallest id of the cluster.
 
     Null ids, and null, empty or word-less texts, belong to no cluster and have no row. An id like no other is a cluster of
-    one. Rows that repeat an id and its text count once; other columns are ignored. near is the likeness to the centroid.
+    one. Rows that repeat an id and its text count once; other columns are ignored. near is the likeness to the centroid, or,
+    of a record the last join brought in, to the nearest record or representative there.
     """
     ship(df.sparkSession)
     members, classes = classes_of(word_rows(df, id_col, text_col), label)
-    found = class_clusters(classes, threshold, label)
-    placed = members.join(found, "cid", "left").select("id", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("near", F.lit(1.0)).alias("near"))
-    placed = stash(placed, label + "-f")
-    size = placed.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
-    if small_enough(size, 100_000):
-        size = F.broadcast(size)
-    return placed.join(size, "cluster").select("id", "cluster_id", "size", "near")
+    members = stash(members.withColumnRenamed("id", "rid"), label + "-i")
+    found = stash(class_clusters(classes, threshold, label, **short_cuts), label + "-f")
+    copies = stash(members.groupBy("cid").agg(F.count("*").alias("n")).join(found, "cid", "left").select("cid", "n", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("near", F.lit(1.0)).alias("near")), label + "-q")
+    placed = stash(keyed_join(members, copies, "cid").select(F.col("rid").alias("id"), "cluster", "near"), label + "-o")
+    size = stash(placed.groupBy("cluster").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"), F.count("*").alias("n")), label + "-s")
+    return keyed_join(placed, size, "cluster").select("id", "cluster_id", "size", "near")
 
 
-def described(clusters: DataFrame, least: int = 3, typical: int = TYPICAL) -> DataFrame:
-    """(cluster_id, size, rank, id, near): the typical members nearest the centroid of each cluster of at least `least` ids.
+def described(clusters: DataFrame, labels: DataFrame | None = None, least: int = 3, typical: int = TYPICAL) -> DataFrame:
+    """(cluster_id, size, rank, id, near): the typical members nearest the centroid of each cluster of at least `least` ids;
+    with labels (id, label) also label and label_share: the most frequent one of the cluster's members and its share.
 
-    Ranking drops all but the first few rows of a cluster before anything is shuffled.
+    Ranking drops all but the first few rows of a cluster before anything is shuffled. Null labels are not counted.
     """
     w = Window.partitionBy("cluster_id").orderBy(F.desc("near"), "id")
-    return clusters.where(F.col("size") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical).select("cluster_id", "size", "rank", "id", F.round("near", 6).alias("near"))
+    large = clusters.where(F.col("size") >= least)
+    out = large.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical).select("cluster_id", "size", "rank", "id", F.round("near", 6).alias("near"))
+    if labels is None:
+        return out
+    counted = large.select("id", "cluster_id").join(labels.where("label IS NOT NULL").distinct(), "id").groupBy("cluster_id", "label").agg(F.count("*").alias("k"))
+    top = counted.groupBy("cluster_id").agg(F.min_by(F.struct("label", "k"), F.struct(-F.col("k"), F.col("label"))).alias("t")).select("cluster_id", "t.label", "t.k")
+    return out.join(top, "cluster_id", "left").select(*out.columns, "label", F.round(F.col("k") / F.col("size"), 6).alias("label_share"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import stash
+from claimweave.runtime import keyed_join, stash
 
 MAX_ROUNDS = 60
 
@@ -22,8 +22,9 @@ def _directed(edges: DataFrame) -> DataFrame:
 def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtree") -> DataFrame:
     """(id, group_id): every vertex of an edge between two different vertices, with the least vertex of its component.
 
-    Null ends, self-links, repeats and reversed repeats add nothing; an edgeless table gives no rows. All neighbourhood
-    minima are taken by map-side combined aggregates, so a vertex with a third of all edges is never gathered anywhere.
+    Null ends, self-links, repeats and reversed repeats add nothing; an edgeless table gives no rows. Neighbourhood minima
+    are taken by map-side combined aggregates, and where minima and parents are joined back, vertices with very many edges
+    or children are broadcast (keyed_join), so that no task gathers a hot vertex.
     """
     links = (
         edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -38,16 +39,17 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
         if not graph.limit(1).count():
             break
         both = _directed(graph)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"{label}-l{k}")
         # min selection: u tells itself and its neighbours its least; only distinct (vertex, minimum) pairs go on
-        told = both.join(least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).distinct()
+        told = keyed_join(both, least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).distinct()
+        told = stash(told, f"{label}-d{k}")
         mins = stash(told.groupBy("x").agg(F.min("m").alias("root"), F.max(F.expr("m = x")).alias("seed"), F.count("*").alias("k")), f"{label}-m{k}")
         # pruning: a vertex that no neighbourhood names as its least leaves the graph and hangs below its own least
         gone = mins.where("NOT seed").select(F.col("x").alias("child"), F.col("root").alias("parent"))
         trees = gone if trees is None else trees.unionByName(gone)
         # the minima a vertex has heard of stay connected through the least of them
         graph = stash(
-            told.join(mins.where("k > 1").select("x", "root"), "x").where("m <> root").select(F.col("root").alias("u"), F.col("m").alias("v")).distinct(),
+            keyed_join(told, mins.where("k > 1").select("x", "root", F.col("k").alias("n")), "x").where("m <> root").select(F.col("root").alias("u"), F.col("m").alias("v")).distinct(),
             f"{label}-g{k}",
         )
     else:
@@ -57,11 +59,15 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
     # seed propagation: parents are replaced by their own parents until all are seeds
     below = stash(trees, label + "-t")
     for k in range(MAX_ROUNDS):
-        up = below.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        step = stash(below.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"{label}-p{k}")
+        # every parent, with its own one where it has one and the number of its children
+        children = below.groupBy("parent").agg(F.count("*").alias("n"))
+        up = children.join(below.select(F.col("child").alias("parent"), F.col("parent").alias("above")), "parent", "left")
+        step = stash(keyed_join(below, stash(up, f"{label}-u{k}"), "parent").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"{label}-p{k}")
         below = step.select("child", "parent")
         if not step.where("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"seeds did not reach all vertices in {MAX_ROUNDS} rounds")
     members = below.select(F.col("child").alias("id"), F.col("parent").alias("group_id"))
     return members.unionByName(below.select(F.col("parent").alias("id"), F.col("parent").alias("group_id")).distinct())
 

@@ -1,14 +1,9 @@
-"""Vectorised 64-bit mixing and word hashing shared by the sketching operators."""
+"""Vectorised 64-bit mixing and list columns as arrays, shared by the sketching operators."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-
-WORD = re.compile("[a-z]{4,}")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,29 +18,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHasher:
-    """Distinct words of a text as sorted signed 64-bit hashes; remembers a bounded number of words."""
-
-    def __init__(self, bound: int = 200_000):
-        self.known: dict[str, int] = {}
-        self.bound = bound
-
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known, out = self.known, []
-        for w in set(WORD.findall(text.lower())):
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                known[w] = h = h - (1 << 64) if h >= 1 << 63 else h
-            out.append(h)
-        out.sort()
-        return out
-
-
 def list_array(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])

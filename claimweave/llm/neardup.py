@@ -11,16 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.bucketjoin import HOT_BUCKET, bucket_pairs, odd_sketch, verified
 from claimweave.llm.hashing import flat_of, mix64
-from claimweave.llm.wordsets import BROADCAST_ROWS, bucket_of, classes_of, document_frequency, idf_weights, word_rows
-from claimweave.runtime import ship, small_enough, stash
+from claimweave.llm.wordsets import bucket_of, classes_of, document_frequency, idf_weights, word_rows
+from claimweave.runtime import keyed_join, ship, stash
 
 LIKENESS = 0.7
-BANDS, ROWS = 20, 3
-#: A band bucket beyond so many classes is paired in blocks of about so many by several tasks instead of whole by one.
-HOT_BUCKET = 1024
-#: A group of exact copies of one text beyond so many ids is linked through its smallest id instead of all its pairs.
-COPY_PAIRS = 64
+BANDS, ROWS = 24, 3
+#: The largest ratio of the weights of two words.
+TOP_WEIGHT = 2.0
 #: Ids of a class that are paired at a time.
 ID_BLOCK = 1024
 _BLOCK = 3_000_000
@@ -57,14 +56,8 @@ def cws_samples(words: np.ndarray, starts: np.ndarray, weights: np.ndarray, firs
     return out
 
 
-def odd_sketch(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64 parity bits per set; two sets differ in at least as many words as their sketches in bits."""
-    bits = np.uint64(1) << (mix64(words.view(np.uint64) ^ np.uint64(0x5BD1E995)) & np.uint64(63))
-    return np.bitwise_xor.reduceat(bits, starts[:-1])
-
-
 def band_rows(classes: DataFrame, weights_bc, bands: int, rows: int) -> DataFrame:
-    """(band, cid, odd, n): bands rows per class."""
+    """(key, id, n, o0): bands rows per class."""
 
     def run(batches):
         weights = weights_bc.value
@@ -87,173 +80,18 @@ def band_rows(classes: DataFrame, weights_bc, bands: int, rows: int) -> DataFram
                     for i in range(rows):
                         h = mix64(h ^ (got[:, b * rows + i] & np.uint64(0xFFFFFFFF)))
                     key[:, b] = h
-                odd = odd_sketch(fl, st).view(np.int64)
+                odd = odd_sketch(fl, st)[:, 0].copy().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key.view(np.int64).ravel()),
                         pa.array(np.repeat(cid[lo:hi], bands)),
-                        pa.array(np.repeat(odd, bands)),
                         pa.array(np.repeat(n_all[lo:hi], bands)),
+                        pa.array(np.repeat(odd, bands)),
                     ],
-                    ["band", "cid", "odd", "n"],
+                    ["key", "id", "n", "o0"],
                 )
 
-    return classes.mapInArrow(run, "band bigint, cid bigint, odd bigint, n int")
-
-
-def _apart(threshold: float, n: np.ndarray) -> np.ndarray:
-    """Words two sets with n words together may differ in at most, at this likeness."""
-    return np.floor((1 - threshold) / (1 + threshold) * n + 1e-9)
-
-
-def bucket_pairs(rows: DataFrame, threshold: float, hot: int | None) -> DataFrame:
-    """(a, b, band, odd, n) with a < b for classes of one band whose sketches allow the likeness; a null b marks a class of a hot band.
-
-    Rows arrive sorted by band and are read as a stream: no more than a batch and `hot` rows are held.
-    """
-
-    def pairs_of(band, cid, odd, n):
-        at, d, out_a, out_b = np.arange(len(band)), 1, [], []
-        while True:
-            at = at[at + d < len(band)]
-            at = at[band[at] == band[at + d]]
-            if not len(at):
-                break
-            other = at + d
-            ok = (np.bitwise_count(odd[at] ^ odd[other]) <= _apart(threshold, n[at].astype(np.int64) + n[other])) & (cid[at] != cid[other])
-            out_a.append(np.minimum(cid[at[ok]], cid[other[ok]]))
-            out_b.append(np.maximum(cid[at[ok]], cid[other[ok]]))
-            d += 1
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def made(a, b):
-        none = [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32())], ["a", "b", "band", "odd", "n"])
-
-    def passed(cols, which):
-        band, cid, odd, n = (c[which] for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(cid), pa.array([None] * len(cid), pa.int64()), pa.array(band), pa.array(odd.view(np.int64)), pa.array(n)], ["a", "b", "band", "odd", "n"])
-
-    def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)]
-        split: int | None = None
-
-        def settle(cols):
-            """Pairs within the runs of cols; the classes of a run that is too long come out one by one."""
-            band, cid, odd, n = cols
-            if hot is not None and len(band):
-                edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-                size = np.diff(np.append(edge, len(band)))
-                long = np.repeat(size > hot, size)
-                if long.any():
-                    yield passed(cols, long)
-                    band, cid, odd, n = band[~long], cid[~long], odd[~long], n[~long]
-            a, b = pairs_of(band, cid, odd, n)
-            if len(a):
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield made(both[:, 0], both[:, 1])
-
-        for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
-            if not len(new[0]):
-                continue
-            if split is not None:  # the rest of a hot band passes through
-                same = new[0] == split
-                if same.any():
-                    yield passed(new, same)
-                    new = [c[~same] for c in new]
-                if not len(new[0]):
-                    continue
-                split = None
-            cols = [np.concatenate([h, c]) for h, c in zip(held, new)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-            yield from settle([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-            if hot is not None and len(held[0]) > hot:
-                split = int(held[0][0])
-                yield from settle(held)
-                held = [c[:0] for c in held]
-        yield from settle(held)
-
-    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a bigint, b bigint, band bigint, odd bigint, n int")
-
-
-def block_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b), a < b: all pairs of classes (band, cid, odd, n) of one band whose sizes and sketches allow the likeness.
-
-    The classes of a band are hashed into blocks of about `block`, and each pair of blocks is compared by itself: no task
-    holds more than two blocks, and no pair is lost.
-    """
-    size = stash(rows.groupBy("band").agg(F.count("*").alias("m")), "hot-bands")
-    if small_enough(size, BROADCAST_ROWS):
-        size = F.broadcast(size)
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = rows.join(size, "band").withColumn("blocks", blocks).withColumn("g", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: F.struct(F.least("g", h).alias("x"), F.greatest("g", h).alias("y")))
-    sent = own.select("band", "cid", "odd", "n", "g", F.explode(meets).alias("p")).select("band", "cid", "odd", "n", "g", "p.x", "p.y")
-
-    def product(cols):
-        band, cid, odd, n, g, x, y = cols
-        left, right = np.flatnonzero(g == x[0]), np.flatnonzero(g == y[0])
-        for lo in range(0, len(left), 256):
-            part = left[lo : lo + 256, None]
-            size_a, size_b = n[part].astype(np.int64), n[right].astype(np.int64)
-            ok = np.bitwise_count(odd[part] ^ odd[right]) <= _apart(threshold, size_a + size_b)
-            ok &= np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-9
-            ok &= cid[part] < cid[right] if x[0] == y[0] else cid[part] != cid[right]
-            i, j = np.nonzero(ok)
-            a, b = cid[part[i, 0]], cid[right[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if not len(cols[0]):
-                continue
-            cols[2] = cols[2].view(np.uint64)
-            cols = cols if held is None else [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[5][1:] != cols[5][:-1]) | (cols[6][1:] != cols[6][:-1])) + 1
-            for lo, hi in zip(np.append(0, edge[:-1]), edge):
-                yield from product([c[lo:hi] for c in cols])
-            held = [c[edge[-1] if len(edge) else 0 :] for c in cols]
-        if held is not None:
-            yield from product(held)
-
-    key = ["band", "x", "y"]
-    return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, weights_bc, threshold: float) -> DataFrame:
-    """(a, b, likeness) of pairs that pass the weighted likeness a true pair can't stay below, then the exact one."""
-    top = 2.0  # largest ratio of two weights
-    floor = threshold / (threshold + top * (1 - threshold))
-
-    def run(batches):
-        weights = weights_bc.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, xs = flat_of(batch.column(2))
-            y, ys = flat_of(batch.column(3))
-            rows = np.arange(len(xs) - 1)
-            word = np.concatenate([x, y])
-            row = np.concatenate([np.repeat(rows, np.diff(xs)), np.repeat(rows, np.diff(ys))])
-            order = np.lexsort((word, row))
-            word, row = word[order], row[order]
-            w = weights[bucket_of(word)]
-            twin = np.flatnonzero((word[1:] == word[:-1]) & (row[1:] == row[:-1])) + 1
-            shared = np.bincount(row[twin], minlength=len(rows))
-            w_shared = np.bincount(row[twin], weights=w[twin], minlength=len(rows))
-            w_all = np.bincount(row, weights=w, minlength=len(rows)) - w_shared
-            either = np.bincount(row, minlength=len(rows)) - shared
-            likeness = shared / np.maximum(either, 1)
-            ok = (w_shared >= floor * w_all - 1e-9) & (shared >= threshold * either - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(likeness[ok])], ["a", "b", "likeness"])
-
-    left = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
-    right = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, likeness double")
+    return classes.mapInArrow(run, "key bigint, id bigint, n int, o0 bigint")
 
 
 def class_links(classes: DataFrame, threshold: float = LIKENESS, hot: int = HOT_BUCKET, label: str = "neardup") -> DataFrame:
@@ -261,51 +99,43 @@ def class_links(classes: DataFrame, threshold: float = LIKENESS, hot: int = HOT_
     spark = classes.sparkSession
     counts, total = document_frequency(classes)
     weights_bc = spark.sparkContext.broadcast(idf_weights(counts, total))
-    found = stash(bucket_pairs(band_rows(classes, weights_bc, BANDS, ROWS), threshold, hot), label + "-c0")
-    pairs = found.where("b IS NOT NULL").select("a", "b")
-    rest = found.where("b IS NULL").select("band", F.col("a").alias("cid"), "odd", "n")
-    if rest.limit(1).count():
-        pairs = pairs.unionByName(block_pairs(rest, threshold, hot))
-    return stash(verified(pairs.distinct(), classes, weights_bc, threshold), label + "-v")
+    pairs = bucket_pairs(band_rows(classes, weights_bc, BANDS, ROWS), threshold, 1, hot, label + "-c")
+    sets = classes.select(F.col("cid").alias("id"), "words")
+    return stash(verified(pairs, sets, threshold, weights_bc, TOP_WEIGHT), label + "-v")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = LIKENESS, hot: int = HOT_BUCKET, label: str = "neardup") -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid, text) of all ids with at least one word, text being a digest, and (links: a, b, likeness) between classes.
+    """(members: id, cid) of all ids with at least one word and (links: a, b, likeness) between classes of equal word sets.
 
     Null ids, and null, empty or word-less texts, have no likeness and appear in neither. Rows that repeat an id and its
-    text count once. Ids with one word set share a class, so copies are never paired. Other columns are ignored.
+    text count once. Ids with one word set share a class, so copies are never compared. Other columns are ignored.
     """
     ship(df.sparkSession)
     members, classes = classes_of(word_rows(df, id_col, text_col), label)
+    members = stash(members, label + "-i")
     return members, class_links(classes, threshold, hot, label)
 
 
-def id_pairs(members: DataFrame, links: DataFrame, copy_pairs: int = COPY_PAIRS, copies_by: str = "text") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs across linked classes and within a class.
+def id_pairs(members: DataFrame, links: DataFrame, block: int = ID_BLOCK, label: str = "idpairs") -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of ids of linked classes and of one class, whatever their number.
 
-    Only exact copies are shortened: of more than copy_pairs ids of one class with the same text, the smallest id stands for
-    all in pairs with other texts and is paired with each other copy. Ids whose texts differ give all their pairs, in blocks
-    of ids, so that no task makes more than two blocks' pairs at a time. With copies_by "cid" a whole class counts as copies,
-    which links the same ids.
+    This is the exact form; its rows grow with the square of the copies of one text. documents_with_links says the same in
+    one row per id. The ids of a class are hashed into blocks, and blocks are paired, so that no task makes more than the
+    pairs of two blocks at a time.
     """
-    by = ["cid", copies_by] if copies_by != "cid" else ["cid"]
-    stat = members.groupBy(*by).agg(F.count("*").alias("m"), F.min("id").alias("least"))
-    full = members.join(stat, by).withColumn("all", F.col("m") <= copy_pairs)
-    speaks = full.where("all OR id = least").select("cid", "id")
-    size = speaks.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(ID_BLOCK)).cast("int").alias("blocks"))
-    # x lies in one block of its class; y is sent to each block of the class it meets
-    one = speaks.join(size, "cid").select("cid", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("g"))
-    meets = links.select("a", "b").unionByName(size.where("blocks > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
-    sent = meets.join(size.select(F.col("cid").alias("a"), "blocks"), "a").join(speaks.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b").select("a", "b", "y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g"))
-    across = sent.join(one.withColumnRenamed("cid", "a"), ["a", "g"]).where("a <> b OR x < y").select("x", "y")
-    small = one.join(size.where("blocks = 1").select("cid"), "cid", "left_semi").select("cid", "x")
-    within = small.join(small.withColumnRenamed("x", "y"), "cid").where("x < y").select("x", "y")
-    star = full.where("NOT all AND id <> least").select(F.col("least").alias("x"), F.col("id").alias("y"))
-    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    size = stash(members.groupBy("cid").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")), label)
+    one = keyed_join(members, size, "cid", n="m").select("cid", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("g"))
+    meets = links.select("a", "b").unionByName(size.where("m > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+    sized = meets.join(size.select(F.col("cid").alias("a"), F.col("blocks").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("blocks").alias("nb")), "b")
+    blocks = sized.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ga")).select("a", "b", "ga", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("ga")).otherwise(0), F.col("nb") - 1)).alias("gb"))
+    left, right = one.select(F.col("cid").alias("a"), F.col("g").alias("ga"), F.col("id").alias("x")), one.select(F.col("cid").alias("b"), F.col("g").alias("gb"), F.col("id").alias("y"))
+    pairs = blocks.join(left, ["a", "ga"]).join(right, ["b", "gb"]).where("x <> y AND (a <> b OR ga <> gb OR x < y)")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def documents_with_links(members: DataFrame, links: DataFrame) -> DataFrame:
+def documents_with_links(members: DataFrame, links: DataFrame, label: str = "neardup") -> DataFrame:
     """(id, class_id, copies, n_links): one row per id; n_links counts the other classes its class is linked to."""
     stat = members.groupBy("cid").agg(F.count("*").alias("copies"), F.min("id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    return members.join(stat, "cid").join(degree, "cid", "left").select("id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    one = stash(stat.join(degree, "cid", "left").select("cid", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("m")), label + "-d")
+    return keyed_join(members, one, "cid", n="m").select("id", "class_id", "copies", "n_links")

@@ -9,13 +9,14 @@ from claimweave.llm import clusters, components, looks, mixing, neardup, packing
 from claimweave.runtime import stash, table
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of p2_found's groups; a class of one word set is linked through its smallest id, since only the groups count."""
-    return stash(neardup.id_pairs(*neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content"), copies_by="cid"), "pairs")
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content")
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.group_members(_pairs(spark, sf_dir), table(spark, sf_dir, "nodes"), table(spark, sf_dir, "attestations"))
+def _members(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Members of p2_found's groups, which take only links of classes, not of ids."""
+    groups = survivors.groups_of(*_near(spark, sf_dir))
+    return survivors.group_members(groups, table(spark, sf_dir, "nodes") if nodes is None else nodes, table(spark, sf_dir, "attestations"))
 
 
 def p1_found(spark, sf_dir):
@@ -30,12 +31,25 @@ def p1_attestations(spark, sf_dir):
     return survivors.kept_attestations(_members(spark, sf_dir), table(spark, sf_dir, "attestations"))
 
 
+def p1_transitions(spark, sf_dir):
+    """What the currency reasoning learns from: transitions of values within groups, with the number of groups."""
+    rows = stash(_members(spark, sf_dir), "moves")
+    of = lambda a: survivors.transitions(rows, "group_id", "created_at", a).select(F.lit(a).alias("attribute"), "old", "new", "n")
+    return of("status").unionByName(of("epistemic_status"))
+
+
+def p1_undated(spark, sf_dir):
+    """The current record of each group where only grounded records keep their timestamps: the others are placed by reasoning."""
+    nodes = table(spark, sf_dir, "nodes").withColumn("created_at", F.when(F.col("quote_grounded"), F.col("created_at")))
+    return survivors.survivors(_members(spark, sf_dir, nodes)).select("group_id", "size", "value_id")
+
+
 def p2_found(spark, sf_dir):
-    return neardup.id_pairs(*neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content"))
+    return neardup.id_pairs(*_near(spark, sf_dir))
 
 
 def p2_documents(spark, sf_dir):
-    return neardup.documents_with_links(*neardup.near_duplicates(table(spark, sf_dir, "nodes"), "id", "content"))
+    return neardup.documents_with_links(*_near(spark, sf_dir))
 
 
 def p3_found(spark, sf_dir):
@@ -43,7 +57,9 @@ def p3_found(spark, sf_dir):
 
 
 def p3_typical(spark, sf_dir):
-    return clusters.described(clusters.similarity_clusters(table(spark, sf_dir, "nodes"), "id", "content"))
+    nodes = table(spark, sf_dir, "nodes")
+    labels = nodes.select("id", F.nullif(F.lower(F.trim("subfield")), F.lit("")).alias("label"))
+    return clusters.described(stash(clusters.similarity_clusters(nodes, "id", "content"), "typical"), labels)
 
 
 def p4_found(spark, sf_dir):
@@ -146,6 +162,33 @@ src AS (
 ), heavy AS (
     SELECT group_id, id AS weight_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, created_at DESC, id) AS k FROM rows WHERE ok) WHERE k = 1
 ) SELECT b.group_id, content_id, weight_id FROM best b LEFT JOIN heavy h ON h.group_id = b.group_id""",
+    "p1_survivors": "WITH RECURSIVE" + _WORDS.format(t=0.7) + "," + _REACH + """,
+one AS (SELECT DISTINCT id, content, evidential_weight AS w, created_at, nullif(trim(status), '') AS status, nullif(trim(epistemic_status), '') AS epistemic_status FROM nodes),
+att AS (SELECT c.group_id, a.node_id, regexp_replace(a.source_id, '^\\s+|\\s+$', '', 'g') AS s, regexp_replace(a.quote, '^\\s+|\\s+$', '', 'g') AS q FROM attestations a JOIN comps c ON c.id = a.node_id),
+src AS (SELECT node_id AS id, count(DISTINCT s) AS n FROM att WHERE s <> '' GROUP BY 1),
+rows AS (
+    SELECT c.group_id, o.*, length(trim(regexp_replace(o.content, '\\s+', ' ', 'g'))) AS len, coalesce(s.n, 0) AS n, coalesce(o.w BETWEEN 0 AND 1, false) AS ok
+    FROM comps c JOIN one o ON o.id = c.id LEFT JOIN src s ON s.id = c.id
+), best AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY len DESC, created_at DESC, id) AS k FROM rows),
+heavy AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, created_at DESC, id) AS k FROM rows WHERE ok),
+late AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, id) AS k, count(*) OVER (PARTITION BY group_id) AS size FROM rows),
+kept AS (SELECT group_id, count(*) AS n_attestations, count(DISTINCT nullif(s, '')) AS n_sources FROM (SELECT DISTINCT group_id, s, q FROM att) GROUP BY 1)
+SELECT b.group_id, l.size, b.content, h.w AS evidential_weight, l.status, l.epistemic_status, l.created_at AS current_at, coalesce(k.n_attestations, 0) AS n_attestations, coalesce(k.n_sources, 0) AS n_sources
+FROM best b JOIN late l ON l.group_id = b.group_id AND l.k = 1 LEFT JOIN heavy h ON h.group_id = b.group_id AND h.k = 1 LEFT JOIN kept k ON k.group_id = b.group_id WHERE b.k = 1""",
+    "p1_attestations": "WITH RECURSIVE" + _WORDS.format(t=0.7) + "," + _REACH + """
+SELECT DISTINCT c.group_id, regexp_replace(a.source_id, '^\\s+|\\s+$', '', 'g') AS source_id, a.author, a.source_date, a.quote, a.source_type FROM attestations a JOIN comps c ON c.id = a.node_id""",
+    "p1_transitions": "WITH RECURSIVE" + _WORDS.format(t=0.7) + "," + _REACH + """,
+v AS (
+    SELECT c.group_id AS g, 'status' AS attribute, nullif(trim(n.status), '') AS v, n.created_at AS t FROM comps c JOIN nodes n ON n.id = c.id
+    UNION ALL SELECT c.group_id, 'epistemic_status', nullif(trim(n.epistemic_status), ''), n.created_at FROM comps c JOIN nodes n ON n.id = c.id
+), span AS (SELECT g, attribute, v, min(t) AS lo, max(t) AS hi FROM v WHERE v IS NOT NULL AND t IS NOT NULL GROUP BY ALL)
+SELECT a.attribute, a.v AS old, b.v AS new, count(*) AS n FROM span a JOIN span b ON a.g = b.g AND a.attribute = b.attribute AND a.hi < b.lo GROUP BY ALL""",
+    "p2_documents": "WITH" + _WORDS.format(t=0.7) + """,
+sets AS (SELECT id, list_sort(list(w)) AS s FROM words GROUP BY id),
+classes AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM sets),
+linked AS (SELECT a.class_id AS a, b.class_id AS b FROM pairs JOIN classes a ON a.id = x JOIN classes b ON b.id = y WHERE a.class_id <> b.class_id),
+degree AS (SELECT a AS class_id, count(DISTINCT b) AS n FROM (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked) GROUP BY 1)
+SELECT c.id, c.class_id, c.copies, coalesce(d.n, 0) AS n_links FROM classes c LEFT JOIN degree d ON d.class_id = c.class_id""",
     "p3_found": "WITH RECURSIVE" + _WORDS.format(t=0.3) + "," + _REACH + """
 SELECT id, group_id AS cluster_id FROM comps WHERE group_id IN (SELECT group_id FROM comps GROUP BY group_id HAVING count(*) >= 3)""",
     "p4_found": """

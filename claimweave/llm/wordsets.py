@@ -5,17 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.hashing import WordHasher, flat_of, list_array, mix64
-from claimweave.runtime import small_enough, stash
+from claimweave.llm.hashing import flat_of, mix64
+from claimweave.runtime import bounded, keyed_join, stash
 
 #: Buckets of the document-frequency table: its size bound whatever the vocabulary.
 BUCKETS = 1 << 20
-#: Rows up to which a checked side is broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def bucket_of(words: np.ndarray) -> np.ndarray:
@@ -23,49 +20,33 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, text, words) per row of df with a non-null id; words are sorted hashes, key their 128-bit digest, text that of the text."""
-
-    def run(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            lists = [hasher(t) for t in texts]
-            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((h for one in lists for h in one), dtype=np.int64, count=int(sizes.sum()))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            raw = flat.tobytes()
-            keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes.astype(np.int32)), pa.array(keys, type=pa.binary()), pa.array([xxhash.xxh3_128_digest(t or "") for t in texts], type=pa.binary()), list_array(flat, sizes)],
-                ["id", "n", "key", "text", "words"],
-            )
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .where(F.col("id").isNotNull())
-        .mapInArrow(run, f"id {kind}, n int, key binary, text binary, words array<bigint>")
-    )
+    """(id, n, k1, k2, words) per row of df with a non-null id; words are the sorted hashes of the distinct runs of four or more
+    letters a-z, (k1, k2) a 128-bit digest of the set. A null text has no words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("([a-z]{4,})"), 1)
+    words = F.array_sort(F.transform(F.array_distinct(found), lambda w: F.xxhash64(w)))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words"))
+    return rows.select("id", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "words")
 
 
 def classes_of(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid, text) and (classes: cid, n, words): one class per distinct non-empty word set; text is a digest.
+    """(members: id, cid) and (classes: cid, n, words): one class per distinct non-empty word set.
 
-    The words of a row are written once; only (key, cid) pairs are shuffled to choose representatives.
+    The words of a row are written once; only digests of sets that occur more than once are joined to choose
+    representatives, and a set that many rows share is broadcast for that, not gathered.
     """
-    spark = rows.sparkSession
     base = stash(rows.where("n > 0").withColumn("cid", F.monotonically_increasing_id()), label)
-    first = base.groupBy("key").agg(F.min("cid").alias("rep"))
-    members = stash(base.select("id", "key", "cid", "text").join(first, "key").select("id", F.col("rep").alias("cid"), F.col("cid").alias("row"), "text"), label + "-m")
-    spare = members.where("row <> cid").select(F.col("row").alias("cid"))
-    if small_enough(spare, BROADCAST_ROWS):
-        spare = F.broadcast(spare)
-    classes = base.select("cid", "n", "words").join(spare, "cid", "left_anti")
-    return members.groupBy("id", "cid").agg(F.min("text").alias("text")), classes
+    key = ["k1", "k2"]
+    twice = stash(base.groupBy(*key).agg(F.min("cid").alias("rep"), F.count("*").alias("m")).where("m > 1"), label + "-k")
+    rep = stash(keyed_join(base.select("id", *key, "cid"), twice, key, "left", "m").select("id", F.coalesce("rep", "cid").alias("cid"), F.col("cid").alias("row")), label + "-m")
+    spare = rep.where("row <> cid").select(F.col("row").alias("cid"))
+    return rep.select("id", "cid").distinct(), base.select("cid", "n", "words").join(bounded(spare), "cid", "left_anti")
 
 
 def document_frequency(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """Class count per word bucket over all classes, and the number of classes; at most BUCKETS numbers reach the driver."""
+    """Class count per word bucket over all classes, and the number of classes; at most BUCKETS numbers reach the driver.
+
+    There are no more tasks than about two per core, since each may emit a row per bucket however much it reads.
+    """
 
     def run(batches):
         counts = np.zeros(BUCKETS, dtype=np.int64)
@@ -75,17 +56,10 @@ def document_frequency(classes: DataFrame) -> tuple[np.ndarray, int]:
             counts += np.bincount(bucket_of(flat), minlength=BUCKETS)
             rows += len(starts) - 1
         some = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": np.append(some, -1), "n": np.append(counts[some], rows)})
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"bucket": np.append(some, -1), "n": np.append(counts[some], rows)}), preserve_index=False)
 
-    def as_pandas(batches):
-        def arrow(it):
-            for b in it:
-                yield b
-
-        for frame in run(arrow(batches)):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    got = classes.select("words").mapInArrow(as_pandas, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    tasks = 2 * classes.sparkSession.sparkContext.defaultParallelism
+    got = classes.select("words").coalesce(tasks).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     if len(got) == 0:
         return counts, 0
@@ -95,7 +69,10 @@ def document_frequency(classes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_weights(counts: np.ndarray, total: int) -> np.ndarray:
-    """A damped inverse document frequency per bucket within [1, 2], so that weighted likeness bounds plain likeness."""
+    """A damped inverse document frequency per bucket within [1, 2], so that weighted likeness bounds plain likeness.
+
+    The term frequency of a word in a record is 1: a record is the set of its words.
+    """
     idf = np.log((total + 1.0) / (counts + 1.0))
     top = max(float(np.log(total + 1.0)), 1e-9)
     return (1.0 + np.clip(idf / top, 0.0, 1.0)).astype(np.float64)

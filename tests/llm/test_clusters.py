@@ -42,9 +42,9 @@ def truth(rows, t=0.3):
     return {(i, find(i)) for i in p}
 
 
-def found(spark, rows):
+def found(spark, rows, **kw):
     df = spark.createDataFrame(rows, "id string, content string").repartition(5)
-    return C.similarity_clusters(df, "id", "content")
+    return C.similarity_clusters(df, "id", "content", **kw)
 
 
 def test_clusters_of_many_sizes(spark):
@@ -82,3 +82,38 @@ def test_parity_bound():
         k = random.randrange(1, 39)
         a, b = set(w[:k]), set(w[max(0, k - 8) :])
         assert (C.odd_bits(a) ^ C.odd_bits(b)).bit_count() <= len(a ^ b)
+
+
+def test_nothing_is_lost_where_the_short_cuts_overflow(spark):
+    """Filed under no word, with lists of one leaf and a cluster of a third of all rows: recall and precision stay 1."""
+    rows = corpus([1, 90, 2, 3, 40, 7, 30, 60, 1, 3, *[1] * 20])
+    got = {(r["id"], r["cluster_id"]) for r in found(spark, rows, filing=(0, 0), shelves=(1, 1)).collect()}
+    assert got == truth(rows)
+
+
+def test_exact_links_match_brute_force_with_hot_words(spark):
+    rows = corpus([5, 9, 1, 1, 2])
+    sets = [(k, sorted(hash(w) for w in set(c.split()))) for k, (_, c) in enumerate(rows)]
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) >= 0.3 * len(set(x) | set(y)) - 1e-9}
+    df = spark.createDataFrame(sets, "id bigint, words array<bigint>")
+    for hot in (2, 1024):
+        assert {(r["a"], r["b"]) for r in C.exact_links(df, 0.3, hot).collect()} == want
+
+
+def test_ward_cost_is_the_rise_of_the_squared_error():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 2, (5, 12)).astype(float), np.repeat(rng.integers(0, 2, (1, 12)), 3, axis=0).astype(float)
+    error = lambda m: ((m - m.mean(axis=0)) ** 2).sum()
+    sums = x.sum(axis=0)
+    got = C.ward_cost(3, int(y[0].sum()), 5, float((sums**2).sum()), float(sums @ y[0]))
+    assert abs(got - (error(np.vstack([x, y])) - error(x) - error(y))) < 1e-9
+
+
+def test_labels_describe_clusters(spark):
+    rows = corpus([6, 4])
+    ids = sorted(i for i, _ in rows)
+    labels = spark.createDataFrame([(i, "x" if k % 3 else "y") for k, i in enumerate(ids)] + [(ids[0], None)], "id string, label string")
+    top = C.described(found(spark, rows), labels).collect()
+    assert {r["label"] for r in top} == {"x"} and all(0.5 <= r["label_share"] <= 1 for r in top)

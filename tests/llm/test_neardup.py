@@ -35,9 +35,9 @@ def brute(rows, t):
     return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9}
 
 
-def found(spark, rows, **kw):
+def found(spark, rows, block=1024, **kw):
     df = spark.createDataFrame(rows, "id string, content string")
-    return set(map(tuple, N.id_pairs(*N.near_duplicates(df, "id", "content", **kw)).collect()))
+    return set(map(tuple, N.id_pairs(*N.near_duplicates(df, "id", "content", **kw), block=block).collect()))
 
 
 def test_matches_brute_force(spark):
@@ -61,19 +61,11 @@ def test_clashing_columns(spark):
     assert {r["copies"] for r in N.documents_with_links(members, links).collect()} == {2}
 
 
-def test_large_group_of_copies_is_linked_by_its_smallest_id(spark):
-    rows = [(f"{k:04d}", "alpha beta gamma delta") for k in range(300)] + [("zz", "alpha beta gamma delta epsilon")]
-    got = found(spark, rows)
-    assert len(got) == 300 and ("0000", "0299") in got and ("0000", "zz") in got
-
-
-def test_ids_of_one_word_set_with_differing_texts_give_all_pairs(spark, monkeypatch):
-    """Numbers and short words make no words: 80 texts of one word set, 70 copies of another text of it, a neighbour, in blocks of 32."""
-    monkeypatch.setattr(N, "ID_BLOCK", 32)
-    rows = [(f"a{k:03d}", f"alpha beta gamma delta {k}") for k in range(80)] + [(f"b{k:03d}", "alpha beta not gamma delta") for k in range(70)] + [("zz", "alpha beta gamma delta epsilon")]
-    speak = [f"a{k:03d}" for k in range(80)] + ["b000", "zz"]
-    want = {(x, y) for i, x in enumerate(speak) for y in speak[i + 1 :]} | {("b000", f"b{k:03d}") for k in range(1, 70)}
-    assert found(spark, rows) == want
+def test_copies_give_all_pairs_whatever_their_number(spark):
+    """65, 130 and 200 ids of one word set, in blocks of 32: copies, texts that differ in numbers and short words, a neighbour."""
+    rows = [(f"a{k:03d}", "alpha beta gamma delta") for k in range(65)] + [(f"b{k:03d}", f"alpha beta not gamma delta {k}") for k in range(65)] + [("zz", "alpha beta gamma delta epsilon")]
+    rows += [(f"c{k:03d}", "other words than those above") for k in range(70)]
+    assert found(spark, rows, block=32) == brute(rows, 0.7)
 
 
 def test_hot_buckets_are_split_without_losing_pairs(spark):
@@ -89,7 +81,7 @@ def test_hot_buckets_lose_nothing_against_pairing_them_whole(spark):
     base = VOCABULARY[:20]
     rows = [(f"{g:04d}", " ".join(base + [f"own{LETTERS[g % 26]}{LETTERS[g // 26]}{x}" for x in "abcd"])) for g in range(400)]
     whole = found(spark, rows, hot=10**6)
-    assert len(whole) >= 0.95 * 400 * 399 / 2
+    assert len(whole) >= 0.98 * 400 * 399 / 2
     assert found(spark, rows, hot=64) == whole
 
 
@@ -114,8 +106,8 @@ def test_odd_sketch_never_exceeds_the_difference():
         w = rng.integers(-(2**62), 2**62, 50)
         k = int(rng.integers(1, 49))
         a, b = w[:k], w[max(0, k - 10) :]
-        s = N.odd_sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        assert int(np.bitwise_count(s[0] ^ s[1])) <= len(set(a) ^ set(b))
+        s = N.odd_sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 1 + k % 6)
+        assert int(np.bitwise_count(s[0] ^ s[1]).sum()) <= len(set(a) ^ set(b))
 
 
 def test_documents_with_links_keeps_every_document(spark):
