@@ -294,13 +294,14 @@ def merged_features(leaves: DataFrame, placed: DataFrame, label: str) -> DataFra
     centroid), rep the founding record of the largest leaf.
     """
     best = F.max_by("leaf", F.struct(F.col("n"), -F.col("leaf")))
-    top = stash(placed.groupBy("cluster").agg(F.sum("n").alias("size"), best.alias("best")).where("size > 1"), label + "-t")
-    own = leaves.join(placed.select("leaf", "cluster").join(bounded(top.select("cluster")), "cluster", "left_semi"), "leaf")
+    top = stash(placed.groupBy("cluster").agg(F.sum("n").alias("size"), best.alias("best"), F.count("*").alias("leaves")).where("size > 1"), label + "-t")
+    # a cluster of one leaf has that leaf's feature
+    own = leaves.join(bounded(placed.select("leaf", "cluster").join(bounded(top.where("leaves > 1").select("cluster")), "cluster", "left_semi")), "leaf")
     word = F.when(F.size("words") > 0, F.arrays_zip(F.col("words").alias("w"), F.col("sums").alias("s"))).otherwise(F.transform("core", lambda w: F.struct(w.alias("w"), F.lit(1).cast("bigint").alias("s"))))
     sums = own.select("cluster", F.explode(word).alias("x")).groupBy("cluster", F.col("x.w").alias("w")).agg(F.sum("x.s").alias("s"))
     core = sums.join(bounded(top.select("cluster", "size")), "cluster").where("2 * s > size").groupBy("cluster").agg(F.collect_list("w").alias("core"))  # fewer than two records' words
-    founder = leaves.select(F.col("leaf").alias("best"), F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"))
-    return stash(top.join(founder, "best").join(core, "cluster", "left").select("cluster", "size", F.coalesce("core", "rep").alias("core"), "rep"), label + "-p")
+    founder = leaves.select(F.col("leaf").alias("best"), F.when(F.size("seed") > 0, F.col("seed")).otherwise(F.col("core")).alias("rep"), F.col("core").alias("own"))
+    return stash(founder.join(bounded(top), "best").join(core, "cluster", "left").select("cluster", "size", F.coalesce("core", "own").alias("core"), "rep"), label + "-p")
 
 
 def nearness(joined: DataFrame, threshold: float) -> DataFrame:
@@ -377,11 +378,12 @@ def class_clusters(classes: DataFrame, threshold: float = LIKENESS, label: str =
     profile = merged_features(leaves, placed, label)
     # the assignment pass: every record is compared with the cluster of its leaf; a leaf has no more records than one task reads
     home = bounded(placed.join(bounded(profile.select("cluster")), "cluster", "left_semi").select("leaf", "cluster"))
-    held = records.join(home, "leaf", "left").select("cid", "words", "cluster")
-    looked = stash(nearness(keyed_join(held.where("cluster IS NOT NULL"), profile, "cluster", n="size"), threshold), label + "-n")
+    looked = stash(nearness(keyed_join(records.join(home, "leaf").select("cid", "words", "cluster"), profile, "cluster", n="size"), threshold), label + "-n")
     sure = looked.where("ok").select("cid", "cluster", "near")
+    failed = records.join(bounded(looked.where("NOT ok").select("cid")), "cid", "left_semi")
+    alone = records.join(home, "leaf", "left_anti").unionByName(failed)
     # clusters go by -cluster - 1 among the records left over
-    apart = stash(records.select("cid", "words").join(bounded(sure.select("cid")), "cid", "left_anti").select(F.col("cid").alias("id"), "words").unionByName(profile.select((-F.col("cluster") - 1).alias("id"), F.col("rep").alias("words"))), label + "-r")
+    apart = stash(alone.select(F.col("cid").alias("id"), "words").unionByName(profile.select((-F.col("cluster") - 1).alias("id"), F.col("rep").alias("words"))), label + "-r")
     links = exact_links(apart, threshold, label=label)
     joined = stash(seed_tree_components(links, "a", "b", label + "-j"), label + "-g")
     renamed = joined.where("id < 0").select((-F.col("id") - 1).alias("cluster"), "group_id")

@@ -23,7 +23,7 @@ def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, words) per row of df with a non-null id; words are the sorted hashes of the distinct runs of four or more
     letters a-z, (k1, k2) a 128-bit digest of the set. A null text has no words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("([a-z]{4,})"), 1)
-    words = F.array_sort(F.transform(F.array_distinct(found), lambda w: F.xxhash64(w)))
+    words = F.sort_array(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words"))
     return rows.select("id", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "words")
 
