@@ -22,10 +22,10 @@ from claimweave.runtime import bounded, keyed_join, ship, stash
 
 LIKENESS = 0.3
 #: A record or leaf is filed under those of its ROUTES rarest words that another record may share, and under LEAST in any case.
-ROUTES, LEAST = 4, 2
+ROUTES, LEAST = 3, 2
 #: A large cluster makes its own words frequent, so that its records are not filed under them. A record that meets nothing is
 #: therefore also compared with the RECENT latest and the HEAVY largest leaves of its tree.
-RECENT, HEAVY = 1024, 1024
+RECENT, HEAVY = 256, 256
 #: Leaves a tree holds before it is written out and begun anew; leaves of all trees are merged alike.
 TREE_LEAVES = 40_000
 #: Words a leaf counts: beyond, the least frequent half is forgotten. A centroid has the words of more than half of the

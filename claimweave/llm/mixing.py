@@ -1,25 +1,27 @@
 """Problem 8: mixing sources to target weights.
 
 Pivotal dependent rounding (Deville and Tillé 1998): each document of a source has the same expected number of copies; its
-fractional part is settled by pairing documents and moving mass at random until one of the two is integral. What is left
-over in each partition goes up a reduction tree.
+fractional part is settled by pairing documents and moving mass at random until one of the two is integral. Documents are
+grouped by a hash, so that the result does not depend on how the table is laid out; what is left over in each group goes
+up a reduction tree.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.hashing import mix64
 from claimweave.llm.tokens import DEFAULT_VOCABULARY, with_tokens
-from claimweave.runtime import ship, small_enough, stash
+from claimweave.runtime import bounded, ship, small_enough, stash
 
 #: Sources in a mix; the plan (a few numbers per source) is made on the driver.
 MAX_SOURCES = 100_000
-FAN_IN = 64
+#: Documents settled in one group, and groups whose leftovers meet in the next level of the tree.
+GROUP, FAN_IN = 2048, 64
+#: A document of more than this part of what its source should give is settled in a first round, so that the others make up.
 LARGE = 0.005
 
 
@@ -63,94 +65,74 @@ def is_whole(p: float) -> bool:
     return abs(p - round(p)) <= 1e-9
 
 
+def _rates(counted: DataFrame, plan: pd.DataFrame) -> DataFrame:
+    """(source, base, part, groups, bar): a row per source of the mix: whole and fractional copies of each document."""
+    rows = []
+    for r in plan.itertuples():
+        base = int(np.floor(r.factor + 1e-12))
+        rows.append((r.source, base, float(max(0.0, r.factor - base)), max(1, -(-int(r.n_docs) // GROUP)), float(LARGE * r.wanted)))
+    return counted.sparkSession.createDataFrame(rows, "source string, base int, part double, groups int, bar double")
+
+
 def mix(counted: DataFrame, plan: pd.DataFrame, seed: int = 7, label: str = "mix") -> DataFrame:
-    """mixed() in two steps: documents above LARGE of what their source should give are settled first, and the factor of
-    the others is set to what is then missing, so that no single large document decides a share."""
-    bound = F.create_map(*[F.lit(x) for r in plan.itertuples() for x in (r.source, float(LARGE * r.wanted))]) if len(plan) else F.create_map(F.lit(""), F.lit(0.0))
-    large = F.col("n_tokens") > F.coalesce(bound[F.col("source")], F.lit(float("inf")))
-    first = mixed(counted.where(large), plan, seed, label + "-l")
+    """(doc_id, source, n_tokens, uses) in two rounds over all documents: those above LARGE of what their source should give
+    are settled first, and the factor of the others is set to what is then missing, so that no single large document decides a
+    share."""
+    bars = bounded(_rates(counted, plan).select("source", "bar"), MAX_SOURCES)
+    sized = counted.join(bars, "source").withColumn("large", F.col("n_tokens") > F.col("bar"))
+    first = mixed(sized.where("large"), plan, seed, label + "-l")
     used = first.groupBy("source").agg(F.sum(F.col("n_tokens").cast("double") * F.col("uses")).alias("used"), F.sum(F.col("n_tokens").cast("double")).alias("large")).toPandas()  # a row per source of the mix
     rest = plan.merge(used, "left", "source").fillna({"used": 0.0, "large": 0.0, "max_repeats": 0})
     left, size = (rest["wanted"] - rest["used"]).clip(lower=0), rest["size"] - rest["large"]
     rest["factor"] = np.minimum(np.where(size > 0, left / size.where(size > 0, 1.0), 0.0), rest["max_repeats"].clip(lower=0))
-    return first.unionByName(mixed(counted.where(~large), rest, seed, label))
+    return first.unionByName(mixed(sized.where("NOT large"), rest, seed, label))
 
 
 def mixed(counted: DataFrame, plan: pd.DataFrame, seed: int = 7, label: str = "mix") -> DataFrame:
     """(doc_id, source, n_tokens, uses): every document of a source of the mix, with the number of its uses (0 too).
 
-    Documents of other sources, or of none, are left out. Within a partition documents of one source and like size are paired
-    as they come, so nothing is shuffled but one open document per source, size class and partition.
+    Documents of other sources, of none, or without id are left out. A source is settled in groups of about GROUP documents
+    by a hash of their ids, whatever its share of all rows; the one document a group leaves open goes on to the next
+    level, where FAN_IN groups meet. Within a group the largest documents come first, so that what stays open is small.
     """
     ship(counted.sparkSession)
-    whole = {r.source: (int(np.floor(r.factor + 1e-12)), float(max(0.0, r.factor - np.floor(r.factor + 1e-12)))) for r in plan.itertuples()}
-
-    def run(batches):
-        waiting: dict[tuple[str, int], tuple[tuple[int, float, int], int]] = {}
-        for batch in batches:
-            rows = []
-            for doc, source, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if source not in whole or doc is None:
-                    continue
-                base, part = whole[source]
-                if part <= 1e-12:
-                    rows.append((doc, source, n, base, None))
-                    continue
-                key = (source, int(n).bit_length())
-                other = waiting.pop(key, None)
-                if other is None:
-                    waiting[key] = ((doc, part, n), base)
+
+    def settler(last: bool):
+        def settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
+            source, group, base = frame["source"].iloc[0], int(key[1]), int(frame["base"].iloc[0])
+            rows, held = [], None
+            for one in zip(frame["doc_id"].tolist(), frame["part"].tolist(), frame["n_tokens"].tolist()):
+                if held is None:
+                    held = one
                     continue
-                done, rest = duel(other[0], (doc, part, n), seed)
-                rows.append((done[0], source, done[2], base + round(done[1]), None))
-                if is_whole(rest[1]):
-                    rows.append((rest[0], source, rest[2], base + round(rest[1]), None))
-                else:
-                    waiting[key] = (rest, base)
-            yield made(rows)
-        yield made([(doc, s, n, base, p) for (s, _), ((doc, p, n), base) in waiting.items()])
-
-    def made(rows):
-        c = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.float64())], ["doc_id", "source", "n_tokens", "uses", "open"])
-
-    schema = "doc_id bigint, source string, n_tokens int, uses int, open double"
-
-    def up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "doc_id"], kind="stable")
-        rows, held = [], None
-        base, source = int(frame["uses"].iloc[0]), frame["source"].iloc[0]
-        for one in zip(frame["doc_id"].tolist(), frame["open"].tolist(), frame["n_tokens"].tolist()):
-            if held is None:
-                held = one
-                continue
-            done, held = duel(held, one, seed)
-            rows.append((done[0], source, done[2], base + round(done[1]), None))
-            if is_whole(held[1]):
-                rows.append((held[0], source, held[2], base + round(held[1]), None))
-                held = None
-        if held is not None and len(frame) == 1:  # the top of the tree: what is left is drawn
-            rows.append((held[0], source, held[2], base + int(uniform(held[0], seed + 1) < held[1]), None))
-        elif held is not None:
-            rows.append((held[0], source, held[2], base, held[1]))
-        return pd.DataFrame(rows, columns=["doc_id", "source", "n_tokens", "uses", "open"]).astype({"open": "float64"})
-
-    level = stash(counted.select("doc_id", "source", "n_tokens").mapInArrow(run, schema), label + "-0")
-    settled = level.where("open IS NULL")
-    for k in range(1, 40):
-        rest = level.where("open IS NOT NULL")
-        if not rest.limit(1).count():
-            break
-        node = F.when(F.count("*").over(_per_source()) > FAN_IN, F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(2), (F.count("*").over(_per_source()) / FAN_IN).cast("int") + 1))).otherwise(F.lit(0))
-        level = stash(rest.withColumn("node", node.cast("int")).groupBy("source", "node").applyInPandas(up, schema), f"{label}-{k}")
-        settled = settled.unionByName(level.where("open IS NULL"))
-    return settled.drop("open")
-
-
-def _per_source():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source")
+                done, held = duel(held, one, seed)
+                rows.append((done[0], source, done[2], base, group, base + round(done[1]), None))
+                if is_whole(held[1]):
+                    rows.append((held[0], source, held[2], base, group, base + round(held[1]), None))
+                    held = None
+            if held is not None:  # at the top of the tree what is left is drawn
+                uses, part = (base + int(uniform(held[0], seed + 1) < held[1]), None) if last else (0, held[1])
+                rows.append((held[0], source, held[2], base, group, uses, part))
+            return pd.DataFrame(rows, columns=["doc_id", "source", "n_tokens", "base", "g", "uses", "part"]).astype({"part": "float64"})
+
+        return settle
+
+    schema = "doc_id bigint, source string, n_tokens int, base int, g int, uses int, part double"
+    rates = _rates(counted, plan)
+    rows = counted.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL").join(bounded(rates, MAX_SOURCES), "source")
+    # documents whose number of copies is whole need no rounding
+    settled = rows.where("part <= 1e-12").select("doc_id", "source", "n_tokens", F.col("base").alias("uses"))
+    level = rows.where("part > 1e-12").select("doc_id", "source", "n_tokens", "base", "part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "groups").cast("int").alias("g"))
+    most = max((max(1, -(-int(n) // GROUP)) for n in plan["n_docs"]), default=1)
+    k = 0
+    while True:
+        done = stash(level.groupBy("source", "g").applyInPandas(settler(most == 1), schema), f"{label}-{k}")
+        settled = settled.unionByName(done.where("part IS NULL").select("doc_id", "source", "n_tokens", "uses"))
+        if most == 1:
+            return settled
+        level = done.where("part IS NOT NULL").select("doc_id", "source", "n_tokens", "base", "part", F.floor(F.col("g") / FAN_IN).cast("int").alias("g"))
+        most, k = -(-most // FAN_IN), k + 1
 
 
 def shares(uses: DataFrame, plan: pd.DataFrame) -> DataFrame:
@@ -159,7 +141,17 @@ def shares(uses: DataFrame, plan: pd.DataFrame) -> DataFrame:
     rows = spark.createDataFrame([(r.source, float(r.target_share), int(r.size), int(r.max_repeats), bool(r.short)) for r in plan.fillna({"target_share": 0.0, "max_repeats": 0}).itertuples()], "source string, target_share double, size bigint, max_repeats int, short boolean")
     used = uses.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("uses")).alias("used"))
     total = float(uses.agg(F.coalesce(F.sum(F.col("n_tokens").cast("long") * F.col("uses")), F.lit(0))).first()[0])
-    return rows.join(F.broadcast(used), "source", "left").select("source", "target_share", F.coalesce(F.try_divide(F.col("used"), F.lit(total)), F.lit(0.0)).alias("actual_share"), "size", F.coalesce("used", F.lit(0)).alias("used_tokens"), "max_repeats", "short")
+    return rows.join(bounded(used, MAX_SOURCES), "source", "left").select("source", "target_share", F.coalesce(F.try_divide(F.col("used"), F.lit(total)), F.lit(0.0)).alias("actual_share"), "size", F.coalesce("used", F.lit(0)).alias("used_tokens"), "max_repeats", "short")
+
+
+def checked(uses: DataFrame, plan: pd.DataFrame) -> DataFrame:
+    """(source, within_cap, near_target) per source of the mix: no document beyond max_repeats, and the tokens used within 1 % or
+    one document of the target, or of all there is where the source falls short."""
+    spark = uses.sparkSession
+    goal = [(r.source, int(r.max_repeats), float(min(r.wanted, r.size * max(0, r.max_repeats)))) for r in plan.fillna({"max_repeats": 0}).itertuples()]
+    got = uses.groupBy("source").agg(F.max("uses").alias("most"), F.max("n_tokens").alias("largest"), F.sum(F.col("n_tokens").cast("double") * F.col("uses")).alias("used"))
+    rows = spark.createDataFrame(goal, "source string, cap int, goal double").join(bounded(got, MAX_SOURCES), "source", "left").na.fill(0)
+    return rows.select("source", (F.col("most") <= F.col("cap")).alias("within_cap"), (F.abs(F.col("used") - F.col("goal")) <= F.greatest(F.col("goal") * 0.01, F.col("largest"))).alias("near_target"))
 
 
 def counted_documents(docs: DataFrame, path: str = DEFAULT_VOCABULARY, label: str = "mix") -> DataFrame:

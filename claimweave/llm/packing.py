@@ -6,8 +6,6 @@ one whose demand vector has the largest weighted dot product with the room that
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +15,8 @@ from claimweave.llm.tokens import DEFAULT_VOCABULARY, with_tokens
 from claimweave.runtime import ship, stash
 
 CAPACITY, SEGMENTS = 4096, 64
+#: Loss-bearing tokens a container may hold; headings bear none.
+LOSS = 4032
 #: Items packed together at once; containers filled below REPACK go into a second round.
 GROUP, REPACK = 2048, 0.97
 MOST_TASKS = 4096
@@ -37,6 +37,8 @@ def items_of(docs: DataFrame, capacity: int = CAPACITY, path: str = DEFAULT_VOCA
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Container number per item; demand is items x dimensions. Items beyond a limit on their own get their own container."""
     n = len(demand)
+    if not n:
+        return np.zeros(0, np.int64)
     share = demand / limits
     weight = share.mean(axis=0) + 1e-9
     order = np.argsort(-share[:, 0], kind="stable")
@@ -66,7 +68,7 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return back
 
 
-def packed(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None, label: str = "pack") -> DataFrame:
+def packed(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int = LOSS, label: str = "pack") -> DataFrame:
     """items with container_id; at most capacity tokens, segments items and loss_limit loss-bearing tokens in each.
 
     Items are spread evenly by a hash into groups of about GROUP and packed there; the few containers left below REPACK
@@ -74,14 +76,20 @@ def packed(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
     alone exceeds the loss limit gets a container of its own.
     """
     ship(items.sparkSession)
-    limits = np.array([capacity, segments, loss_limit or capacity], dtype=float)
+    limits = np.array([capacity, segments, loss_limit], dtype=float)
     schema = "doc_id bigint, piece int, n_pieces int, n_tokens int, loss_tokens int, container_id bigint, fill double"
 
-    def pack(turn: int, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def packer(turn: int):
+        def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return packed_group(turn, int(key[0]), frame)
+
+        return pack
+
+    def packed_group(turn: int, group: int, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         got = fill(np.stack([frame["n_tokens"], np.ones(len(frame)), frame["loss_tokens"]], axis=1).astype(float), limits)
         total = np.bincount(got, weights=frame["n_tokens"])
-        base = (turn << 62) | (int(key[0]) << 24)
+        base = (turn << 62) | (group << 24)
         return frame[["doc_id", "piece", "n_pieces", "n_tokens", "loss_tokens"]].assign(container_id=base + got, fill=total[got] / capacity)
 
     items = stash(items, label + "-i")
@@ -91,7 +99,17 @@ def packed(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
         spread = once.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int"))
         # a number of partitions is given, since groups are small in bytes but not in work
         spread = spread.repartition(min(groups, MOST_TASKS), "g")
-        done = stash(spread.groupBy("g").applyInPandas(partial(pack, turn), schema), f"{label}-{turn}")
+        done = stash(spread.groupBy("g").applyInPandas(packer(turn), schema), f"{label}-{turn}")
         if turn == 0:
             first, once = done, done.where(F.col("fill") < REPACK).drop("container_id", "fill")
     return first.where(F.col("fill") >= REPACK).unionByName(done).drop("fill")
+
+
+def checked(items: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int = LOSS) -> DataFrame:
+    """(doc_id, whole, within): whether each document is there once, cut only where it exceeds the capacity, and whether all its
+    containers keep the three limits (an item beyond the loss limit lies alone)."""
+    one = items.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum("loss_tokens").alias("l"))
+    fine = one.select("container_id", ((F.col("t") <= capacity) & (F.col("k") <= segments) & ((F.col("l") <= loss_limit) | (F.col("k") == 1))).alias("fine"))
+    docs = items.join(fine, "container_id").groupBy("doc_id").agg(F.count("*").alias("k"), F.count_distinct("piece").alias("d"), F.max("n_pieces").alias("n"), F.sum("n_tokens").alias("t"), F.bool_and("fine").alias("within"))
+    whole = (F.col("k") == F.col("n")) & (F.col("d") == F.col("n")) & ((F.col("n") == 1) | (F.col("t") > capacity)) & (F.col("t") <= F.col("n") * capacity)
+    return docs.select("doc_id", whole.alias("whole"), "within")

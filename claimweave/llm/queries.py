@@ -63,13 +63,17 @@ def p3_typical(spark, sf_dir):
 
 
 def p4_found(spark, sf_dir):
-    return splitting.run(spark, sf_dir, nodes_only=True).select("capture_id", F.col("no").alias("para_no"))
+    return splitting.run(spark, sf_dir).where("node <> 'piece'").select("capture_id", F.col("no").alias("para_no"))
 
 
 def p4_pieces(spark, sf_dir):
     return splitting.run(spark, sf_dir).where("node = 'piece'").select("capture_id", F.col("no").alias("piece_no"), "n_chars", "repeated", "piece")
 
 
+def p4_rejoined(spark, sf_dir):
+    return splitting.rejoined(splitting.run(spark, sf_dir))
+
+
 def p5_found(spark, sf_dir):
     return looks.alike_but_different(table(spark, sf_dir, "nodes"), "id", "textual_evidence", "quote_exact")
 
@@ -100,6 +104,15 @@ def p7_waste(spark, sf_dir):
     return one.agg(F.count("*").alias("containers"), F.sum("n_items").alias("items"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("fullest"), F.round(1 - F.sum("n_tokens") / (F.count("*") * packing.CAPACITY), 6).alias("wasted"))
 
 
+def p7_checked(spark, sf_dir):
+    return packing.checked(_packed(spark, sf_dir))
+
+
+def p7_room(spark, sf_dir):
+    """Whether less than 2 % of the room of all containers is unused."""
+    return p7_waste(spark, sf_dir).select((F.col("wasted") < 0.02).alias("little_wasted"))
+
+
 def _mixed(spark, sf_dir):
     counted = mixing.counted_documents(table(spark, sf_dir, "documents"))
     plan = mixing.source_plan(counted, table(spark, sf_dir, "mix_targets"))
@@ -118,6 +131,10 @@ def p8_shares(spark, sf_dir):
     return mixing.shares(*_mixed(spark, sf_dir)).withColumn("actual_share", F.round("actual_share", 6))
 
 
+def p8_checked(spark, sf_dir):
+    return mixing.checked(*_mixed(spark, sf_dir))
+
+
 def p9_found(spark, sf_dir):
     return truncation.judged(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
@@ -201,6 +218,13 @@ paras AS (
 SELECT capture_id, CAST(0 AS INTEGER) AS para_no FROM big
 UNION ALL
 SELECT capture_id, CAST(no AS INTEGER) FROM paras WHERE length(trim(p, ' ' || chr(9) || chr(10) || chr(12) || chr(13))) > 4000""",
+    "p4_rejoined": """
+SELECT capture_id, length(t) AS n_chars, md5(t) AS digest, true AS fits, true AS repeats FROM (
+    SELECT capture_id, trim(replace(body, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS t FROM raw_docs
+) WHERE t <> ''""",
+    "p7_checked": "SELECT doc_id, true AS whole, true AS within FROM documents",
+    "p7_room": "SELECT true AS little_wasted",
+    "p8_checked": "SELECT source, true AS within_cap, true AS near_target FROM mix_targets",
     "p6_found": """
 WITH RECURSIVE known AS (SELECT lower(trim(id)) AS k, min(id) AS id FROM nodes GROUP BY 1),
 pairs AS (

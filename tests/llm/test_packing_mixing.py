@@ -27,7 +27,9 @@ def docs(spark, rows):
 def test_packed_items(spark):
     rows = [(k, "word " * (7 * k % 90), "s", 9) for k in range(300)] + [(500, "token " * 9000, "s", 9), (501, None, "s", 9), (502, "", "s", 9)]
     items = P.items_of(docs(spark, rows), 1000)
-    out = P.packed(items, 1000).toPandas()
+    got = P.packed(items, 1000, loss_limit=980)
+    assert {tuple(r)[1:] for r in P.checked(got, 1000, loss_limit=980).collect()} == {(True, True)}
+    out = got.toPandas()
     assert out.groupby("container_id")["n_tokens"].sum().max() <= 1000
     assert len(out) == items.count() and set(out["doc_id"]) == {r[0] for r in rows}
     long = out[out["doc_id"] == 500]
@@ -56,6 +58,25 @@ def test_mix_reaches_its_shares(spark):
     assert abs(got["big"]["actual_share"] - 0.5) < 0.01 and not got["small"]["short"] and got["none"]["used_tokens"] == 0
 
 
+def test_mix_does_not_depend_on_the_layout(spark):
+    rows = [(k, "some words of text " * (1 + k % 9), "big", 0) for k in range(900)]
+    whole = M.counted_documents(docs(spark, rows).drop("n_tokens"))
+    plan = M.source_plan(whole, targets(spark, [("big", 0.4, 2)]))
+    one = {r["doc_id"]: r["uses"] for r in M.mix(whole.repartition(1), plan, label="one").collect()}
+    many = {r["doc_id"]: r["uses"] for r in M.mix(whole.orderBy(F.desc("doc_id")).repartition(7), plan, label="many").collect()}
+    assert one == many and {tuple(r)[1:] for r in M.checked(M.mix(whole, plan, label="chk"), plan).collect()} == {(True, True)}
+
+
+def test_tree_of_groups_keeps_the_share(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 4)
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    rows = [(k, "some words of text " * (1 + k % 9), "big", 0) for k in range(500)]
+    counted = M.counted_documents(docs(spark, rows).drop("n_tokens"))
+    plan = M.source_plan(counted, targets(spark, [("big", 0.35, 1)]))
+    got = M.mix(counted, plan, label="tree")
+    assert got.count() == 500 and abs(M.shares(got, plan).first()["used_tokens"] / plan["wanted"].iloc[0] - 1) < 0.01
+
+
 def test_short_sources(spark):
     counted = M.counted_documents(docs(spark, [(1, "few words", "a", 0), (2, "many words " * 50, "b", 0)]).drop("n_tokens"))
     plan = M.source_plan(counted, targets(spark, [("a", 0.5, 2), ("b", 0.3, 1), ("gone", 0.2, 3)]))
