@@ -16,7 +16,7 @@ from claimweave.runtime import ship, stash
 
 CAPACITY, SEGMENTS = 4096, 64
 #: Loss-bearing tokens a container may hold; headings bear none.
-LOSS = 4032
+LOSS = 4064
 #: Items packed together at once; containers filled below REPACK go into a second round.
 GROUP, REPACK = 2048, 0.97
 MOST_TASKS = 4096
