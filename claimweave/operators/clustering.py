@@ -1,4 +1,4 @@
-"""Leader, seed and centroid clusterings, clique partitions; each runs per connected component of a threshold graph."""
+"""Leader, seed and centroid clusterings and clique partitions over threshold graphs."""
 
 from __future__ import annotations
 
@@ -23,40 +23,48 @@ def _vectors(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     return frame, np.array(frame["v"].tolist(), dtype=float)
 
 
-def seed_clusters(items: DataFrame, threshold: float, first_match: bool = True, label: str = "seed") -> DataFrame:
+def seed_clusters(items: DataFrame, threshold: float, first_match: bool = True, label: str = "seed", recall: float | None = None, rounds: int = 200) -> DataFrame:
     """(id, seed): items in order of (ord, id); an item not yet taken opens a cluster and takes all later ones at or above
     the threshold to the seed. With first_match False each item joins its most similar seed instead (leader clustering).
 
-    items is (id bigint, ord bigint, v array); an item without vector is its own cluster. Exact, since a seed reaches no
-    further than its connected component of the threshold graph.
+    items is (id bigint, ord bigint, v array); an item without vector is its own cluster. The sequential scan is settled in
+    rounds over the edges of the threshold graph: an item is a seed once all its earlier neighbours are known to be none, and
+    joins a seed once no earlier neighbour could still take it. No component is gathered. recall: see vector_pairs.
     """
-    ship(items.sparkSession)
-    have = items.where("v IS NOT NULL")
-    edges = vector_pairs(have, "id", "v", threshold).select("a", "b")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, v = _vectors(frame)
-        seeds: list[int] = []
-        out = np.empty(len(frame), dtype=int)
-        for i in range(len(frame)):
-            sims = v[seeds] @ v[i] if seeds else np.zeros(0)
-            ok = np.flatnonzero(sims >= threshold)
-            if len(ok):
-                out[i] = seeds[ok[0]] if first_match else seeds[int(np.argmax(sims))]
-            else:
-                seeds.append(i)
-                out[i] = i
-        return pd.DataFrame({"id": frame["id"], "seed": frame["id"].to_numpy()[out]})
-
-    grouped = _by_component(have, edges, label).groupBy("component").applyInPandas(run, "id bigint, seed bigint")
-    return grouped.unionByName(items.where("v IS NULL").select("id", F.col("id").alias("seed")))
+    have = items.where("v IS NOT NULL").select("id", "ord")
+    pairs = vector_pairs(items.where("v IS NOT NULL"), "id", "v", threshold, recall=recall)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    at = have.select(F.col("id").alias("a"), F.col("ord").alias("oa")), have.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
+    # earlier neighbours b of each item a
+    before = stash(both.join(at[0], "a").join(at[1], "b").where("ob < oa OR (ob = oa AND b < a)").select("a", "b", "ob", "sim"), label + "-e")
+    known = stash(have.join(before.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("seed")), label + "-0")
+    for k in range(rounds):
+        open_ = before.join(known.select(F.col("id").alias("a")), "a", "left_anti")
+        if not open_.limit(1).count():
+            return known.unionByName(items.where("v IS NULL").select("id", F.col("id").alias("seed")))
+        state = open_.join(known.select(F.col("id").alias("b"), (F.col("seed") == F.col("id")).alias("is_seed")), "b", "left")
+        place = F.struct("ob", "b")
+        seen = state.groupBy("a").agg(
+            F.min(F.when(F.col("is_seed"), place)).alias("first"),
+            F.min(F.when(F.col("is_seed").isNull(), place)).alias("unsure"),
+            F.min(F.when(F.col("is_seed"), F.struct(-F.col("sim"), F.col("ob"), F.col("b")))).alias("best"),
+        )
+        none = F.col("unsure").isNull()
+        if first_match:
+            settled = F.when(F.col("first").isNotNull() & (none | (F.col("first") < F.col("unsure"))), F.col("first.b")).when(F.col("first").isNull() & none, F.col("a"))
+        else:
+            settled = F.when(none, F.coalesce(F.col("best.b"), F.col("a")))
+        fresh = seen.select(F.col("a").alias("id"), settled.alias("seed")).where("seed IS NOT NULL")
+        known = stash(known.unionByName(fresh), f"{label}-{k + 1}")
+    raise RuntimeError(f"seeds did not settle in {rounds} rounds")
 
 
 def centroid_clusters(items: DataFrame, threshold: float, label: str = "centroid") -> DataFrame:
     """(id, cluster): each item, in order, joins the cluster with the most similar normalised mean at or above the threshold,
     or opens one; cluster is its first item. Blocked by components at threshold squared, which no such join can cross."""
     ship(items.sparkSession)
-    edges = vector_pairs(items, "id", "v", threshold * threshold - 1e-9).select("a", "b")
+    edges = vector_pairs(items.where("v IS NOT NULL"), "id", "v", threshold * threshold - 1e-9).select("a", "b")
+    items = items.where("v IS NOT NULL")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame, v = _vectors(frame)
@@ -133,29 +141,51 @@ def merged_centroids(clusters: DataFrame, threshold: float) -> DataFrame:
 
 
 def best_partition(members: list, sims: dict, conflicts: set) -> list[list]:
-    """The conflict-free partition of a few members with the greatest sum of confirmed similarities; the first found wins."""
-    members = sorted(members)
-    best, top = [[m] for m in members], -1.0
-
-    def place(k: int, groups: list[list], score: float) -> None:
-        nonlocal best, top
-        if k == len(members):
-            if score > top:
-                best, top = [list(g) for g in groups], score
-            return
-        m = members[k]
-        for g in groups:
-            if all((min(m, x), max(m, x)) not in conflicts for x in g):
-                gain = sum(sims.get((min(m, x), max(m, x)), 0.0) for x in g)
-                g.append(m)
-                place(k + 1, groups, score + gain)
-                g.pop()
-        groups.append([m])
-        place(k + 1, groups, score)
-        groups.pop()
-
-    place(0, [], 0.0)
-    return best
+    """The partition into conflict-free groups with the greatest sum of similarities within groups.
+
+    By dynamic programming over subsets: the group of the least member left is chosen among all conflict-free subsets, and
+    the best partition of the others is looked up. Of equal sums, each member in order goes into the earliest group it can.
+    """
+    names = sorted(members)
+    n = len(names)
+    place = {m: k for k, m in enumerate(names)}
+    apart = [0] * n
+    for a, b in conflicts:
+        if a in place and b in place:
+            apart[place[a]] |= 1 << place[b]
+            apart[place[b]] |= 1 << place[a]
+    gain = np.zeros((n, n))
+    for (a, b), s in sims.items():
+        if a in place and b in place:
+            gain[place[a], place[b]] = gain[place[b], place[a]] = s
+    worth, fine = [0.0] * (1 << n), [True] * (1 << n)
+    for mask in range(1, 1 << n):
+        top = mask.bit_length() - 1
+        rest = mask ^ (1 << top)
+        fine[mask] = fine[rest] and not apart[top] & rest
+        worth[mask] = worth[rest] + sum(gain[top, k] for k in range(top) if rest >> k & 1)
+    early = [int(f"{mask:0{n}b}"[::-1], 2) if n else 0 for mask in range(1 << n)]  # compares subsets by their earliest members
+    best: list[tuple[float, int]] = [(0.0, 0)] * (1 << n)
+    for mask in range(1, 1 << n):
+        low = mask & -mask
+        others = mask ^ low
+        part, found = others, None
+        while True:
+            group = part | low
+            if fine[group]:
+                total = round(worth[group] + best[mask ^ group][0], 12)
+                if found is None or (total, early[group]) > (found[0], early[found[1]]):
+                    found = (total, group)
+            if not part:
+                break
+            part = (part - 1) & others
+        best[mask] = found
+    out, left = [], (1 << n) - 1
+    while left:
+        group = best[left][1]
+        out.append([names[k] for k in range(n) if group >> k & 1])
+        left ^= group
+    return out
 
 
 def greedy_partition(members: list, sims: dict, conflicts: set) -> list[list]:

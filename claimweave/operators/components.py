@@ -1,60 +1,34 @@
-"""Connected components by least labels and pointer jumping."""
+"""Connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import ship, small_enough, stash
+from claimweave.runtime import spread_join, stash
 
-#: Up to so many edges, counted first, the rounds cost more than one task that holds them all.
-FEW_EDGES = 100_000
 
-
-def _in_one_task(pairs: DataFrame) -> DataFrame:
-    kind = pairs.schema["u"].dataType.simpleString()
-
-    def run(frames):
-        parent: dict = {}
-
-        def find(x):
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for frame in frames:
-            for u, v in zip(frame["u"].tolist(), frame["v"].tolist()):
-                x, y = find(u), find(v)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        ids = list(parent)
-        yield pd.DataFrame({"id": ids, "component": [find(x) for x in ids]})
-
-    return pairs.coalesce(1).mapInPandas(run, f"id {kind}, component {kind}")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, label: str = "cc", few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, label: str = "cc") -> DataFrame:
     """(id, component): the least vertex each vertex of an edge is linked to, directly or through others.
 
-    Each round every vertex takes the least label among itself and its neighbours, and then the label of its label, so a
-    chain of n edges settles in about log n rounds. Null ends and self-links add nothing. A table of at most few edges is
-    settled in one task.
+    Alternates two steps (Kiveris et al., "Connected components in MapReduce and beyond", 2014) until nothing changes: every
+    vertex links its larger neighbours to the least of its neighbourhood, then its smaller ones and itself. Chains shrink
+    geometrically, and no step makes more edges than there were. Null ends and self-links add nothing. Minima are combined
+    before the shuffle and reach the edges of hot vertices by broadcast (spread_join), so that no task gathers those.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    pairs = stash(pairs, label + "-p")
-    if small_enough(pairs, few):
-        ship(pairs.sparkSession)
-        return _in_one_task(pairs)
-    both = stash(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), label + "-e")
-    state = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), label + "-0")
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).toDF("u", "v", "ok")
+    now = stash(pairs.where("ok").select("u", "v").distinct(), label + "-0")
+    was = None
     for k in range(1, rounds + 1):
-        heard = both.join(state.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        least = state.join(heard, "u", "left").select("u", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = least.select(F.col("u").alias("c"), F.col("c").alias("cc"))
-        state = stash(least.join(jump, "c", "left").select("u", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{label}-{k}")
-        if not state.where("was <> c").limit(1).count():
-            return state.select(F.col("u").alias("id"), F.col("c").alias("component"))
+        n, mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (n, mark) == was:
+            members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        was = (n, mark)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = stash(spread_join(both.where("v > u"), near, "u", 2 * n, f"{label}-n{k}").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{label}-l{k}")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = spread_join(large, least, "u", n, f"{label}-m{k}").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stash(met.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{k}")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -201,11 +201,11 @@ def a20(t: Tables):
     return p.agg(F.count("*").alias("total"), n("from_evidence").alias("from_evidence"), n("external_standard").alias("external_standard"), n("ungrounded").alias("ungrounded"), F.count_if(g != F.col("declared")).alias("overrides"), F.round(F.try_divide(100.0 * F.count_if(g != "ungrounded"), F.count("*")), 1).alias("grounded_pct"))
 
 
-@query("A21_groundedness", joins._GROUND + "SELECT coalesce(d.source, 'total') AS section, sum(n)::BIGINT AS paragraphs, sum(grounded)::BIGINT AS grounded, round(100.0 * sum(grounded)::DOUBLE / sum(n)::DOUBLE, 2)::DOUBLE AS grounded_pct FROM gr JOIN documents d ON d.doc_id = gr.doc_id GROUP BY ROLLUP (d.source)")
+@query("A21_groundedness", joins._GROUND + "SELECT coalesce(d.source, 'total') AS section, count(*) AS paragraphs, count(*) FILTER (WHERE grounded) AS grounded, round(100.0 * (count(*) FILTER (WHERE grounded))::DOUBLE / count(*)::DOUBLE, 2)::DOUBLE AS grounded_pct FROM gr JOIN documents d ON d.doc_id = gr.doc_id GROUP BY ROLLUP (d.source)")
 def a21(t: Tables):
     """Per source and in total: share of grounded paragraphs of its documents."""
     g = joins.j22(t).join(t.documents.select("doc_id", "source"), "doc_id")
-    out = g.rollup("source").agg(F.sum("n").alias("paragraphs"), F.sum("grounded").alias("grounded"))
+    out = g.rollup("source").agg(F.count("*").alias("paragraphs"), F.count_if("grounded").alias("grounded"))
     return out.select(F.coalesce("source", F.lit("total")).alias("section"), "paragraphs", "grounded", F.round(100.0 * F.col("grounded") / F.col("paragraphs"), 2).alias("grounded_pct"))
 
 

@@ -315,12 +315,12 @@ def f27(t: Tables):
     return edges.select("src", "dst", "type").join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-_PROSE = r"WITH p AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\n\s*\n'))) AS p FROM documents), c AS (SELECT * FROM p WHERE p <> '' AND NOT regexp_matches(p, '^(#|\||```|- |\* |1\.|2\.|3\.)') AND len(list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, '^\s*[-*|]'))) * 2 <= len(string_split(p, chr(10))) AND len(regexp_extract_all(p, '\S+')) >= 25) "
+_PROSE = r"WITH p AS (SELECT doc_id, trim(unnest(x)) AS p, generate_subscripts(x, 1) AS no FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS x FROM documents)), c AS (SELECT * FROM p WHERE p <> '' AND NOT regexp_matches(p, '^(#|\||```|- |\* |1\.|2\.|3\.)') AND len(list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, '^\s*[-*|]'))) * 2 <= len(string_split(p, chr(10))) AND len(regexp_extract_all(p, '\S+')) >= 25) "
 
 
 def prose(docs):
-    """(doc_id, p): prose paragraphs of at least 25 words; headings, tables, code and lists are left out."""
-    p = docs.select("doc_id", F.explode(F.split("text", r"\n\s*\n")).alias("p")).select("doc_id", F.trim("p").alias("p"))
+    """(doc_id, no, p): prose paragraphs of at least 25 words; headings, tables, code and lists are left out."""
+    p = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("no", "p")).select("doc_id", (F.col("no") + 1).cast("bigint").alias("no"), F.trim("p").alias("p"))
     lines = F.split("p", "\n")
     listed = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*|]"))) * 2 <= F.size(lines)
     return p.where((F.col("p") != "") & ~F.col("p").rlike(r"^(#|\||```|- |\* |1\.|2\.|3\.)") & listed & (F.regexp_count("p", F.lit(r"\S+")) >= C.DEFAULT.paragraph_words))

@@ -8,6 +8,7 @@ from claimweave import config as C
 from claimweave.functions import text as X
 from claimweave.operators import compile as K
 from claimweave.operators import graph as G
+from claimweave.operators import grounding as GR
 from claimweave.operators import reconcile as Q
 from claimweave.operators import similarity as M
 from claimweave.plans import filters, relations
@@ -237,23 +238,16 @@ def j21(t: Tables):
 
 _GROUND = (
     filters._PROSE
-    + f", pt AS (SELECT doc_id, k, unnest(t) AS w, len(t) AS n FROM (SELECT doc_id, row_number() OVER () AS k, {_tok('p', C.REPORT_STOP_WORDS)} AS t FROM c)), e AS (SELECT DISTINCT list_sort({_tok('textual_evidence', C.REPORT_STOP_WORDS)}) AS t FROM nodes WHERE textual_evidence IS NOT NULL), "
+    + f", pt AS (SELECT doc_id, no, k, unnest(t) AS w, len(t) AS n FROM (SELECT doc_id, no, row_number() OVER () AS k, {_tok('p', C.REPORT_STOP_WORDS)} AS t FROM c)), e AS (SELECT DISTINCT list_sort({_tok('textual_evidence', C.REPORT_STOP_WORDS)}) AS t FROM nodes WHERE textual_evidence IS NOT NULL), "
     "et AS (SELECT k, unnest(t) AS w, len(t) AS n FROM (SELECT t, row_number() OVER () AS k FROM e)), hit AS (SELECT DISTINCT pk FROM (SELECT pt.k AS pk, et.k AS ek, count(*) AS s, any_value(pt.n) AS pn, any_value(et.n) AS en FROM pt JOIN et ON et.w = pt.w AND et.n >= 0.18 * pt.n - 1e-9 AND pt.n >= 0.18 * et.n - 1e-9 GROUP BY 1, 2) WHERE s >= 0.18 * (pn + en - s) - 1e-9), "
-    "pg AS (SELECT DISTINCT doc_id, k FROM pt), gr AS (SELECT c.doc_id, c.n, coalesce(h.g, 0) AS grounded FROM (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) c LEFT JOIN (SELECT doc_id, count(*) AS g FROM pg WHERE k IN (SELECT pk FROM hit) GROUP BY 1) h ON h.doc_id = c.doc_id) "
+    "gr AS (SELECT c.doc_id, c.no, coalesce(h.grounded, false) AS grounded FROM c LEFT JOIN (SELECT DISTINCT doc_id, no, true AS grounded FROM pt WHERE k IN (SELECT pk FROM hit)) h ON h.doc_id = c.doc_id AND h.no = c.no) "
 )
 
 
-@query("J22_grounded_paragraphs", _GROUND + "SELECT doc_id, n, grounded FROM gr")
+@query("J22_grounded_paragraphs", _GROUND + "SELECT doc_id, no, grounded FROM gr")
 def j22(t: Tables):
-    """Document paragraphs against the evidence of nodes at a Jaccard likeness of 0.18, by exact prefix filtering on distinct
-    token sets; one row per document with its paragraphs and the grounded ones."""
-    stop = C.REPORT_STOP_WORDS
-    p = filters.prose(t.documents).withColumn("tokens", F.array_sort(X.token_set(F.col("p"), stop)))
-    e = t.nodes.where("textual_evidence IS NOT NULL").select(F.array_sort(X.token_set(F.col("textual_evidence"), stop)).alias("tokens")).distinct()
-    key = F.xxhash64("tokens")
-    sides = [stash(M.token_rows(x.withColumn("k", key), "k", F.col("tokens")), "j22") for x in (p.select("tokens").distinct(), e)]
-    hit = M.jaccard_pairs(*sides, C.DEFAULT.lexical_grounding).select(F.col("a").alias("k")).distinct().withColumn("hit", F.lit(True))
-    return p.withColumn("k", key).join(hit, "k", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("grounded"))
+    """Document paragraphs against the evidence of nodes, lexically; the table has no vectors of evidence for the other side."""
+    return GR.grounded_paragraphs(filters.prose(t.documents), t.nodes.where("textual_evidence IS NOT NULL").select(F.col("textual_evidence").alias("text")))
 
 
 @query("J23_valid_citations", "WITH c AS (SELECT DISTINCT src, regexp_replace(dst, '^(gap_|claim_)', '') AS cited FROM {rr}) SELECT c.src, count(*) AS cited, count(n.id) AS valid FROM c LEFT JOIN {nd} n ON n.id = c.cited GROUP BY 1")

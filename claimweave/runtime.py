@@ -142,3 +142,8 @@ def keyed_join(rows: DataFrame, dim: DataFrame, key: str | list[str], how: str =
     top = rows.join(F.broadcast(few), keys)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(dim.where(F.col(n) <= bar).drop(n), keys, how)
     return top.unionByName(rest)
+
+
+def spread_join(rows: DataFrame, dim: DataFrame, key: str | list[str], at_most: int, label: str, how: str = "inner", n: str = "n") -> DataFrame:
+    """keyed_join where at_most, the number of rows, allows a hot key at all; a plain join where it does not."""
+    return rows.join(dim.drop(n), key, how) if at_most <= HOT_KEY else keyed_join(rows, stash(dim, label), key, how, n)

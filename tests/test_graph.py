@@ -137,8 +137,8 @@ def test_vector_pairs_in_blocks(spark):
     import math
 
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 0.9 <= math.cos(math.radians(deg[a] - deg[b])) <= 0.99}
-    for blocks in (1, 5):
-        got = vector_pairs(items(spark, deg), "id", "v", 0.9, 0.99, blocks)
+    for block in (2048, 12):
+        got = vector_pairs(items(spark, deg), "id", "v", 0.9, 0.99, block)
         assert {(r["a"], r["b"]) for r in got.collect()} == want
     assert vector_pairs(items(spark, [None]), "id", "v", 0.1).count() == 0
 
@@ -154,10 +154,9 @@ def test_jaccard_pairs_are_exact(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a int, b int")
-    for few in (0, 1000):
-        got = dict(components(e, few=few).collect())
-        assert set(got.values()) == {0, 100} and len(got) == 53
-        assert components(e.limit(0), few=few).count() == 0
+    got = dict(components(e).collect())
+    assert set(got.values()) == {0, 100} and len(got) == 53
+    assert components(e.limit(0)).count() == 0
 
 
 def test_redirect_drops_loops(spark):
@@ -232,3 +231,88 @@ def test_keyed_join_splits_hot_keys(spark):
     plain = sorted(map(tuple, rows.join(dim.drop("n"), "k", "left").collect()), key=str)
     assert sorted(map(tuple, keyed_join(rows, dim, "k", "left", hot=50).select("k", "id", "top").collect()), key=str) == plain
     assert keyed_join(rows, dim, "k", hot=50).count() == rows.join(dim, "k").count()
+
+
+def test_indexed_vector_pairs_reach_their_recall(spark, monkeypatch):
+    """Near-duplicate vectors against brute force: recall at least 0.9, nothing false; a third of all vectors in one cell."""
+    from claimweave.operators import similarity as M
+
+    monkeypatch.setattr(M, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 32))
+    v = np.concatenate([base, base + 0.35 * rng.normal(size=base.shape), np.repeat(base[:1], 150, axis=0) + 0.1 * rng.normal(size=(150, 32))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "id long, v array<double>")
+    sims = v @ v.T
+    want = {(a, b) for a in range(450) for b in range(a + 1, 450) if sims[a, b] >= 0.8}
+    assert M.tables_for(450, 0.8, 0.95)[0] > 0
+    got = {(r["a"], r["b"]) for r in M.vector_pairs(df, "id", "v", 0.8, block=40, recall=0.95).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_covered_is_existence(spark):
+    from claimweave.operators.similarity import covered, set_pairs
+
+    random.seed(11)
+    left = [(k, random.sample("abcdefghijklmnopqrst", random.randint(1, 12))) for k in range(80)]
+    right = [(k, random.sample("abcdefghijklmnopqrst", random.randint(1, 9))) for k in range(30)]
+    x, y = (spark.createDataFrame(r, "id long, tokens array<string>") for r in (left, right))
+    for t in (0.3, 0.6):
+        want = {a for a, p in left for _, q in right if len(set(p) & set(q)) >= t * len(set(p) | set(q)) - 1e-9}
+        assert {r["a"] for r in covered(x, y, t, rounds=(1, 3)).collect()} == want
+        cos = {(a, b) for a, p in left for b, q in right if len(set(p) & set(q)) >= t * (len(p) * len(q)) ** 0.5 - 1e-9}
+        assert {(r["a"], r["b"]) for r in set_pairs(x, y, t, cosine=True).collect()} == cos
+    assert covered(x.limit(0), y, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("first_match", [True, False])
+def test_seed_clusters_equal_the_scan(spark, first_match):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(70, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    order = rng.permutation(70)
+    seeds, want = [], {}
+    for k in np.argsort(order):
+        ok = [s for s in seeds if v[s] @ v[k] >= 0.7]
+        want[int(k)] = int(k) if not ok else int(ok[0] if first_match else max(ok, key=lambda s: v[s] @ v[k]))
+        seeds += [] if ok else [int(k)]
+    df = spark.createDataFrame([(k, int(order[k]), [float(x) for x in v[k]]) for k in range(70)], "id long, ord long, v array<double>")
+    assert dict(U.seed_clusters(df, 0.7, first_match).collect()) == want
+
+
+def test_best_partition_equals_all_partitions():
+    def brute(members, sims, bad):
+        best, top = None, -1.0
+
+        def grow(k, groups):
+            nonlocal best, top
+            if k == len(members):
+                score = sum(sims.get((a, b), 0) for g in groups for i, a in enumerate(g) for b in g[i + 1 :])
+                if score > top + 1e-9:
+                    best, top = [list(g) for g in groups], score
+                return
+            for g in [*groups, None]:
+                if g is None:
+                    grow(k + 1, [*groups, [members[k]]])
+                elif all((x, members[k]) not in bad for x in g):
+                    grow(k + 1, [[*h, members[k]] if h is g else h for h in groups])
+
+        grow(0, [])
+        return best
+
+    random.seed(3)
+    for _ in range(40):
+        members = list("abcdef")
+        pairs = [(a, b) for i, a in enumerate(members) for b in members[i + 1 :]]
+        sims = {p: random.choice([0.5, 0.75, 0.8]) for p in random.sample(pairs, 6)}
+        bad = set(random.sample(pairs, 4)) - set(list(sims)[:2])
+        assert U.best_partition(members, {p: s for p, s in sims.items() if p not in bad}, bad) == brute(members, {p: s for p, s in sims.items() if p not in bad}, bad)
+
+
+def test_components_of_a_long_shuffled_chain(spark):
+    """A chain of 600 vertices in random order settles in few rounds."""
+    order = list(range(600))
+    random.Random(8).shuffle(order)
+    e = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = components(e, rounds=20).collect()
+    assert len(got) == 600 and {c for _, c in got} == {0}
