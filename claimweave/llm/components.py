@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.runtime import keyed_join, stash
+from claimweave.runtime import HOT_KEY, spread_join, stash
 
 MAX_ROUNDS = 60
 
@@ -24,7 +24,7 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
 
     Null ends, self-links, repeats and reversed repeats add nothing; an edgeless table gives no rows. Neighbourhood minima
     are taken by map-side combined aggregates, and where minima and parents are joined back, vertices with very many edges
-    or children are broadcast (keyed_join), so that no task gathers a hot vertex.
+    or children are broadcast (spread_join), so that no task gathers a hot vertex.
     """
     links = (
         edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -36,12 +36,13 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
     graph = stash(links, label + "-e")
     trees: DataFrame | None = None
     for k in range(MAX_ROUNDS):
-        if not graph.limit(1).count():
+        n = 2 * graph.count()
+        if not n:
             break
         both = _directed(graph)
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"{label}-l{k}")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # min selection: u tells itself and its neighbours its least; only distinct (vertex, minimum) pairs go on
-        told = keyed_join(both, least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).distinct()
+        told = spread_join(both, least, "u", n, f"{label}-l{k}").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).distinct()
         told = stash(told, f"{label}-d{k}")
         mins = stash(told.groupBy("x").agg(F.min("m").alias("root"), F.max(F.expr("m = x")).alias("seed"), F.count("*").alias("k")), f"{label}-m{k}")
         # pruning: a vertex that no neighbourhood names as its least leaves the graph and hangs below its own least
@@ -49,7 +50,7 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
         trees = gone if trees is None else trees.unionByName(gone)
         # the minima a vertex has heard of stay connected through the least of them
         graph = stash(
-            keyed_join(told, mins.where("k > 1").select("x", "root", F.col("k").alias("n")), "x").where("m <> root").select(F.col("root").alias("u"), F.col("m").alias("v")).distinct(),
+            spread_join(told, mins.where("k > 1").select("x", "root", F.col("k").alias("n")), "x", 2 * n, f"{label}-r{k}").where("m <> root").select(F.col("root").alias("u"), F.col("m").alias("v")).distinct(),
             f"{label}-g{k}",
         )
     else:
@@ -58,11 +59,12 @@ def seed_tree_components(edges: DataFrame, a: str, b: str, label: str = "seedtre
         return graph.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
     # seed propagation: parents are replaced by their own parents until all are seeds
     below = stash(trees, label + "-t")
+    vertices = below.count()
     for k in range(MAX_ROUNDS):
-        # every parent, with its own one where it has one and the number of its children
-        children = below.groupBy("parent").agg(F.count("*").alias("n"))
-        up = children.join(below.select(F.col("child").alias("parent"), F.col("parent").alias("above")), "parent", "left")
-        step = stash(keyed_join(below, stash(up, f"{label}-u{k}"), "parent").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"{label}-p{k}")
+        up = below.select(F.col("child").alias("parent"), F.col("parent").alias("above"), F.lit(1).alias("n"))
+        if vertices > HOT_KEY:  # every parent, with its own one where it has one and the number of its children
+            up = below.groupBy("parent").agg(F.count("*").alias("n")).join(up.drop("n"), "parent", "left")
+        step = stash(spread_join(below, up, "parent", vertices, f"{label}-u{k}", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), f"{label}-p{k}")
         below = step.select("child", "parent")
         if not step.where("moved").limit(1).count():
             break
