@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave import config as C
 from claimweave.functions import text as X
+from claimweave.runtime import stash
 
 
 def question_edges(edges: DataFrame) -> DataFrame:
@@ -36,6 +37,17 @@ def propositions(edges: DataFrame, keyed: DataFrame) -> DataFrame:
     return out.join(src, "q", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0))).withColumn("status", proposition_status())
 
 
+def proposition_records(edges: DataFrame, keyed: DataFrame, label: str = "props") -> DataFrame:
+    """propositions() with prop_id (prop_0000 the one with most edges, then the least question), the histogram of its edge types
+    and its claim ids in order. A proposition lists its claims, as many as it has."""
+    e = question_edges(edges)
+    kinds = e.groupBy("q", "type").agg(F.count("*").alias("n")).groupBy("q").agg(F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string")))), ",").alias("edge_types"))
+    claims = proposition_claims(e).groupBy("q").agg(listed(F.col("claim_id")).alias("claim_ids"))
+    rows = propositions(edges, keyed).join(kinds, "q").join(claims, "q")
+    placed = positions(rows, [F.desc("edge_count"), F.col("q")], label)
+    return placed.select(F.format_string("prop_%04d", F.col("pos") - 1).alias("prop_id"), "q", "edge_count", "edge_types", "claim_ids", "n_sources", "status")
+
+
 def proposition_claims(e: DataFrame) -> DataFrame:
     return e.select("q", F.explode(F.array("src", "dst")).alias("claim_id")).distinct()
 
@@ -99,16 +111,24 @@ def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", "ord", score.alias("centrality"), n.alias("relation_count"))
 
 
+def listed(c: Column) -> Column:
+    """The distinct values of a group in order, as one comma-separated text."""
+    return F.array_join(F.array_sort(F.collect_set(c)), ",")
+
+
 def debate_state(nodes: DataFrame, edges: DataFrame, attestations: DataFrame) -> DataFrame:
-    """Counts of the six edge roles of claims, evidence and questions that have any, or more than one attestation."""
+    """Of claims, evidence and questions with any edge of the six roles, or more than one attestation: the ids in each role.
+
+    Ids are distinct and in order; a node has few edges of its own, and the nodes that fall with one are listed too.
+    """
     kinds = {"contradicts": "contradicted_by", "supports": "supported_by", "undermines": "undermined_by", "requires": "requires_true", "explains": "explained_by"}
-    out = edges.groupBy(F.col("src").alias("id")).agg(*[F.count_if(F.col("type") == k).alias(v) for k, v in kinds.items()])
-    falls = edges.where("type = 'requires'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("if_false_then_falls"))
+    out = edges.groupBy(F.col("src").alias("id")).agg(*[listed(F.when(F.col("type") == k, F.col("dst"))).alias(v) for k, v in kinds.items()])
+    falls = edges.where("type = 'requires'").groupBy(F.col("dst").alias("id")).agg(listed(F.col("src")).alias("if_false_then_falls"))
     att = attestations.groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("n_attestations"))
     roles = [*kinds.values(), "if_false_then_falls"]
     rows = nodes.where("type IN ('claim', 'evidence', 'question')").select("id").join(out, "id", "left").join(falls, "id", "left").join(att, "id", "left")
-    rows = rows.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*roles, "n_attestations"]])
-    return rows.where(" + ".join(roles) + " > 0 OR n_attestations > 1")
+    rows = rows.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in roles], F.coalesce("n_attestations", F.lit(0)).alias("n_attestations"))
+    return rows.where("concat(" + ", ".join(roles) + ") <> '' OR n_attestations > 1")
 
 
 def ranges(df: DataFrame, group: str, number: str) -> DataFrame:
@@ -125,3 +145,45 @@ def running_budget(df: DataFrame, group: str, order: list, size: str, cap: int,
     cut, later ones get nothing."""
     before = F.coalesce(F.sum(F.col(size) + gap).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(size), F.lit(cap) - before)))
+
+
+def positions(df: DataFrame, order: list[Column], label: str, name: str = "pos") -> DataFrame:
+    """df with the position of each row in a total order. Rows are range-partitioned, numbered within partitions and moved on by
+    the rows before, so that no task sorts the whole table."""
+    part = stash(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), label)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    moved = part.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__b", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row per partition
+    k = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return part.join(F.broadcast(moved.select("__p", "__b")), "__p").withColumn(name, F.col("__b") + k).drop("__p", "__b")
+
+
+def provenance_notes(paragraphs: DataFrame, group: str) -> DataFrame:
+    """(group, note) from paragraphs (group, no, cited, valid): which sections cite existing ids in half of their paragraphs or
+    more, which combine paraphrase, and how many cited ids exist. Sections of fewer than three paragraphs are passed over."""
+    # Least paragraphs of a section, share of citing ones, validity that counts as full.
+    least, share, full = 3, 50.0, 99.95
+    s = paragraphs.groupBy(group, "no").agg(F.count("*").alias("n"), F.count_if(F.col("valid") > 0).alias("e")).where(F.col("n") >= least)
+    kinds = s.select(group, "no", F.when(100.0 * F.col("e") / F.col("n") >= share, "graph").otherwise("synthesis").alias("kind"))
+    part = lambda kind, text: ranges(kinds.where(F.col("kind") == kind), group, "no").select(group, F.concat("ranges", F.lit(text)).alias(kind))
+    pct = F.coalesce(F.try_divide(100.0 * F.sum("valid"), F.sum("cited")), F.lit(100.0))
+    out = paragraphs.groupBy(group).agg(pct.alias("pct")).join(part("graph", " are graph-derived"), group, "left").join(part("synthesis", " combine paraphrase with synthesis"), group, "left")
+    lost = F.concat(F.round((100 - F.col("pct")) * 10).cast("bigint").cast("string"), F.lit(" of 1000 cited ids do not resolve"))
+    return out.select(group, F.concat_ws("; ", "graph", "synthesis", F.when(F.col("pct") >= full, "no hallucinated references").otherwise(lost)).alias("note"))
+
+
+def cost_ledger(calls: DataFrame, label: str, tier: Column) -> DataFrame:
+    """(label, cost, calls) from (label, i, o) input and output tokens at the prices of each call's tier, and a total."""
+    price = lambda k: F.create_map(*[F.lit(x) for name, p in C.TOKEN_PRICES.items() for x in (name, p[k])])[tier]
+    spent = F.col("i") * price(0) + F.col("o") * price(1)
+    return calls.withColumn("__c", spent).rollup(label).agg(F.round(F.sum("__c") / 1e6, 6).alias("cost"), F.count("*").alias("calls")).select(F.coalesce(label, F.lit("total")).alias("label"), "cost", "calls")
+
+
+def nearest(left: DataFrame, keys: list[str], right: DataFrame, floor: float) -> DataFrame:
+    """(keys, id, sim): for each row of left (keys, tokens) the row of right (id, tokens) of the greatest Jaccard likeness, at
+    least floor, then the least id. Tokens meet by equi-join and are counted; pairs without a shared one are never made."""
+    x = left.select(*keys, F.explode("tokens").alias("w"), F.size("tokens").alias("m"))
+    y = right.select("id", F.explode("tokens").alias("w"), F.size("tokens").alias("n"))
+    met = x.join(y, "w").groupBy(*keys, "id").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.first("n").alias("n"))
+    sims = met.select(*keys, "id", F.round(F.col("k") / (F.col("m") + F.col("n") - F.col("k")), 9).alias("sim")).where(F.col("sim") >= floor)
+    best = sims.groupBy(*keys).agg(F.min(F.struct((-F.col("sim")).alias("s"), "id")).alias("x"))
+    return best.select(*keys, "x.id", (-F.col("x.s")).alias("sim"))

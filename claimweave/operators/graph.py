@@ -110,3 +110,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
     """Rows of new replace the non-null columns of old and are inserted where their key is unknown."""
     o, n = old.select(key, *columns), new.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     return o.join(n, key, "full_outer").select(key, *[F.coalesce(f"__{c}", c).alias(c) for c in columns])
+
+
+def appended(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old, and the rows of new whose keys are not there, with `added`."""
+    return old.select(*keys, F.lit(False).alias("added")).unionByName(new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti").select(*keys, F.lit(True).alias("added")))
+
+
+def replaced(old: DataFrame, new: DataFrame, column: str, provenance: str) -> DataFrame:
+    """old without the rows of one provenance (rows of none stay), and new: running a step again gives the same table."""
+    return old.where(F.col(column).isNull() | (F.col(column) != provenance)).unionByName(new)

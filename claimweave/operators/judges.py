@@ -17,7 +17,7 @@ CONTRACTS: dict[str, tuple[str, str]] = {
     "document_summary": ("text string", '{"text": ""}'),
     "case_profile": ("central_questions array<string>, subfields array<string>, key_entities array<string>, debate_positions array<string>", "{}"),
     "source_thesis": ("main_thesis string, sub_theses array<string>, methodological_stance string", "{}"),
-    "node_extraction": ("nodes array<struct<type string, content string, textual_evidence string>>", '{"nodes": []}'),
+    "node_extraction": ("nodes array<struct<type string, content string, textual_evidence string, argument_level string>>", '{"nodes": []}'),
     "source_role": ("role string", '{"role": "unknown"}'),
     "polarity": ("verdict string, confidence double", '{"verdict": "asserts", "confidence": 0.5}'),
     "genericity": ("generic boolean", '{"generic": false}'),
@@ -49,3 +49,16 @@ def answered(requests: DataFrame, responses: DataFrame, kind: str, key: Column)
     fine = F.col("response").isNotNull() & F.coalesce(F.trim("response") != "", F.lit(False)) & F.get_json_object(unfenced(F.col("response")), "$").isNotNull()
     how = F.when(F.col("response").isNull(), "missing").when(fine, "recorded").otherwise("unreadable")
     return rows.withColumn("how", how).withColumn("answer", F.when(F.col("how") == "recorded", parsed).otherwise(F.from_json(F.lit(default), schema))).drop("response")
+
+
+# Tries of a call, its first token limit and the greatest.
+TRIES, TOKENS, MOST_TOKENS = 3, 1000, 8000
+
+
+def folded_calls(tries: DataFrame, call: list[str]) -> DataFrame:
+    """(call, tries_before, outcome, tokens) from tries (call, try, good): how many failed before the first good one (null for a
+    refused call), and the token limit reached by doubling after each failure."""
+    first = F.min(F.when(F.col("good"), F.col("try")))
+    out = tries.groupBy(*call).agg(first.cast("int").alias("tries_before"))
+    limit = F.least(F.lit(MOST_TOKENS), TOKENS * F.pow(F.lit(2), F.coalesce("tries_before", F.lit(TRIES - 1))))
+    return out.select(*call, "tries_before", F.when(F.col("tries_before").isNull(), "refused").otherwise("answered").alias("outcome"), limit.cast("int").alias("tokens"))

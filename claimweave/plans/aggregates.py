@@ -11,8 +11,10 @@ from claimweave.operators import clustering, methodology
 from claimweave.operators import compile as K
 from claimweave.operators import graph as G
 from claimweave.operators import reconcile as Q
+from claimweave.operators import similarity as M
 from claimweave.plans import filters, joins, relations
 from claimweave.plans.registry import Tables, query
+from claimweave.runtime import bounded, stash
 
 _EPI = (
     "WITH att AS (SELECT DISTINCT node_id, sk FROM {ak} WHERE sk IS NOT NULL), su AS (SELECT node_id AS id, count(*) AS n FROM att GROUP BY 1), "
@@ -74,15 +76,58 @@ def a06(t: Tables):
     return F.broadcast(dim).join(n, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("A07_strength_histogram", "SELECT least(floor((least(greatest(coalesce(strength, 0), 0.4::DOUBLE), 0.9999999990::DOUBLE) - 0.4::DOUBLE) / 0.05::DOUBLE), 11)::INT AS bucket, count(*) AS n, count(*) FILTER (WHERE coalesce(strength, 0) < 0.55) AS below_floor FROM {ge} WHERE type IN ('contradicts', 'weak_contradicts') GROUP BY 1")
+_BUCKET = "least(floor((least(greatest(coalesce(strength, 0), 0.4::DOUBLE), 0.9999999990::DOUBLE) - 0.4::DOUBLE) / 0.05::DOUBLE), 11)::INT"
+
+
+@query(
+    "A07_strength_report",
+    joins._sets("(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {ge} WHERE type IN ('contradicts', 'weak_contradicts'))")
+    + f"SELECT {_BUCKET} AS bucket, count(*) AS n, count(*) FILTER (WHERE coalesce(strength, 0) < 0.55) AS below_floor, count(*) FILTER (WHERE f.same_document) AS intra_document, count(*) FILTER (WHERE f.same_author) AS same_author FROM {{ge}} e JOIN f ON f.a = least(e.src, e.dst) AND f.b = greatest(e.src, e.dst) WHERE e.type IN ('contradicts', 'weak_contradicts') GROUP BY 1",
+)
 def a07(t: Tables):
-    s = F.coalesce("strength", F.lit(0.0))
-    return t.ge.where("type IN ('contradicts', 'weak_contradicts')").groupBy(Q.strength_bucket(s).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(s < C.DEFAULT.strong_contradiction).alias("below_floor"))
+    return strength_report(t.ge, t.attestations, t.nd("source_author"))
+
+
+def strength_report(edges, attestations, nodes):
+    """Directed contradictions by bucket of strength: all, those below the floor, within one document, by the same authors."""
+    e = edges.where("type IN ('contradicts', 'weak_contradicts')").select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("strength", F.lit(0.0)).alias("s"))
+    flags = Q.cross_source_pairs(e.select("a", "b").distinct(), attestations, nodes)
+    return e.join(flags, ["a", "b"]).groupBy(Q.strength_bucket(F.col("s")).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("s") < C.DEFAULT.strong_contradiction).alias("below_floor"), F.count_if("same_document").alias("intra_document"), F.count_if("same_author").alias("same_author"))
 
 
-@query("A08_propositions", "SELECT q, edge_count, n_contra, n_weak, n_div, n_self, n_sources, status FROM {pp}")
+@query(
+    "A08_propositions",
+    "WITH k AS (SELECT q, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS edge_types FROM (SELECT q, type, count(*) AS n FROM {qe} GROUP BY 1, 2) GROUP BY 1), l AS (SELECT q, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids FROM {qc} GROUP BY 1) SELECT printf('prop_%04d', row_number() OVER (ORDER BY edge_count DESC, p.q) - 1) AS prop_id, p.q, edge_count, edge_types, claim_ids, n_sources, status FROM {pp} p JOIN k ON k.q = p.q JOIN l ON l.q = p.q",
+)
 def a08(t: Tables):
-    return props(t)
+    """Propositions of equal questions; A08_clustered_propositions has them of clustered questions."""
+    return K.proposition_records(t.ge, t.ak, "a08")
+
+
+def question_vectors(t: Tables):
+    """(id, ord, v, q): the distinct shared questions in their order (longest first, then by text), with hashed word vectors."""
+    q = K.positions(K.question_edges(t.ge).select("q").distinct(), [F.desc(F.length("q")), F.col("q")], "questions", "id")
+    v = M.hashed_vectors(q, "id", "q")
+    return q.join(v, "id").select("id", F.col("id").alias("ord"), "v", "q")
+
+
+def clustered_questions(t: Tables, label: str):
+    """(q, cluster): questions under the first question of their cluster, by centroids and then merging of centroids."""
+    q = stash(question_vectors(t), label + "-q")
+    have = q.where("v IS NOT NULL")
+    first = stash(clustering.centroid_clusters(have.select("id", "ord", "v"), C.DEFAULT.proposition, label), label + "-c")
+    total = first.join(have, "id").select("cluster", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"))
+    total = stash(total.groupBy("cluster").agg(F.expr("transform(array_sort(collect_list(struct(pos, x))), p -> p.x)").alias("total")), label + "-t")
+    fused = clustering.merged_centroids(total, C.DEFAULT.proposition)
+    named = first.join(fused, "cluster").join(have.select(F.col("id").alias("merged"), F.col("q").alias("name")), "merged")
+    return q.join(named.select("id", "name"), "id", "left").select("q", F.coalesce("name", "q").alias("cluster")), total
+
+
+@query("A08_clustered_propositions")
+def a08_clustered(t: Tables):
+    names = stash(clustered_questions(t, "a08c")[0], "a08c-n")
+    e = K.question_edges(t.ge).join(names, "q").select("src", "dst", "type", "strength", F.col("cluster").alias("shared_question"), F.lit(None).cast("string").alias("rationale"))
+    return K.proposition_records(e, t.ak, "a08d")
 
 
 def props(t: Tables):
@@ -91,11 +136,16 @@ def props(t: Tables):
 
 @query("A09_boundary_calibration")
 def a09(t: Tables):
-    """Collapse ratio of clustered vectors and the pairs of centroids that stay at or above a threshold."""
-    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("v"))
-    c = clustering.centroid_clusters(v, 0.45, "a09")
-    n = c.groupBy("cluster").agg(F.count("*").alias("n"))
-    return n.agg(F.sum("n").alias("items"), F.count("*").alias("clusters"), F.round(F.sum("n") / F.count("*"), 6).alias("collapse_ratio"), F.max("n").alias("largest"))
+    """Edges per proposition of clustered questions, the pairs of centroids still at or above the threshold, and the closest."""
+    names, total = clustered_questions(t, "a09")
+    names = stash(names, "a09-n")
+    n = K.question_edges(t.ge).join(names, "q").groupBy("cluster").agg(F.count("*").alias("n")).agg(F.sum("n").alias("edges"), F.count("*").alias("propositions"))
+    norm = F.sqrt(F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x))
+    unit = total.withColumn("norm", norm).select(F.col("cluster").alias("id"), F.transform("total", lambda x: x / F.col("norm")).alias("v"))
+    near = stash(M.vector_pairs(unit, "id", "v", 0.5), "a09-p")
+    pairs = near.agg(F.count_if(F.col("sim") >= C.DEFAULT.proposition).alias("boundary_pairs"), F.round(F.max("sim"), 6).alias("closest"))
+    out = n.withColumn("boundary_pairs", pairs.select("boundary_pairs").scalar()).withColumn("closest", pairs.select("closest").scalar())
+    return out.withColumn("collapse_ratio", F.round(F.try_divide("edges", "propositions"), 6))
 
 
 def _coverage(floor: float) -> str:
@@ -155,10 +205,13 @@ def a14(t: Tables):
     return m.join(big, "crux", "left_semi").join(t.ak.select(F.col("node_id").alias("claim_id"), "sk"), "claim_id").groupBy("crux").agg(F.count_distinct("sk").alias("n_sources")).where("n_sources > 1")
 
 
-@query("A15_links_by_subfield", "SELECT coalesce(nullif(trim(n.subfield), ''), 'Uncategorized') AS subfield, count(*) AS n, round(max(e.strength), 6) AS strongest FROM {ge} e JOIN {nd} n ON n.id = e.src WHERE e.source = 'relate' GROUP BY 1")
+@query("A15_links_by_subfield", "WITH r AS (SELECT coalesce(nullif(trim(n.subfield), ''), 'Uncategorized') AS subfield, e.src, e.dst, e.type, e.strength FROM {ge} e JOIN {nd} n ON n.id = e.src WHERE e.source = 'relate'), g AS (SELECT subfield, count(*) AS group_size FROM r GROUP BY 1) SELECT r.*, g.group_size, row_number() OVER (ORDER BY group_size DESC, r.subfield, coalesce(strength, 0) DESC, src, dst, type) AS pos FROM r JOIN g ON g.subfield = r.subfield")
 def a15(t: Tables):
+    """Links in groups by subfield, the largest first, within a group the strongest first."""
     sf = t.nd("subfield").select(F.col("id").alias("src"), F.coalesce(F.nullif(F.trim("subfield"), F.lit("")), F.lit("Uncategorized")).alias("subfield"))
-    return t.ge.where("source = 'relate'").join(sf, "src").groupBy("subfield").agg(F.count("*").alias("n"), F.round(F.max("strength"), 6).alias("strongest"))
+    rows = t.ge.where("source = 'relate'").join(sf, "src").select("subfield", "src", "dst", "type", "strength")
+    size = bounded(rows.groupBy("subfield").agg(F.count("*").alias("group_size")))
+    return K.positions(rows.join(size, "subfield"), [F.desc("group_size"), F.col("subfield"), F.desc(F.coalesce("strength", F.lit(0.0))), F.col("src"), F.col("dst"), F.col("type")], "a15")
 
 
 @query("A16_quote_counts", "SELECT node_id, sum(greatest(1, q))::BIGINT AS n FROM (SELECT node_id, coalesce(sk, 'anonymous ' || att_ord) AS s, count(DISTINCT nullif(trim(quote), '')) AS q FROM {ak} GROUP BY 1, 2) GROUP BY 1")
@@ -171,11 +224,16 @@ CRITERIA = (("peer_reviewed", "FATAL"), ("journalism", "MAJOR"), ("essay_reflect
 _EVAL = "WITH ev AS (SELECT DISTINCT source_id, source_type AS criterion_id, CASE WHEN quote IS NULL THEN 'not_applicable' WHEN trim(quote) = '' THEN 'not_declared' WHEN length(quote) % 3 = 0 THEN 'red_flag' ELSE 'declared' END AS status FROM attestations WHERE coalesce(trim(source_id), '') <> ''), cr AS (SELECT 'peer_reviewed' AS criterion_id, 3 AS w UNION ALL SELECT 'journalism', 2 UNION ALL SELECT 'essay_reflection', 1), hi AS (SELECT source_id, count(*) AS n FROM attestations WHERE trim(quote) = '' GROUP BY 1), sc AS (SELECT ev.source_id, count(*) FILTER (WHERE status <> 'not_applicable') AS n_applicable, count(*) FILTER (WHERE status = 'declared') AS n_declared, count(*) FILTER (WHERE status IN ('not_declared', 'red_flag')) AS n_missing, coalesce(sum(coalesce(w, 1)) FILTER (WHERE status = 'declared'), 0)::BIGINT AS earned, coalesce(sum(coalesce(w, 1)) FILTER (WHERE status <> 'not_applicable'), 0)::BIGINT AS possible, any_value(hi.n) AS hits FROM ev LEFT JOIN cr ON cr.criterion_id = ev.criterion_id LEFT JOIN hi ON hi.source_id = ev.source_id GROUP BY 1), ms AS (SELECT source_id, CASE WHEN n_applicable = 0 THEN 0.0::DOUBLE ELSE round(least(greatest(0.0::DOUBLE, coalesce(earned::DOUBLE / nullif(possible, 0), 0) - least(0.01::DOUBLE * coalesce(hits, 0), 0.05::DOUBLE)), 0.65::DOUBLE), 3) END AS score, n_applicable, n_declared, n_missing, earned, possible FROM sc) "
 
 
-def audits(t: Tables):
+def evaluations(t: Tables):
+    """(source_id, criterion_id, status) read off attestations, one each."""
     a = t.attestations.where("coalesce(trim(source_id), '') <> ''")
     status = F.when(F.col("quote").isNull(), "not_applicable").when(F.trim("quote") == "", "not_declared").when(F.length("quote") % 3 == 0, "red_flag").otherwise("declared")
-    ev = a.select("source_id", F.col("source_type").alias("criterion_id"), status.alias("status")).distinct()
-    return methodology.methodology_scores(ev, t.spark.createDataFrame(CRITERIA, "criterion_id string, severity string"), a.where("trim(quote) = ''").groupBy("source_id").agg(F.count("*").alias("n")), 0.65)
+    return a.select("source_id", F.col("source_type").alias("criterion_id"), status.alias("status")).distinct()
+
+
+def audits(t: Tables):
+    a = t.attestations.where("coalesce(trim(source_id), '') <> ''")
+    return methodology.methodology_scores(evaluations(t), t.spark.createDataFrame(CRITERIA, "criterion_id string, severity string"), a.where("trim(quote) = ''").groupBy("source_id").agg(F.count("*").alias("n")), 0.65)
 
 
 @query("A17_methodology_scores", _EVAL + "SELECT source_id, score FROM ms")
@@ -194,11 +252,28 @@ def a19(t: Tables):
     return audits(t).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.sum("n_missing").alias("n_missing"))
 
 
-@query("A20_verification_report", filters._PARAM + "SELECT count(*) AS total, count(*) FILTER (WHERE new = 'from_evidence') AS from_evidence, count(*) FILTER (WHERE new = 'external_standard') AS external_standard, count(*) FILTER (WHERE new = 'ungrounded') AS ungrounded, count(*) FILTER (WHERE new <> g) AS overrides, round(100.0 * count(*) FILTER (WHERE new IN ('from_evidence', 'external_standard')) / nullif(count(*), 0), 1)::DOUBLE AS grounded_pct FROM r")
+@query(
+    "A19_methodology_gaps",
+    _EVAL + ", hit AS (SELECT source_id, node_id, att_ord, row_number() OVER (PARTITION BY source_id ORDER BY node_id, att_ord) AS k FROM (SELECT DISTINCT source_id, node_id, att_ord FROM attestations WHERE trim(quote) = '' AND coalesce(trim(source_id), '') <> '')), ln AS (SELECT source_id, 0 AS part, criterion_id || ': ' || status AS line FROM ev WHERE status IN ('not_declared', 'red_flag') UNION ALL SELECT source_id, 1, 'blank quote: ' || node_id || '/' || att_ord FROM hit WHERE k <= 2) SELECT row_number() OVER (ORDER BY source_id, part, line) AS pos, source_id, line FROM ln ORDER BY source_id, part, line LIMIT 20",
+)
+def a19_gaps(t: Tables):
+    """The first 20 lines of the gaps text: criteria not declared or flagged, and up to two hits per audit."""
+    ev = evaluations(t).where("status IN ('not_declared', 'red_flag')").select("source_id", F.lit(0).alias("part"), F.concat("criterion_id", F.lit(": "), "status").alias("line"))
+    hits = t.attestations.where("trim(quote) = '' AND coalesce(trim(source_id), '') <> ''").select("source_id", "node_id", "att_ord").distinct()
+    hits = hits.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("node_id", "att_ord"))).where("k <= 2")
+    lines = ev.unionByName(hits.select("source_id", F.lit(1).alias("part"), F.concat(F.lit("blank quote: "), "node_id", F.lit("/"), F.col("att_ord").cast("string")).alias("line")))
+    top = lines.orderBy("source_id", "part", "line").limit(20)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy("source_id", "part", "line")).cast("bigint")).select("pos", "source_id", "line")
+
+
+@query("A20_verification_report", filters._PARAM + "SELECT count(*) AS total, count(*) FILTER (WHERE new = 'from_evidence') AS from_evidence, count(*) FILTER (WHERE new = 'external_standard') AS external_standard, count(*) FILTER (WHERE new = 'ungrounded') AS ungrounded, count(*) FILTER (WHERE new <> g) AS overrides, round(100.0 * count(*) FILTER (WHERE new IN ('from_evidence', 'external_standard')) / nullif(count(*), 0), 1)::DOUBLE AS grounded_pct, count(*) FILTER (WHERE g = 'expert_guess') AS invented, (SELECT count(*) FROM (SELECT key_question AS q FROM {nd} WHERE coalesce(trim(key_question), '') <> '' GROUP BY 1 HAVING count(*) FILTER (WHERE type = 'claim') = 0)) AS zero_evidence, (SELECT count(*) FROM (SELECT source_id FROM {bd} GROUP BY 1 HAVING sum(least(length(body), 40000) + 2) - 2 > 100000)) AS truncated FROM r")
 def a20(t: Tables):
+    """Parameters by grounding; cruxes without a claim, sources whose corpus exceeds the verifier's budget."""
     p, g = filters.parameters(t), F.col("grounding")
+    bare = t.nd("type", "key_question").where("coalesce(trim(key_question), '') <> ''").groupBy("key_question").agg(F.count_if(F.col("type") == "claim").alias("k")).where("k = 0").agg(F.count("*"))
+    cut = t.bd.groupBy("source_id").agg((F.sum(F.least(F.length("body"), F.lit(40_000)) + 2) - 2).alias("n")).where("n > 100000").agg(F.count("*"))
     n = lambda x: F.count_if(g == x)
-    return p.agg(F.count("*").alias("total"), n("from_evidence").alias("from_evidence"), n("external_standard").alias("external_standard"), n("ungrounded").alias("ungrounded"), F.count_if(g != F.col("declared")).alias("overrides"), F.round(F.try_divide(100.0 * F.count_if(g != "ungrounded"), F.count("*")), 1).alias("grounded_pct"))
+    return p.agg(F.count("*").alias("total"), n("from_evidence").alias("from_evidence"), n("external_standard").alias("external_standard"), n("ungrounded").alias("ungrounded"), F.count_if(g != F.col("declared")).alias("overrides"), F.round(F.try_divide(100.0 * F.count_if(g != "ungrounded"), F.count("*")), 1).alias("grounded_pct"), F.count_if(F.col("declared") == "expert_guess").alias("invented")).withColumn("zero_evidence", bare.scalar()).withColumn("truncated", cut.scalar())
 
 
 @query("A21_groundedness", joins._GROUND + "SELECT coalesce(d.source, 'total') AS section, count(*) AS paragraphs, count(*) FILTER (WHERE grounded) AS grounded, round(100.0 * (count(*) FILTER (WHERE grounded))::DOUBLE / count(*)::DOUBLE, 2)::DOUBLE AS grounded_pct FROM gr JOIN documents d ON d.doc_id = gr.doc_id GROUP BY ROLLUP (d.source)")
@@ -209,6 +284,28 @@ def a21(t: Tables):
     return out.select(F.coalesce("source", F.lit("total")).alias("section"), "paragraphs", "grounded", F.round(100.0 * F.col("grounded") / F.col("paragraphs"), 2).alias("grounded_pct"))
 
 
+_CITE = "cp AS (SELECT e.source AS section, e.src, e.dst, e.type, n.case_name, e.rel_ord, e.dst IN (SELECT id FROM nodes) AS valid FROM {rl} e JOIN {nd} n ON n.id = e.src)"
+
+
+def citing(t: Tables):
+    """One paragraph per relation, which cites its target: (section, case_name, rel_ord, explicit); text and valid ids are joined
+    as in a report. A paragraph is explicit where an id it cites exists."""
+    text = t.rl.join(t.nd("case_name").withColumnRenamed("id", "src"), "src").select(F.col("source").alias("section"), "case_name", "rel_ord", "src", "type", F.concat(F.lit("It is said to matter [gap_"), "dst", F.lit("].")).alias("text"))
+    cited = text.select("*", F.explode_outer(X.cited_ids(F.col("text"))).alias("i")).withColumn("i", X.normal_id(F.col("i")))
+    ids = t.nodes.select(F.col("id").alias("i"), F.lit(True).alias("ok")).distinct()
+    return cited.join(ids, "i", "left").groupBy("section", "case_name", "rel_ord", "src", "type", "text").agg(F.count_distinct("i").alias("cited"), F.count_distinct(F.when(F.col("ok"), F.col("i"))).alias("valid"))
+
+
+_WHOLE = "regexp_matches(e.dst, '^[a-f0-9]{8}$')"
+
+
+@query("A21_citations", "WITH " + _CITE.replace("e.dst IN (SELECT", f"{_WHOLE} AND e.dst IN (SELECT").replace("AS valid", f"AS valid, CASE WHEN {_WHOLE} THEN 1 ELSE 0 END AS cited") + " SELECT coalesce(section, 'total') AS section, count(*) AS paragraphs, sum(cited)::BIGINT AS cited, count(*) FILTER (WHERE valid) AS valid, round(100.0 * (count(*) FILTER (WHERE valid))::DOUBLE / count(*), 2)::DOUBLE AS explicit_pct, round(100.0 * (count(*) FILTER (WHERE valid))::DOUBLE / nullif(sum(cited), 0), 2)::DOUBLE AS validity_pct FROM cp GROUP BY ROLLUP (section)")
+def a21_citations(t: Tables):
+    out = citing(t).rollup("section").agg(F.count("*").alias("paragraphs"), F.sum("cited").alias("cited"), F.sum("valid").alias("valid"), F.count_if(F.col("valid") > 0).alias("explicit"))
+    pct = lambda x, y: F.round(F.try_divide(100.0 * F.col(x), F.col(y)), 2)
+    return out.select(F.coalesce("section", F.lit("total")).alias("section"), "paragraphs", "cited", "valid", pct("explicit", "paragraphs").alias("explicit_pct"), pct("valid", "cited").alias("validity_pct"))
+
+
 @query("A22_crux_criticality", "WITH ti AS (SELECT theme, bool_or(needs) AS needs FROM {th} GROUP BY 1) SELECT crux, sum(CASE WHEN needs THEN 4 ELSE 1 END)::BIGINT AS criticality FROM {ct} c JOIN ti ON ti.theme = c.theme GROUP BY 1")
 def a22(t: Tables):
     ti = relations.themes(t).groupBy("theme").agg(F.bool_or("needs").alias("needs"))
@@ -232,10 +329,27 @@ def a24(t: Tables):
     return t.nodes.agg(F.count("*").alias("deliveries"), F.count_distinct("id").alias("ids"), F.count_if(F.coalesce(F.trim("content"), F.lit("")) == "").alias("blank"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("A25_cost_ledger", "SELECT coalesce(event_type, 'total') AS label, round(sum(value * 3.0 / 1e6), 6) AS cost, count(*) AS calls FROM events GROUP BY ROLLUP (event_type)")
+@query(
+    "A24_reconcile_counters",
+    joins._sets(joins._SAME)
+    + f", st AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(coalesce(strength, 0.75)) AS sim FROM {{rl}} WHERE type = 'same_as' AND src <> dst GROUP BY 1, 2), k AS {joins._CONF}, x AS (SELECT f.*, st.sim, k.a IS NOT NULL AS blocked FROM f JOIN st ON st.a = f.a AND st.b = f.b LEFT JOIN k ON k.a = f.a AND k.b = f.b) SELECT count(*) AS pairs, count(*) FILTER (WHERE cross_paper) AS cross_paper, count(*) FILTER (WHERE cross_paper AND blocked) AS blocked, count(*) FILTER (WHERE cross_paper AND NOT blocked AND sim >= 0.75) AS auto, count(*) FILTER (WHERE cross_paper AND NOT blocked AND sim < 0.75) AS judged FROM x",
+)
+def a24_reconcile(t: Tables):
+    """The reconcile step's counters as one row."""
+    st = t.rl.where("type = 'same_as' AND src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.coalesce("strength", F.lit(0.75))).alias("sim"))
+    x = joins.flagged_pairs(t).join(st, ["a", "b"]).join(G.conflict_pairs(t.ge).withColumn("blocked", F.lit(True)), ["a", "b"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    cp, free, high = F.col("cross_paper"), F.col("cross_paper") & ~F.col("blocked"), F.col("sim") >= C.DEFAULT.auto_merge
+    return x.agg(F.count("*").alias("pairs"), F.count_if(cp).alias("cross_paper"), F.count_if(cp & F.col("blocked")).alias("blocked"), F.count_if(free & high).alias("auto"), F.count_if(free & ~high).alias("judged"))
+
+
+_FAST = ("click", "view")
+
+
+@query("A25_cost_ledger", "WITH c AS (SELECT event_type, value AS i, CAST(json_extract_string(props, '$.k') AS BIGINT) AS o, event_type IN ('click', 'view') AS fast FROM events) SELECT coalesce(event_type, 'total') AS label, round(sum(coalesce(i, 0) * CASE WHEN fast THEN 0.25::DOUBLE ELSE 3.0::DOUBLE END + coalesce(o, 0) * CASE WHEN fast THEN 1.25::DOUBLE ELSE 15.0::DOUBLE END) / 1e6, 6) AS cost, count(*) AS calls FROM c GROUP BY ROLLUP (event_type)")
 def a25(t: Tables):
-    price = C.TOKEN_PRICES["smart"][0]
-    return t.events.rollup("event_type").agg(F.round(F.sum(F.col("value") * price / 1e6), 6).alias("cost"), F.count("*").alias("calls")).select(F.coalesce("event_type", F.lit("total")).alias("label"), "cost", "calls")
+    """A call log priced by tier, input and output tokens apart; events stand for calls, two of their types for the fast tier."""
+    e = t.events.select("event_type", F.coalesce("value", F.lit(0.0)).alias("i"), F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)).alias("o"))
+    return K.cost_ledger(e, "event_type", F.when(F.col("event_type").isin(*_FAST), "fast").otherwise("smart"))
 
 
 @query(
@@ -256,13 +370,18 @@ def a27(t: Tables):
     return t.nd("epistemic_status").join(q, "id", "left").join(k, "id", "left").select("id", status.alias("status"))
 
 
-_PARA = "WITH p AS (SELECT source, doc_id, doc_id % 2 = 0 AS explicit FROM documents), s AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE explicit) AS e FROM p GROUP BY 1) "
+_NOTE = (
+    "WITH " + _CITE.replace("e.dst IN (SELECT", f"{_WHOLE} AND e.dst IN (SELECT").replace("AS valid", f"AS valid, CASE WHEN {_WHOLE} THEN 1 ELSE 0 END AS cited") + ", s AS (SELECT case_name, rel_ord + 1 AS no, CASE WHEN 100.0 * count(*) FILTER (WHERE valid) / count(*) >= 50 THEN 'graph' ELSE 'synthesis' END AS kind FROM cp GROUP BY 1, 2 HAVING count(*) >= 3), "
+    "i AS (SELECT *, no - row_number() OVER (PARTITION BY case_name, kind ORDER BY no) AS k FROM s), r AS (SELECT case_name, kind, min(no) AS lo, max(no) AS hi FROM i GROUP BY case_name, kind, k), g AS (SELECT case_name, kind, string_agg(CASE WHEN lo = hi THEN '§' || lo ELSE '§' || lo || '–§' || hi END, ', ' ORDER BY lo) AS ranges FROM r GROUP BY 1, 2), "
+    "v AS (SELECT case_name, 100.0 * (count(*) FILTER (WHERE valid))::DOUBLE / nullif(sum(cited), 0) AS pct FROM cp GROUP BY 1) "
+    "SELECT v.case_name, concat_ws('; ', a.ranges || ' are graph-derived', b.ranges || ' combine paraphrase with synthesis', CASE WHEN coalesce(pct, 100) >= 99.95 THEN 'no hallucinated references' ELSE CAST(round((100 - pct) * 10)::BIGINT AS VARCHAR) || ' of 1000 cited ids do not resolve' END) AS note FROM v LEFT JOIN g a ON a.case_name = v.case_name AND a.kind = 'graph' LEFT JOIN g b ON b.case_name = v.case_name AND b.kind = 'synthesis'"
+)
 
 
-@query("A28_provenance_note", _PARA + "SELECT source, CASE WHEN 100.0 * e / n >= 50 THEN 'graph-derived' ELSE 'synthesis' END AS kind, n FROM s WHERE n >= 3")
+@query("A28_provenance_note", _NOTE)
 def a28(t: Tables):
-    s = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 2 == 0).alias("e")).where("n >= 3")
-    return s.select("source", F.when(100.0 * F.col("e") / F.col("n") >= 50, "graph-derived").otherwise("synthesis").alias("kind"), "n")
+    """Per case the note on its sections (by ordinal) of three or more paragraphs: those that mostly cite ids, and the others."""
+    return K.provenance_notes(citing(t).select("case_name", (F.col("rel_ord") + 1).alias("no"), "cited", "valid"), "case_name")
 
 
 @query("W01_top_claims", _CEN + "SELECT id, round(c, 2) AS centrality, relation_count FROM ce ORDER BY c DESC, ord, id LIMIT 20")
@@ -339,10 +458,10 @@ def w09(t: Tables):
     return K.ranges(t.attestations.where("source_id IS NOT NULL").select("source_id", (F.col("att_ord") + 1).alias("n")), "source_id", "n")
 
 
-@query("W10_batches", "SELECT theme, ((row_number() OVER (PARTITION BY split_part(theme, '/', 1) ORDER BY theme) - 1) // 6)::BIGINT AS batch FROM (SELECT DISTINCT theme FROM {th})")
+@query("W10_batches", "SELECT theme, ((row_number() OVER (ORDER BY theme) - 1) // 6)::BIGINT AS batch FROM (SELECT DISTINCT theme FROM {th})")
 def w10(t: Tables):
-    k = F.row_number().over(Window.partitionBy(F.split_part("theme", F.lit("/"), F.lit(1))).orderBy("theme"))
-    return relations.themes(t).select("theme").distinct().select("theme", F.floor((k - 1) / C.DEFAULT.structure_batch).alias("batch"))
+    p = K.positions(relations.themes(t).select("theme").distinct(), [F.col("theme")], "w10")
+    return p.select("theme", F.floor((F.col("pos") - 1) / C.DEFAULT.structure_batch).alias("batch"))
 
 
 @query("W11_budgeted_corpus", "WITH b AS (SELECT source_id, capture_id, least(length(body), 40000) AS n FROM {bd}), r AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY source_id ORDER BY capture_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT source_id, capture_id, greatest(0, least(n, 100000 - before))::BIGINT AS kept FROM r")
@@ -356,40 +475,43 @@ def w12(t: Tables):
     return t.ge.where("type = 'contradicts'").select("src", "dst", "strength").orderBy(F.xxhash64("src", "dst", F.lit(42)), "src", "dst").limit(30)
 
 
-@query("O01_pair_order", f"SELECT a, b FROM {joins._SAME} ORDER BY a DESC, b DESC LIMIT 100")
+@query("O01_pair_order", f"SELECT a, b, sim, row_number() OVER (ORDER BY sim DESC, a DESC, b DESC) AS pos FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(coalesce(strength, 0)) AS sim FROM {{rl}} JOIN {joins._SAME} s ON s.a = least(src, dst) AND s.b = greatest(src, dst) WHERE type = 'same_as' GROUP BY 1, 2)")
 def o01(t: Tables):
-    return joins.same_pairs(t).orderBy(F.desc("a"), F.desc("b")).limit(100)
+    st = t.rl.where("type = 'same_as'").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.coalesce("strength", F.lit(0.0))).alias("sim"))
+    return K.positions(joins.same_pairs(t).join(st, ["a", "b"]), [F.desc("sim"), F.desc("a"), F.desc("b")], "o01")
 
 
-@query("O02_clusters_by_size", "SELECT crux, count(*) AS n FROM {cx} GROUP BY 1 ORDER BY n DESC, crux LIMIT 50")
+@query("O02_clusters_by_size", "SELECT crux, n, row_number() OVER (ORDER BY n DESC, crux) AS pos FROM (SELECT crux, count(*) AS n FROM {cx} GROUP BY 1)")
 def o02(t: Tables):
-    return relations.crux_claims(t).groupBy("crux").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "crux").limit(50)
+    return K.positions(relations.crux_claims(t).groupBy("crux").agg(F.count("*").alias("n")), [F.desc("n"), F.col("crux")], "o02")
 
 
-@query("O03_question_order", "SELECT DISTINCT q, length(q) AS n FROM {qe} ORDER BY n DESC, q LIMIT 50")
+@query("O03_question_order", "SELECT q, n, row_number() OVER (ORDER BY n DESC, q) AS pos FROM (SELECT DISTINCT q, length(q) AS n FROM {qe})")
 def o03(t: Tables):
-    return K.question_edges(t.ge).select("q").distinct().select("q", F.length("q").cast("bigint").alias("n")).orderBy(F.desc("n"), "q").limit(50)
+    return K.positions(K.question_edges(t.ge).select("q").distinct().select("q", F.length("q").cast("bigint").alias("n")), [F.desc("n"), F.col("q")], "o03")
 
 
-@query("O04_sources_by_risk", _IMP + "SELECT source_id, epistemic_risk, crux_claims_count FROM im ORDER BY epistemic_risk DESC, crux_claims_count DESC, source_id LIMIT 50")
+@query("O04_sources_by_risk", _IMP + "SELECT source_id, epistemic_risk, crux_claims_count, row_number() OVER (ORDER BY epistemic_risk DESC, crux_claims_count DESC, source_id) AS pos FROM im")
 def o04(t: Tables):
-    return importance(t).select("source_id", "epistemic_risk", "crux_claims_count").orderBy(F.desc("epistemic_risk"), F.desc("crux_claims_count"), "source_id").limit(50)
+    return K.positions(importance(t).select("source_id", "epistemic_risk", "crux_claims_count"), [F.desc("epistemic_risk"), F.desc("crux_claims_count"), F.col("source_id")], "o04")
 
 
-@query("O05_sources_by_tier", _IMP + "SELECT source_id, importance_tier, epistemic_risk FROM im ORDER BY CASE importance_tier WHEN 'central' THEN 0 WHEN 'latent_gem' THEN 1 WHEN 'contributory' THEN 2 ELSE 3 END, epistemic_risk DESC, source_id LIMIT 50")
+@query("O05_sources_by_tier", _IMP + "SELECT source_id, importance_tier, epistemic_risk, row_number() OVER (ORDER BY CASE importance_tier WHEN 'central' THEN 0 WHEN 'latent_gem' THEN 1 WHEN 'contributory' THEN 2 ELSE 3 END, epistemic_risk DESC, source_id) AS pos FROM im")
 def o05(t: Tables):
     tier = F.array_position(F.array(*[F.lit(x) for x in ("central", "latent_gem", "contributory", "peripheral")]), F.col("importance_tier"))
-    return importance(t).select("source_id", "importance_tier", "epistemic_risk").orderBy(tier, F.desc("epistemic_risk"), "source_id").limit(50)
+    rows = importance(t).select("source_id", "importance_tier", "epistemic_risk", tier.alias("tier"))
+    return K.positions(rows, [F.col("tier"), F.desc("epistemic_risk"), F.col("source_id")], "o05").drop("tier")
 
 
-@query("O06_cruxes_by_criticality", "WITH ti AS (SELECT theme, bool_or(needs) AS needs FROM {th} GROUP BY 1) SELECT crux, sum(CASE WHEN needs THEN 4 ELSE 1 END)::BIGINT AS criticality FROM {ct} c JOIN ti ON ti.theme = c.theme GROUP BY 1 ORDER BY criticality DESC, crux LIMIT 50")
+@query("O06_cruxes_by_criticality", "WITH ti AS (SELECT theme, bool_or(needs) AS needs FROM {th} GROUP BY 1) SELECT crux, criticality, row_number() OVER (ORDER BY criticality DESC, crux) AS pos FROM (SELECT crux, sum(CASE WHEN needs THEN 4 ELSE 1 END)::BIGINT AS criticality FROM {ct} c JOIN ti ON ti.theme = c.theme GROUP BY 1)")
 def o06(t: Tables):
-    return a22(t).orderBy(F.desc("criticality"), "crux").limit(50)
+    return K.positions(a22(t), [F.desc("criticality"), F.col("crux")], "o06")
 
 
-@query("O07_compression_groups", f"SELECT canonical AS cluster_id, count(*) + 1 AS member_count FROM {joins._CANON} GROUP BY 1 ORDER BY member_count DESC, cluster_id LIMIT 50")
+@query("O07_compression_groups", f"SELECT cluster_id, member_count, row_number() OVER (ORDER BY member_count DESC, cluster_id) AS pos FROM (SELECT canonical AS cluster_id, count(*) + 1 AS member_count FROM {joins._CANON} GROUP BY 1)")
 def o07(t: Tables):
-    return joins.star_map(t).groupBy(F.col("canonical").alias("cluster_id")).agg((F.count("*") + 1).alias("member_count")).orderBy(F.desc("member_count"), "cluster_id").limit(50)
+    groups = joins.star_map(t).groupBy(F.col("canonical").alias("cluster_id")).agg((F.count("*") + 1).alias("member_count"))
+    return K.positions(groups, [F.desc("member_count"), F.col("cluster_id")], "o07")
 
 
 @query("O08_first_contradictions", "SELECT src, dst, strength FROM {ge} WHERE type = 'contradicts' ORDER BY src, dst LIMIT 30")
@@ -400,3 +522,40 @@ def o08(t: Tables):
 @query("O09_case_summary", "SELECT case_name, count(*) AS nodes, count(*) FILTER (WHERE type = 'claim') AS claims, count(DISTINCT source_id) AS sources, round(avg(evidential_weight), 6) AS mean_weight FROM {nd} GROUP BY 1")
 def o09(t: Tables):
     return t.nd("case_name", "type", "source_id", "evidential_weight").groupBy("case_name").agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "claim").alias("claims"), F.count_distinct("source_id").alias("sources"), F.round(F.avg("evidential_weight"), 6).alias("mean_weight"))
+
+
+@query("O09_theme_view", "SELECT theme, count(*) AS member_count, bool_or(needs) AS needs_review, string_agg(id, ',' ORDER BY id) FILTER (WHERE k <= 10) AS members FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY id) AS k FROM {th}) GROUP BY 1")
+def o09_themes(t: Tables):
+    """Themes with their first ten members."""
+    k = F.row_number().over(Window.partitionBy("theme").orderBy("id"))
+    m = relations.themes(t).withColumn("k", k)
+    first = m.where("k <= 10").groupBy("theme").agg(K.listed(F.col("id")).alias("members"))
+    return m.groupBy("theme").agg(F.count("*").alias("member_count"), F.bool_or("needs").alias("needs_review")).join(first, "theme")
+
+
+@query("O09_crux_view", "SELECT c.crux, c.claim_id, left(n.content, 80) AS head FROM {cx} c JOIN {nd} n ON n.id = c.claim_id")
+def o09_cruxes(t: Tables):
+    return relations.crux_claims(t).join(t.nd("content").withColumnRenamed("id", "claim_id"), "claim_id").select("crux", "claim_id", F.substring("content", 1, 80).alias("head"))
+
+
+@query("O09_list_view", "SELECT 'gaps' AS what, id, left(coalesce(content, ''), 80) AS head FROM {nd} WHERE type = 'gap' UNION ALL SELECT 'chains', chain, left(coalesce(n.content, ''), 80) FROM (SELECT DISTINCT chain FROM " + joins._CH + ") c JOIN {nd} n ON n.id = c.chain")
+def o09_list(t: Tables):
+    head = F.substring(F.coalesce("content", F.lit("")), 1, 80).alias("head")
+    gaps = t.nd("type", "content").where("type = 'gap'").select(F.lit("gaps").alias("what"), "id", head)
+    chains = relations.chain_claims(t).select(F.col("chain").alias("id")).distinct().join(t.nd("content"), "id").select(F.lit("chains").alias("what"), "id", head)
+    return gaps.unionByName(chains)
+
+
+@query("O09_debate_view", joins._STATE_ROWS + ", m AS (SELECT node_id AS id, count(DISTINCT sk) AS n_sources FROM {ak} GROUP BY 1) SELECT s.id, CASE WHEN coalesce(m.n_sources, 0) > 1 THEN m.n_sources || ' sources' WHEN n_attestations > 1 THEN n_attestations || ' quotes, 1 source' ELSE '' END AS origin, len(list_filter(string_split(contradicted_by, ','), lambda x: x <> ''))::BIGINT AS n_contradictions FROM st s LEFT JOIN m ON m.id = s.id ORDER BY s.id LIMIT 15")
+def o09_debate(t: Tables):
+    """The first fifteen debate nodes with their flags."""
+    m = t.ak.groupBy(F.col("node_id").alias("id")).agg(F.count_distinct("sk").alias("n_sources"))
+    s = joins.j08(t).join(m, "id", "left")
+    text = F.when(F.coalesce("n_sources", F.lit(0)) > 1, F.concat(F.col("n_sources").cast("string"), F.lit(" sources"))).when(F.col("n_attestations") > 1, F.concat(F.col("n_attestations").cast("string"), F.lit(" quotes, 1 source"))).otherwise("")
+    return s.select("id", text.alias("origin"), F.size(F.filter(F.split("contradicted_by", ","), lambda x: x != "")).cast("bigint").alias("n_contradictions")).orderBy("id").limit(15)
+
+
+@query("O09_hypothesis_view", filters._PARAM + "SELECT n.key_question AS crux, count(*) AS parameters, count(*) FILTER (WHERE r.new = 'ungrounded') AS ungrounded FROM r JOIN {nd} n ON n.id = r.node_id WHERE coalesce(trim(n.key_question), '') <> '' GROUP BY 1")
+def o09_hypotheses(t: Tables):
+    p = filters.parameters(t).join(t.nd("key_question").withColumnRenamed("id", "node_id"), "node_id").where("coalesce(trim(key_question), '') <> ''")
+    return p.groupBy(F.col("key_question").alias("crux")).agg(F.count("*").alias("parameters"), F.count_if(F.col("grounding") == "ungrounded").alias("ungrounded"))

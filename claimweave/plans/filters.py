@@ -51,12 +51,6 @@ def f03(t: Tables):
     return t.nd("type", "claim_type").select("id", rhetorical().alias("rhetorical"))
 
 
-@query("F04_without_illustrations", "SELECT id, claim_type FROM {nd} WHERE coalesce(claim_type, '') <> 'predictive'")
-def f04(t: Tables):
-    """The same drop on a level the tables have: one claim type stands in for the illustrative level."""
-    return t.nd("claim_type").where("coalesce(claim_type, '') <> 'predictive'")
-
-
 def gate(quote, body_found):
     short = F.length(F.trim(F.coalesce(quote, F.lit("")))) < C.DEFAULT.min_quote
     return F.when(~F.col("type").isin("claim", "evidence"), "quote not required for type").when(short, "missing quote (min 20 chars)").when(X.is_junk_quote(quote), "quote is TOC/index debris, not evidence").when(body_found, "grounded").otherwise("quote not found in chunk")

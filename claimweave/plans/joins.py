@@ -13,7 +13,7 @@ from claimweave.operators import reconcile as Q
 from claimweave.operators import similarity as M
 from claimweave.plans import filters, relations
 from claimweave.plans.registry import Tables, query
-from claimweave.runtime import stash
+from claimweave.runtime import bounded, stash
 
 #: Bands for the vectors of the test tables, whose similarities are low.
 MERGE, CONTRA = (0.40, 0.84), (0.30, 0.84)
@@ -32,12 +32,19 @@ def j02(t: Tables):
 
 
 _SAME = "(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {rl} WHERE type = 'same_as' AND src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
-_SETS = (
-    "WITH s AS (SELECT node_id AS id, list_sort(list(DISTINCT sk)) AS ss FROM {ak} WHERE sk IS NOT NULL GROUP BY 1), na AS (SELECT node_id AS id, list_sort(list(DISTINCT nullif(lower(trim(author)), ''))) AS au FROM {ak} WHERE coalesce(trim(author), '') <> '' GROUP BY 1), "
-    "au AS (SELECT * FROM na UNION ALL SELECT id, [lower(trim(source_author))] FROM {nd} WHERE coalesce(trim(source_author), '') <> '' AND id NOT IN (SELECT id FROM na)), "
-    f"p AS {_SAME}, f AS (SELECT p.a, p.b, coalesce(len(x.ss) > 0 AND len(y.ss) > 0 AND NOT list_has_any(x.ss, y.ss), false) AS cross_paper, coalesce(list_has_any(x.ss, y.ss), false) AS same_document, coalesce(u.au = v.au, false) AS same_author "
-    "FROM p LEFT JOIN s x ON x.id = p.a LEFT JOIN s y ON y.id = p.b LEFT JOIN au u ON u.id = p.a LEFT JOIN au v ON v.id = p.b) "
-)
+
+
+def _sets(pairs: str) -> str:
+    """Common table expressions up to f: the pairs (a, b) with their source flags."""
+    return (
+        "WITH s AS (SELECT node_id AS id, list_sort(list(DISTINCT sk)) AS ss FROM {ak} WHERE sk IS NOT NULL GROUP BY 1), na AS (SELECT node_id AS id, list_sort(list(DISTINCT nullif(lower(trim(author)), ''))) AS au FROM {ak} WHERE coalesce(trim(author), '') <> '' GROUP BY 1), "
+        "au AS (SELECT * FROM na UNION ALL SELECT id, [lower(trim(source_author))] FROM {nd} WHERE coalesce(trim(source_author), '') <> '' AND id NOT IN (SELECT id FROM na)), "
+        f"p AS (SELECT a, b FROM {pairs}), f AS (SELECT p.a, p.b, coalesce(len(x.ss) > 0 AND len(y.ss) > 0 AND NOT list_has_any(x.ss, y.ss), false) AS cross_paper, coalesce(list_has_any(x.ss, y.ss), false) AS same_document, coalesce(u.au = v.au, false) AS same_author "
+        "FROM p LEFT JOIN s x ON x.id = p.a LEFT JOIN s y ON y.id = p.b LEFT JOIN au u ON u.id = p.a LEFT JOIN au v ON v.id = p.b) "
+    )
+
+
+_SETS = _sets(_SAME)
 
 
 def same_pairs(t: Tables):
@@ -78,14 +85,16 @@ def j07(t: Tables):
     return t.ge.groupBy(F.col("dst").alias("id"), "type").agg(F.count("*").alias("n"))
 
 
-_ROLES = "count(*) FILTER (WHERE type = 'contradicts') AS contradicted_by, count(*) FILTER (WHERE type = 'supports') AS supported_by, count(*) FILTER (WHERE type = 'undermines') AS undermined_by, count(*) FILTER (WHERE type = 'requires') AS requires_true, count(*) FILTER (WHERE type = 'explains') AS explained_by"
-_STATE = f"WITH o AS (SELECT src AS id, {_ROLES} FROM {{rl}} GROUP BY 1), f AS (SELECT dst AS id, count(*) AS n FROM {{rl}} WHERE type = 'requires' GROUP BY 1), c AS (SELECT node_id AS id, count(*) AS n FROM attestations GROUP BY 1) "
+_KINDS = {"contradicts": "contradicted_by", "supports": "supported_by", "undermines": "undermined_by", "requires": "requires_true", "explains": "explained_by"}
+_ROLES = ", ".join(f"string_agg(DISTINCT dst, ',' ORDER BY dst) FILTER (WHERE type = '{k}') AS {v}" for k, v in _KINDS.items())
+_STATE_ROWS = (
+    f"WITH o AS (SELECT src AS id, {_ROLES} FROM {{rl}} GROUP BY 1), w AS (SELECT dst AS id, string_agg(DISTINCT src, ',' ORDER BY src) AS falls FROM {{rl}} WHERE type = 'requires' GROUP BY 1), c AS (SELECT node_id AS id, count(*) AS n FROM attestations GROUP BY 1), "
+    "sx AS (SELECT n.id, " + ", ".join(f"coalesce({v}, '') AS {v}" for v in _KINDS.values()) + ", coalesce(w.falls, '') AS if_false_then_falls, coalesce(c.n, 0) AS n_attestations FROM {nd} n LEFT JOIN o ON o.id = n.id LEFT JOIN w ON w.id = n.id LEFT JOIN c ON c.id = n.id WHERE n.type IN ('claim', 'evidence', 'question')), "
+    "st AS (SELECT * FROM sx WHERE contradicted_by || supported_by || undermined_by || requires_true || explained_by || if_false_then_falls <> '' OR n_attestations > 1)"
+)
 
 
-@query(
-    "J08_debate_state",
-    _STATE + "SELECT * FROM (SELECT n.id, coalesce(contradicted_by, 0) AS contradicted_by, coalesce(supported_by, 0) AS supported_by, coalesce(undermined_by, 0) AS undermined_by, coalesce(requires_true, 0) AS requires_true, coalesce(explained_by, 0) AS explained_by, coalesce(f.n, 0) AS if_false_then_falls, coalesce(c.n, 0) AS n_attestations FROM {nd} n LEFT JOIN o ON o.id = n.id LEFT JOIN f ON f.id = n.id LEFT JOIN c ON c.id = n.id WHERE n.type IN ('claim', 'evidence', 'question')) WHERE contradicted_by + supported_by + undermined_by + requires_true + explained_by + if_false_then_falls > 0 OR n_attestations > 1",
-)
+@query("J08_debate_state", _STATE_ROWS + " SELECT * FROM st")
 def j08(t: Tables):
     return K.debate_state(t.nd("type"), t.rl, t.attestations)
 
@@ -101,9 +110,10 @@ def j09(t: Tables):
     return x.join(c, "claim_id").select("crux", "chain").union(by_end.select("crux", "chain")).distinct()
 
 
-@query("J10_theme_cruxes", "SELECT theme, count(*) AS n_cruxes, min(crux) AS first_crux FROM {ct} GROUP BY 1")
+@query("J10_theme_cruxes", "SELECT theme, count(*) AS n_cruxes, string_agg(crux, '|' ORDER BY crux) AS cruxes FROM {ct} GROUP BY 1")
 def j10(t: Tables):
-    return relations.crux_themes(t).groupBy("theme").agg(F.count("*").alias("n_cruxes"), F.min("crux").alias("first_crux"))
+    """The inverted index: each theme with its cruxes in order, as many as it has."""
+    return relations.crux_themes(t).groupBy("theme").agg(F.count("*").alias("n_cruxes"), F.array_join(F.array_sort(F.collect_set("crux")), "|").alias("cruxes"))
 
 
 def matches(t: Tables):
@@ -155,10 +165,37 @@ def j12(t: Tables):
     return crux_gaps(t).where((F.col("k") == 1) & (F.col("sim") >= C.DEFAULT.orphan_lexical)).select("crux", F.col("id").alias("gap_id"), F.round("sim", 6).alias("sim"))
 
 
-@query("J13_repaired_references", _NEAR + "SELECT e.src, CASE WHEN n.id IS NOT NULL THEN e.dst ELSE NULL END AS dst, count(*) AS n FROM {rl} e LEFT JOIN {nd} n ON n.id = e.dst WHERE e.type = 'presupposes' GROUP BY 1, 2")
+_ORPHAN = (
+    f"WITH o AS (SELECT src, dst, max(coalesce(nullif(trim(shared_question), ''), rationale, '')) AS hint FROM {{rl}} WHERE src <> dst AND dst NOT IN (SELECT id FROM nodes) AND src IN (SELECT id FROM nodes) GROUP BY 1, 2), ow AS (SELECT src, dst, unnest({_tok('hint')}) AS w FROM o), os AS (SELECT src, dst, count(*) AS n FROM ow GROUP BY 1, 2), "
+    f"cw AS (SELECT id, unnest({_tok('content')}) AS w FROM {{nd}} WHERE type = 'claim' AND content IS NOT NULL), cn AS (SELECT id, count(*) AS n FROM cw GROUP BY 1), "
+    "om AS (SELECT src, dst, id, count(*) AS k FROM ow JOIN cw ON cw.w = ow.w GROUP BY 1, 2, 3), osim AS (SELECT om.src, om.dst, om.id, round(k::DOUBLE / (os.n + cn.n - k), 9) AS sim FROM om JOIN os ON os.src = om.src AND os.dst = om.dst JOIN cn ON cn.id = om.id), "
+    "fix AS (SELECT src, dst, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY sim DESC, id) AS k FROM osim) WHERE k = 1 AND sim >= 0.06) "
+)
+
+
+def repaired(t: Tables):
+    """(src, dst, id, sim): references to ids no node carries, with the claim nearest to the reference's question or rationale."""
+    o = t.rl.where("src <> dst").join(t.nd().withColumnRenamed("id", "dst"), "dst", "left_anti").join(t.nd().withColumnRenamed("id", "src"), "src", "left_semi")
+    hint = F.coalesce(F.nullif(F.trim("shared_question"), F.lit("")), "rationale", F.lit(""))
+    hints = o.groupBy("src", "dst").agg(F.max(hint).alias("hint")).select("src", "dst", X.token_set(F.col("hint"), C.STOP_WORDS).alias("tokens"))
+    claims = t.nd("type", "content").where("type = 'claim' AND content IS NOT NULL").select("id", X.token_set(F.col("content"), C.STOP_WORDS).alias("tokens"))
+    return K.nearest(hints, ["src", "dst"], claims, C.DEFAULT.orphan_lexical)
+
+
+@query("J12_repaired_orphans", _ORPHAN + "SELECT src, dst, id, round(sim, 6) AS sim FROM fix")
+def j12_orphans(t: Tables):
+    return repaired(t).select("src", "dst", "id", F.round("sim", 6).alias("sim"))
+
+
+@query("J13_repaired_references", _ORPHAN + "SELECT DISTINCT e.src, coalesce(n.id, fix.id) AS dst, e.type FROM {rl} e LEFT JOIN {nd} n ON n.id = e.dst LEFT JOIN fix ON fix.src = e.src AND fix.dst = e.dst WHERE e.src <> e.dst AND e.src IN (SELECT id FROM nodes) AND coalesce(n.id, fix.id) IS NOT NULL AND coalesce(n.id, fix.id) <> e.src")
 def j13(t: Tables):
-    """References kept where their target exists and emptied where it does not, once each."""
-    return t.rl.where("type = 'presupposes'").join(t.nd().select(F.col("id").alias("dst"), F.lit(True).alias("there")), "dst", "left").groupBy("src", F.when(F.col("there"), F.col("dst")).alias("dst")).agg(F.count("*").alias("n"))
+    """Every reference kept where its target exists, moved to the nearest claim where it does not, dropped where nothing is near;
+    once each."""
+    ids = t.nd()
+    e = t.rl.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "type")
+    sound = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    moved = e.join(repaired(t), ["src", "dst"]).select("src", F.col("id").alias("dst"), "type")
+    return sound.select("src", "dst", "type").unionByName(moved).where("src <> dst").distinct()
 
 
 @query("J14_linked_gaps", _NEAR + "SELECT crux, id AS gap_id, CAST(k AS BIGINT) AS k FROM r WHERE (k <= 4 AND sim >= 0.06) OR (k <= 3 AND crux NOT IN (SELECT crux FROM r WHERE sim >= 0.06))")
@@ -181,15 +218,17 @@ def j15(t: Tables):
 
 @query(
     "J16_crux_evidence",
-    "WITH c AS (SELECT crux, claim_id FROM (SELECT crux, claim_id, row_number() OVER (PARTITION BY crux ORDER BY claim_id) AS k FROM (SELECT DISTINCT crux, claim_id FROM {cx})) WHERE k <= 5), a AS (SELECT crux, dst, row_number() OVER (PARTITION BY crux ORDER BY dst) AS k FROM (SELECT DISTINCT c.crux, e.dst FROM c JOIN {ge} e ON e.src = c.claim_id AND e.type = 'contradicts')) SELECT crux, 'claim' AS kind, claim_id AS id FROM c UNION ALL SELECT crux, 'against', dst FROM a WHERE k <= 5",
+    _NEAR + ", c AS (SELECT crux, claim_id FROM (SELECT crux, claim_id, row_number() OVER (PARTITION BY crux ORDER BY claim_id) AS k FROM (SELECT DISTINCT crux, claim_id FROM {cx})) WHERE k <= 5), a AS (SELECT crux, dst, row_number() OVER (PARTITION BY crux ORDER BY dst) AS k FROM (SELECT DISTINCT c.crux, e.dst FROM {cx} c JOIN {ge} e ON e.src = c.claim_id AND e.type = 'contradicts')) SELECT crux, 'claim' AS kind, claim_id AS id FROM c UNION ALL SELECT crux, 'against', dst FROM a WHERE k <= 5 UNION ALL SELECT crux, 'gap', id FROM r WHERE k <= 4 AND sim >= 0.06",
 )
 def j16(t: Tables):
+    """Per crux up to five claims, five distinct nodes that any of its claims contradicts, and four gaps near it."""
     from pyspark.sql import Window
 
     top = lambda df, key: df.withColumn("k", F.row_number().over(Window.partitionBy("crux").orderBy(key))).where("k <= 5").drop("k")
-    c = top(relations.crux_claims(t), "claim_id")
-    a = top(c.join(t.ge.where("type = 'contradicts'").select(F.col("src").alias("claim_id"), "dst"), "claim_id").select("crux", "dst").distinct(), "dst")
-    return c.select("crux", F.lit("claim").alias("kind"), F.col("claim_id").alias("id")).unionByName(a.select("crux", F.lit("against").alias("kind"), F.col("dst").alias("id")))
+    claims = relations.crux_claims(t)
+    a = top(claims.join(t.ge.where("type = 'contradicts'").select(F.col("src").alias("claim_id"), "dst"), "claim_id").select("crux", "dst").distinct(), "dst")
+    gaps = crux_gaps(t).where(F.col("sim") >= C.DEFAULT.orphan_lexical).select("crux", F.lit("gap").alias("kind"), "id")
+    return top(claims, "claim_id").select("crux", F.lit("claim").alias("kind"), F.col("claim_id").alias("id")).unionByName(a.select("crux", F.lit("against").alias("kind"), F.col("dst").alias("id"))).unionByName(gaps)
 
 
 @query("J17_contradiction_pairs", "SELECT least(e.src, e.dst) AS a, greatest(e.src, e.dst) AS b, max(e.strength) AS strength FROM {ge} e JOIN {nd} n ON n.id = e.src AND n.type = 'claim' WHERE e.type = 'contradicts' GROUP BY 1, 2")
@@ -219,10 +258,18 @@ def j19(t: Tables):
     return t.attestations.select("node_id", "source_id").join(quote_scores(t), "source_id").groupBy("node_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query("J20_sources_with_audits", f"SELECT s.source_id, coalesce(nullif(s.role, ''), 'unknown') AS role, a.score, coalesce(c.n, 0) AS n_attestations FROM {{so}} s LEFT JOIN {_AUD} a ON a.source_id = s.source_id LEFT JOIN (SELECT source_id, count(*) AS n FROM attestations GROUP BY 1) c ON c.source_id = s.source_id")
+_IMPORT = (
+    ", n AS (SELECT id, coalesce(evidential_weight, 0) AS w FROM {nd} WHERE type IN ('claim', 'evidence')), a2 AS (SELECT DISTINCT node_id AS id, sk FROM {ak} WHERE sk IS NOT NULL), s2 AS (SELECT id, count(*) = 1 AS sole FROM a2 GROUP BY 1), "
+    "r2 AS (SELECT n.*, a2.sk, s2.sole, n.id IN (SELECT claim_id FROM {cx}) AS crux FROM n JOIN a2 ON a2.id = n.id JOIN s2 ON s2.id = n.id), im AS (SELECT sk AS source_id, round(2.0 * count(*) FILTER (WHERE sole AND w >= 0.7) + 3.0 * count(*) FILTER (WHERE crux AND sole) + 0.5 * count(*) FILTER (WHERE sole) + 0.25 * count(*) FILTER (WHERE crux), 2)::DOUBLE AS epistemic_risk FROM r2 GROUP BY 1) "
+)
+
+
+@query("J20_sources_with_audits", f"WITH au AS {_AUD}" + _IMPORT + "SELECT im.source_id, im.epistemic_risk, au.score, coalesce(nullif(s.role, ''), 'unknown') AS role FROM im LEFT JOIN au ON au.source_id = im.source_id LEFT JOIN {so} s ON s.source_id = im.source_id")
 def j20(t: Tables):
-    n = t.attestations.groupBy("source_id").agg(F.count("*").alias("n"))
-    return t.so.select("source_id", F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown")).alias("role")).join(quote_scores(t), "source_id", "left").join(n, "source_id", "left").select("source_id", "role", "score", F.coalesce("n", F.lit(0)).alias("n_attestations"))
+    """Importance of each source with the score of its audit and its role, where there are any."""
+    im = K.source_importance(t.nd("type", "evidential_weight"), t.ak, relations.crux_claims(t)).select("source_id", "epistemic_risk")
+    roles = bounded(t.so.select("source_id", F.nullif("role", F.lit("")).alias("role")))
+    return im.join(quote_scores(t), "source_id", "left").join(roles, "source_id", "left").select("source_id", "epistemic_risk", "score", F.coalesce("role", F.lit("unknown")).alias("role"))
 
 
 @query(
@@ -250,10 +297,31 @@ def j22(t: Tables):
     return GR.grounded_paragraphs(filters.prose(t.documents), t.nodes.where("textual_evidence IS NOT NULL").select(F.col("textual_evidence").alias("text")))
 
 
-@query("J23_valid_citations", "WITH c AS (SELECT DISTINCT src, regexp_replace(dst, '^(gap_|claim_)', '') AS cited FROM {rr}) SELECT c.src, count(*) AS cited, count(n.id) AS valid FROM c LEFT JOIN {nd} n ON n.id = c.cited GROUP BY 1")
+_VALID = "vi AS (SELECT id FROM {nd} UNION SELECT 'gap_' || id FROM {nd} WHERE type = 'gap' UNION SELECT 'claim_' || id FROM {nd} WHERE type = 'claim' UNION SELECT 'crux_' || substr(sha256(crux), 1, 8) FROM {cx} UNION SELECT 'chain_' || dst FROM {ge} WHERE type = 'depends_on')"
+
+
+def valid_ids(t: Tables):
+    """(cited): all ids a text may cite: nodes, gaps and claims with their prefixes, cruxes by a digest of their question, chains."""
+    alias = lambda df, prefix, c: df.select(F.concat(F.lit(prefix), c).alias("cited"))
+    n = t.nd("type")
+    parts = [alias(n.where("type = 'gap'"), "gap_", F.col("id")), alias(n.where("type = 'claim'"), "claim_", F.col("id")), alias(relations.crux_claims(t), "crux_", F.substring(F.sha2("crux", 256), 1, 8)), alias(relations.chain_claims(t), "chain_", F.col("chain"))]
+    out = n.select(F.col("id").alias("cited"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+@query(
+    "J23_valid_citations",
+    "WITH " + _VALID + ", c AS (SELECT DISTINCT src, CASE type WHEN 'depends_on' THEN 'chain_' WHEN 'supports' THEN 'claim_' WHEN 'qualifies' THEN 'gap_' ELSE '' END || dst AS cited FROM {rr}) SELECT c.src, count(*) AS cited, count(coalesce(v.id, w.id)) AS valid FROM c LEFT JOIN vi v ON v.id = c.cited LEFT JOIN {nd} w ON w.id = regexp_replace(c.cited, '^(gap_|claim_)', '') GROUP BY 1",
+)
 def j23(t: Tables):
-    c = t.relations.select(F.lower(F.trim("src")).alias("src"), X.normal_id(F.lower(F.trim("dst"))).alias("cited")).distinct()
-    return c.join(t.nd().select(F.col("id").alias("cited"), F.lit(1).alias("ok")), "cited", "left").groupBy("src").agg(F.count("*").alias("cited"), F.count("ok").alias("valid"))
+    """Cited ids per node, and how many are valid as they stand or without the prefix of a gap or claim."""
+    prefix = F.when(F.col("type") == "depends_on", "chain_").when(F.col("type") == "supports", "claim_").when(F.col("type") == "qualifies", "gap_").otherwise("")
+    c = t.relations.select(F.lower(F.trim("src")).alias("src"), G.relation_type().alias("type"), F.lower(F.trim("dst")).alias("dst")).select("src", F.concat(prefix, "dst").alias("cited")).distinct()
+    plain = t.nd().select(F.col("id").alias("bare"), F.lit(1).alias("ok2"))
+    rows = c.join(valid_ids(t).withColumn("ok", F.lit(1)), "cited", "left").withColumn("bare", X.normal_id(F.col("cited"))).join(plain, "bare", "left")
+    return rows.groupBy("src").agg(F.count("*").alias("cited"), F.count(F.coalesce("ok", "ok2")).alias("valid"))
 
 
 @query(
@@ -306,10 +374,16 @@ def u04(t: Tables):
     return t.rl.select("src", "dst", "type", "rel_ord")
 
 
-@query("U05_appended_attestations", "WITH d AS (SELECT DISTINCT node_id, coalesce(trim(source_id), '') AS s, coalesce(trim(quote), '') AS q FROM attestations) SELECT node_id, count(*) AS n, CASE WHEN count(*) > 1 THEN 'corroborated' ELSE 'active' END AS status FROM d GROUP BY 1")
+_NEWQ = "SELECT id AS node_id, coalesce(trim(source_id), '') AS s, coalesce(trim(textual_evidence), '') AS q FROM {nd} WHERE coalesce(trim(textual_evidence), '') <> ''"
+
+
+@query("U05_appended_attestations", "WITH old AS (SELECT DISTINCT node_id, coalesce(trim(source_id), '') AS s, coalesce(trim(quote), '') AS q FROM attestations), new AS (SELECT * FROM (" + _NEWQ + ") EXCEPT SELECT * FROM old), u AS (SELECT *, false AS added FROM old UNION ALL SELECT *, true FROM new) SELECT node_id, count(*) AS n, count(*) FILTER (WHERE added) AS added, CASE WHEN count(*) > 1 THEN 'corroborated' ELSE 'active' END AS status FROM u GROUP BY 1")
 def u05(t: Tables):
-    none = t.spark.createDataFrame([], "id string, canonical string")
-    return G.attestation_union(t.attestations, none).groupBy(F.col("canonical").alias("node_id")).agg(F.count("*").alias("n"), F.when(F.count("*") > 1, "corroborated").otherwise("active").alias("status"))
+    """The evidence of each node is appended as an attestation where its node, source and quote are not there yet."""
+    keys = ["node_id", "source_id", "quote"]
+    clean = lambda df, *c: df.select(c[0], *[F.coalesce(F.trim(x), F.lit("")).alias(y) for x, y in zip(c[1:], keys[1:])]).toDF(*keys).distinct()
+    new = clean(t.nd("source_id", "textual_evidence").where("coalesce(trim(textual_evidence), '') <> ''"), "id", "source_id", "textual_evidence")
+    return G.appended(clean(t.attestations, "node_id", "source_id", "quote"), new, keys).groupBy("node_id").agg(F.count("*").alias("n"), F.count_if("added").alias("added"), F.when(F.count("*") > 1, "corroborated").otherwise("active").alias("status"))
 
 
 @query("U06_cleared_edges", "SELECT src, dst, type, rel_ord, count(*) AS n FROM relations WHERE source IS NULL OR source NOT IN ('reconcile') GROUP BY ALL")
@@ -327,16 +401,25 @@ def settled(t: Tables):
     return rows.join(against, "id", "left_anti").select("id", "n_sources", F.coalesce("evidential_weight", F.lit(0.0)).alias("w"))
 
 
-@query("U07_settled_contested", _SETTLED + "SELECT 'settled' AS kind, count(*) AS n FROM s WHERE n_sources > 1 AND id NOT IN (SELECT id FROM k) UNION ALL SELECT 'contested', count(*) FROM k")
+@query("U07_settled_contested", _SETTLED + ", a AS (SELECT 'settled' AS kind, id, row_number() OVER (ORDER BY n_sources DESC, w DESC, id) AS k FROM s WHERE n_sources > 1 AND id NOT IN (SELECT id FROM k)), b AS (SELECT 'contested' AS kind, id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM k)) SELECT kind, id, CAST(k AS BIGINT) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE k <= 15")
 def u07(t: Tables):
-    k = t.ge.where("type = 'contradicts'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return settled(t).agg(F.lit("settled").alias("kind"), F.count("*").alias("n")).unionByName(k.agg(F.lit("contested").alias("kind"), F.count("*").alias("n")))
+    """Up to fifteen settled claims, best attested first, and fifteen contested ones by id; no id is on both lists."""
+    from pyspark.sql import Window
+
+    k = t.ge.where("type = 'contradicts'").select(F.explode(F.array("src", "dst")).alias("id")).distinct().orderBy("id").limit(15)
+    s = settled(t).orderBy(F.desc("n_sources"), F.desc("w"), "id").limit(15)
+    place = lambda df, kind, *order: df.select(F.lit(kind).alias("kind"), "id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("k"))  # noqa: E731  at most 15 rows
+    return place(s, "settled", F.desc("n_sources"), F.desc("w"), "id").unionByName(place(k, "contested", "id"))
 
 
-@query("U08_corpus_union", "SELECT kind, count(*) AS n FROM (SELECT 'node' AS kind, content AS t FROM {nd} UNION ALL SELECT 'crux', crux FROM (SELECT DISTINCT crux FROM {cx}) UNION ALL SELECT 'theme', theme FROM (SELECT DISTINCT theme FROM {th})) WHERE coalesce(t, '') <> '' GROUP BY 1")
+@query("U08_corpus_union", "SELECT DISTINCT kind, id, t FROM (SELECT 'node' AS kind, id, content AS t FROM {nd} UNION ALL SELECT 'crux', substr(sha256(crux), 1, 8), crux FROM {cx} UNION ALL SELECT 'theme', theme, theme FROM {th} UNION ALL SELECT 'chain', chain, n.content FROM " + _CH + " c JOIN {nd} n ON n.id = c.chain) WHERE coalesce(t, '') <> ''")
 def u08(t: Tables):
-    parts = t.nd("content").select(F.lit("node").alias("kind"), F.col("content").alias("t")).unionByName(relations.crux_claims(t).select(F.lit("crux").alias("kind"), F.col("crux").alias("t")).distinct()).unionByName(relations.themes(t).select(F.lit("theme").alias("kind"), F.col("theme").alias("t")).distinct())
-    return parts.where("coalesce(t, '') <> ''").groupBy("kind").agg(F.count("*").alias("n"))
+    """The texts of nodes, cruxes, themes and chains with their ids."""
+    c = lambda x: F.col(x).alias("t")
+    chains = relations.chain_claims(t).select(F.col("chain").alias("id")).distinct().join(t.nd("content"), "id")
+    parts = t.nd("content").select(F.lit("node").alias("kind"), "id", c("content")).unionByName(relations.crux_claims(t).select(F.lit("crux").alias("kind"), F.substring(F.sha2("crux", 256), 1, 8).alias("id"), c("crux")))
+    parts = parts.unionByName(relations.themes(t).select(F.lit("theme").alias("kind"), F.col("theme").alias("id"), c("theme"))).unionByName(chains.select(F.lit("chain").alias("kind"), "id", c("content")))
+    return parts.where("coalesce(t, '') <> ''").distinct()
 
 
 @query("U09_upserted", "SELECT id, CASE WHEN status = 'draft' THEN 'active' ELSE status END AS status, coalesce(evidential_weight, 0.5) AS weight FROM {nd}")

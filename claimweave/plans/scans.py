@@ -154,8 +154,3 @@ def k06(t: Tables):
     n = t.nd("case_name", "type").groupBy("case_name", "type").agg(F.count("*").alias("n"))
     rows = n.select(F.col("case_name").alias("report_id"), F.row_number().over(Window.partitionBy("case_name").orderBy("type")).alias("no"), F.col("type").alias("title"), F.concat(F.lit("Nodes: "), F.col("n").cast("string")).alias("body"))
     return W.report(rows)
-
-
-@query("K08_memo_levels", "SELECT source AS level, count(*) AS n FROM relations GROUP BY 1")
-def k08(t: Tables):
-    return t.relations.groupBy(F.col("source").alias("level")).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,22 @@ def remember(memo: DataFrame, fresh: DataFrame) -> DataFrame:
     return new.unionByName(good(memo).join(new.select("level", "key"), ["level", "key"], "left_anti"))
 
 
+def invalidated(memo: DataFrame, level: str) -> DataFrame:
+    """A memo without the entries of one level."""
+    return memo.where(F.col("level") != level)
+
+
+def put_files(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
+    """Small text files under given names, such as a manifest or one artifact per source; for sets of fixed size only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    for name, text in files.items():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(root, name), True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+
+
 def report(sections: DataFrame) -> DataFrame:
     """(report_id, markdown) from (report_id, no, title, body): the sections of a report in order."""
     part = F.concat(F.lit("## "), F.col("no").cast("string"), F.lit(". "), "title", F.lit("\n\n"), "body")
