@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from claimweave.plans import aggregates, boundary, clusters, filters, joins, registry, scans, texts  # noqa: F401
 
+scans.register_sinks()
+
 
 def queries() -> dict:
     return dict(registry.QUERIES)

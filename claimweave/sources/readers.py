@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +25,68 @@ def source_id() -> Column:
     return F.coalesce(F.nullif("local_path", F.lit("")), F.nullif("url", F.lit("")), F.lit(""))
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, body): whole text files, cut to the body limit."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.substring("value", 1, C.DEFAULT.body_chars).alias("body"))
+def text_files(spark: SparkSession, path: str, toc_names: str | None = None) -> DataFrame:
+    """(name, body): whole text files under a folder, cut to the body limit; of files whose names match the pattern toc_names
+    (* for anything) the lines of a table of contents are then left out. A folder name=… names the files in it."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = F.coalesce(F.nullif(F.regexp_extract(F.input_file_name(), r"/name=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    cut = rows.select(name.alias("name"), F.substring("value", 1, C.DEFAULT.body_chars).alias("body"))
+    if toc_names is None:
+        return cut
+    return cut.withColumn("body", F.when(F.col("name").like(toc_names.replace("_", r"\_").replace("*", "%")), X.without_toc(F.col("body"))).otherwise(F.col("body")))
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """The text of each page of a PDF: with a reader where one is installed, else the strings shown by its content streams."""
+    try:
+        import io
+
+        from pypdf import PdfReader
+
+        return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
+    except ImportError:
+        return _shown_strings(data)
+
+
+def _shown_strings(data: bytes) -> list[str]:
+    """One text per content stream (plain or deflated) that shows any: literal strings of Tj, TJ, ' and ", a line for each move."""
+    pages = []
+    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        body = m[2]
+        if b"/FlateDecode" in m[1]:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        out: list[str] = []
+        for op in re.finditer(rb"\((?:\\.|[^\\()])*\)|(?<![A-Za-z])(?:T\*|Td|TD|'|\")(?![A-Za-z])", body, re.S):
+            if op[0][:1] == b"(":
+                text = re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(e[1], e[1]), op[0][1:-1], flags=re.S)
+                out.append(text.decode("latin-1"))
+            else:
+                out.append("\n")
+        if any(x != "\n" for x in out):
+            pages.append("".join(out).strip("\n"))
+    return pages
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, body): PDF files of a folder; pages are joined by blank lines, tables of contents left out, then cut to the limit."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
+
+    def read(frames):
+        for frame in frames:
+            yield frame.assign(body=["\n\n".join(pdf_pages(bytes(x))) for x in frame["content"]])[["path", "body"]]
+
+    rows = files.select("path", "content").mapInPandas(read, "path string, body string")
+    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.substring(X.without_toc(F.col("body")), 1, C.DEFAULT.body_chars).alias("body"))
+
+
+def transcripts(sources: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(source_id, text) of sources with a good body fetched before: header lines, a blank line and the transcript."""
+    title, url = F.coalesce(F.nullif("title", F.lit("")), F.lit("untitled")), F.coalesce("url", F.lit(""))
+    good = bodies.where("fetch_error IS NULL AND body IS NOT NULL")
+    return good.join(sources.select("source_id", title.alias("title"), url.alias("url")), "source_id").select("source_id", F.concat(F.lit("Title: "), "title", F.lit("\nURL: "), "url", F.lit("\n\n"), "body").alias("text"))
 
 
 def artifacts(spark: SparkSession, folder: str, schema: T.StructType, key: str | None = None) -> DataFrame:

@@ -52,8 +52,11 @@ def put_files(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
         out.close()
 
 
-def report(sections: DataFrame) -> DataFrame:
-    """(report_id, markdown) from (report_id, no, title, body): the sections of a report in order."""
+def report(sections: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """(report_id, markdown) from (report_id, no, title, body): the sections of a report in order, and under a rule its note."""
     part = F.concat(F.lit("## "), F.col("no").cast("string"), F.lit(". "), "title", F.lit("\n\n"), "body")
     rows = sections.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("no", part.alias("part")))).alias("parts"))  # a report has a fixed set of sections
-    return rows.select("report_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("markdown"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")
+    if notes is None:
+        return rows.select("report_id", text.alias("markdown"))
+    return rows.join(notes, "report_id", "left").select("report_id", F.concat(text, F.coalesce(F.concat(F.lit("\n\n---\n\n"), "note"), F.lit(""))).alias("markdown"))
