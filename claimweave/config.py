@@ -72,18 +72,39 @@ SECTION_HINTS = {
 }
 NO_HINT = "general — no specific epistemic weight"
 BLOCK_PHRASES = ("enable javascript", "javascript is required", "please enable js", "you need to enable javascript", "subscribe to read", "this content is for subscribers", "access this article", "sign in to read", "create a free account", "403 forbidden", "429 too many")
+# Words left out of token sets.
 STOP_WORDS = (
     "that this with from have been were their there which would could should about into than then when what whether because these those other after before such only also more most some them they"
 ).split()
+# Words left out of report paragraphs.
 REPORT_STOP_WORDS = (
     "a an the of and or but if then so as is are was were be been being have has had do does did to from in on at by for with without about into onto upon "
     "through during over under above below this that these those it its their there here when where which who whom whose what why how all any some no not "
     "only also more most less many few much such same other another both either neither each every can could may might must shall should will would"
 ).split()
+# Words left out of stance keywords.
 STANCE_STOP_WORDS = (
     "about after also among based been being between both could does each even from have here into likely more most much must only other over same some such "
     "than that their them then there these they this those through under very were what when where which while with would your"
 ).split()
+# Markers of a paper.
 PAPER_MARKERS = ("abstract", "materials and methods", "study question", "summary answer", "study design", "participants", "introduction", "supplementary", "main results")
 TOKEN_PRICES = {"fast": (0.25, 1.25), "smart": (3.0, 15.0)}
 SEVERITY_WEIGHT = {"FATAL": 3, "MAJOR": 2, "MINOR": 1}
+# Terms that tell the kind of an inquiry.
+PROBABILITY_TERMS = ("prior ", "posterior", "bayesian", "likelihood ratio", "odds ratio", "base rate", "conditional probability")
+# Terms that tell the kind of an inquiry.
+DEBATE_TERMS = (" versus ", " vs ", "more likely", "odds", "prior ", "posterior")
+# Terms that tell the kind of an inquiry.
+METHOD_TERMS = ("sample", "cohort", "method", "statistical", "experiment", "trial", "replication", "sequencing", "transcriptom")
+# Content types that are papers.
+PAPER_KINDS = ("paper", "preprint", "research", "journal", "dataset")
+# Tiers of the badges by what they show.
+BADGES = {
+    "epistemic": {"well_established": "ok", "supported": "ok", "contested": "warn", "single_source": "", None: "muted"},
+    "audit": {"declared": "ok", "not_declared": "warn", "red_flag": "danger", "not_applicable": "muted", None: "muted"},
+    "importance": {"latent_gem": "warn gem", "central": "ok", "contributory": "muted", "peripheral": "muted", None: ""},
+    "grounding": {"from_evidence": "ok", "grounded": "ok", "from evidence": "ok", None: "warn"},
+    "vulnerability": {"high": "danger", "medium": "warn", "low": "muted", None: "muted"},
+    "leverage": {"high": "ok", "medium": "warn", "low": "muted", None: "muted"},
+}
