@@ -187,3 +187,13 @@ def nearest(left: DataFrame, keys: list[str], right: DataFrame, floor: float) ->
     sims = met.select(*keys, "id", F.round(F.col("k") / (F.col("m") + F.col("n") - F.col("k")), 9).alias("sim")).where(F.col("sim") >= floor)
     best = sims.groupBy(*keys).agg(F.min(F.struct((-F.col("sim")).alias("s"), "id")).alias("x"))
     return best.select(*keys, "x.id", (-F.col("x.s")).alias("sim"))
+
+
+def merged_verdicts(parameters: DataFrame, key: list[str]) -> DataFrame:
+    """(key, from_grounding, to_grounding, override_by) of parameters (key, declared, grounding by rule, said by the judge or null)
+    whose grounding changes; repeated rows count once."""
+    v = parameters.groupBy(*key, "declared").agg(F.max("grounding").alias("det"), F.max("said").alias("said"))
+    hard = F.col("det") == "ungrounded"
+    final = F.when(hard, F.col("det")).otherwise(F.coalesce("said", "declared"))
+    by = F.when(hard & (F.col("declared") != "ungrounded"), "rule").otherwise("judge")
+    return v.where(F.col("declared") != final).select(*key, F.col("declared").alias("from_grounding"), final.alias("to_grounding"), by.alias("override_by")).distinct()

@@ -15,22 +15,6 @@ from claimweave.plans import filters, relations
 from claimweave.plans.registry import Tables, query
 from claimweave.runtime import bounded, stash
 
-#: Bands for the vectors of the test tables, whose similarities are low.
-MERGE, CONTRA = (0.40, 0.84), (0.30, 0.84)
-_DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-
-
-@query("J01_merge_band", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT} BETWEEN {MERGE[0]} AND {MERGE[1]}")
-def j01(t: Tables):
-    return M.vector_pairs(t.embeddings, "vec_id", "embedding", *MERGE).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("J02_contradiction_band", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label <> 0 AND b.label <> 0 AND {_DOT} BETWEEN {CONTRA[0]} AND {CONTRA[1]}")
-def j02(t: Tables):
-    """Side filters (here: a label left out) come before the pairs."""
-    return M.vector_pairs(t.embeddings.where("label <> 0"), "vec_id", "embedding", *CONTRA).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
 _SAME = "(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {rl} WHERE type = 'same_as' AND src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
 
 
@@ -44,6 +28,50 @@ def _sets(pairs: str) -> str:
     )
 
 
+def _w4(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}'))"
+
+
+_SIDE = "attributed_to_ok AND NOT rhet"
+_VEC = (
+    f"tv AS (SELECT id, type, unnest({_w4('content')}) AS w, len({_w4('content')}) AS n, coalesce(nullif(attributed_to, ''), 'source_author') = 'source_author' AS attributed_to_ok, lower(trim(coalesce(claim_type, ''))) IN ('dismissal', 'rhetorical', 'ad_hominem', 'credibility_attack', 'straw_man') OR (lower(trim(type)) = 'rebuttal' AND lower(trim(coalesce(claim_type, ''))) IN ('', 'unknown', 'interpretive')) AS rhet FROM {{nd}} WHERE content IS NOT NULL), "
+)
+
+
+def _band(low: float, high: float, side: str) -> str:
+    pairs = f"pv AS (SELECT x.id AS a, y.id AS b, round(count(*)::DOUBLE / sqrt(any_value(x.n) * any_value(y.n)), 9) AS sim FROM (SELECT * FROM tv WHERE {side}) x JOIN (SELECT * FROM tv WHERE {side}) y ON y.w = x.w AND y.type = x.type AND x.id < y.id GROUP BY 1, 2 HAVING count(*)::DOUBLE / sqrt(any_value(x.n) * any_value(y.n)) >= {low} - 1e-9) "
+    flags = _sets("pv")[5:]
+    return f"WITH {_VEC}{pairs}, {flags} SELECT pv.a, pv.b, round(pv.sim, 6) AS sim FROM pv JOIN f ON f.a = pv.a AND f.b = pv.b WHERE f.cross_paper AND pv.sim BETWEEN {low} AND {high}"
+
+
+def cross_paper_band(t: Tables, nodes, low: float, high: float, label: str):
+    """(a, b, sim), a < b: records of one type and of different sources whose word sets have a cosine within the band.
+
+    Words carry the type of their record, so that only records of one type meet. The source flags are looked up for what is
+    within the band.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{4,})"), 1))
+    rows = M.token_rows(nodes.where("content IS NOT NULL"), "id", F.transform(words, lambda w: F.concat("type", F.lit(":"), w)))
+    rows = stash(rows.distinct(), label + "-t")
+    near = stash(M.set_pairs(rows, rows, low, cosine=True, same=True).select("a", "b", F.round("likeness", 9).alias("sim")).where(F.col("sim").between(low, high)), label + "-p")
+    return Q.cross_source_pairs(near, t.attestations, t.nd("source_author")).where("cross_paper").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("J01_merge_band", _band(C.DEFAULT.merge_low, C.DEFAULT.merge_high, "true"))
+def j01(t: Tables):
+    return cross_paper_band(t, t.nd("type", "content"), C.DEFAULT.merge_low, C.DEFAULT.merge_high, "j01")
+
+
+@query("J02_contradiction_band", _band(C.DEFAULT.contradiction_low, C.DEFAULT.merge_high, _SIDE))
+def j02(t: Tables):
+    """Rhetorical moves and what is not the author's own are left out before the pairs are made."""
+    n = t.nd("type", "content", "claim_type", "attributed_to").where(~filters.rhetorical() & (F.coalesce(F.nullif("attributed_to", F.lit("")), F.lit("source_author")) == "source_author"))
+    return cross_paper_band(t, n, C.DEFAULT.contradiction_low, C.DEFAULT.merge_high, "j02")
+
+
+_DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
 _SETS = _sets(_SAME)
 
 
@@ -272,15 +300,18 @@ def j20(t: Tables):
     return im.join(quote_scores(t), "source_id", "left").join(roles, "source_id", "left").select("source_id", "epistemic_risk", "score", F.coalesce("role", F.lit("unknown")).alias("role"))
 
 
+_JUDGE = "CASE WHEN quote IS NULL THEN NULL WHEN trim(quote) = '' THEN 'ungrounded' ELSE g END"
+
+
 @query(
     "J21_merged_verdicts",
-    filters._PARAM + ", v AS (SELECT node_id, att_ord, min(new) AS det, min(CASE WHEN length(coalesce(quote, '')) % 7 = 0 THEN 'ungrounded' ELSE g END) AS judged FROM r GROUP BY 1, 2) SELECT node_id, att_ord, CASE WHEN det = 'ungrounded' THEN det ELSE judged END AS grounding, CASE WHEN det = 'ungrounded' THEN 'rule' WHEN judged <> det THEN 'judge' ELSE 'none' END AS override_by FROM v",
+    filters._PARAM + f", v AS (SELECT node_id, att_ord, g AS declared, max(new) AS det, max({_JUDGE}) AS said FROM r GROUP BY 1, 2, 3), m AS (SELECT *, CASE WHEN det = 'ungrounded' THEN det ELSE coalesce(said, declared) END AS final FROM v) SELECT DISTINCT node_id, att_ord, declared AS from_grounding, final AS to_grounding, CASE WHEN det = 'ungrounded' AND declared <> 'ungrounded' THEN 'rule' ELSE 'judge' END AS override_by FROM m WHERE declared <> final",
 )
 def j21(t: Tables):
-    """Judge rows (a stated stand-in by quote length) are preferred, and the literal rule applies over them."""
-    p = filters.parameters(t).groupBy("node_id", "att_ord").agg(F.min("grounding").alias("det"), F.min(F.when(F.length(F.coalesce("quote", F.lit(""))) % 7 == 0, "ungrounded").otherwise(F.col("declared"))).alias("judged"))
-    hard = F.col("det") == "ungrounded"
-    return p.select("node_id", "att_ord", F.when(hard, F.col("det")).otherwise(F.col("judged")).alias("grounding"), F.when(hard, "rule").when(F.col("judged") != F.col("det"), "judge").otherwise("none").alias("override_by"))
+    """Overrides of declared groundings, one per parameter, from and to: the judge's row is preferred where there is one (here it
+    is read off the quote: none without one, ungrounded for a blank one), and the literal rule applies over it."""
+    said = F.when(F.col("quote").isNull(), None).when(F.trim("quote") == "", "ungrounded").otherwise(F.col("declared"))
+    return K.merged_verdicts(filters.parameters(t).withColumn("said", said), ["node_id", "att_ord"])
 
 
 _GROUND = (
@@ -337,9 +368,13 @@ _VERD = "CASE WHEN type = 'same_as' THEN 'same' WHEN type IN ('distinct', 'not_s
 
 @query("J25_judged_pairs", f"WITH v AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min({_VERD}) AS verdict FROM {{rl}} WHERE src <> dst AND type IN ('same_as', 'distinct', 'not_same', 'quantitative_divergence') GROUP BY 1, 2), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {{rl}} WHERE src <> dst) SELECT p.a, p.b, coalesce(v.verdict, 'distinct') AS verdict FROM p LEFT JOIN v ON v.a = p.a AND v.b = p.b")
 def j25(t: Tables):
+    return Q.judged(G.undirected(t.rl), recorded_verdicts(t))
+
+
+def recorded_verdicts(t: Tables):
+    """(x, y, verdict) of the reconcile step as recorded in relations."""
     kind = F.when(F.col("type") == "same_as", "same").when(F.col("type").isin("distinct", "not_same"), "distinct").when(F.col("type") == "quantitative_divergence", F.col("type"))
-    v = t.rl.where("src <> dst AND type IN ('same_as', 'distinct', 'not_same', 'quantitative_divergence')").select(F.col("src").alias("x"), F.col("dst").alias("y"), kind.alias("verdict"))
-    return Q.judged(G.undirected(t.rl), v)
+    return t.rl.where("src <> dst AND type IN ('same_as', 'distinct', 'not_same', 'quantitative_divergence')").select(F.col("src").alias("x"), F.col("dst").alias("y"), kind.alias("verdict"))
 
 
 @query("U01_jaccard", f"WITH t AS (SELECT id, {_tok('content')} AS a, {_tok('textual_evidence')} AS b FROM {{nd}} WHERE content IS NOT NULL AND textual_evidence IS NOT NULL) SELECT id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 6) END AS jaccard FROM t")
