@@ -15,6 +15,7 @@ JUNK_ANYWHERE = (
     r"(?im)\A\s*(?:\d+(?:\.\d+)+\s+)?(?:Covid testing of|Locating sars-cov-2|Correlations between)[^.!?]{4,90}\s*$",
     r"(?i)\A(?:ated|nal|ing|tion|ions|ment|ally)\s",
 )
+# A row of dots; the id in the address of a video.
 ELLIPSIS = r"(?:\.\s*){3}"
 # A paragraph that is a section header.
 SECTION = (

@@ -116,6 +116,50 @@ def escaped(c: Column) -> Column:
     return c
 
 
+def badge_html(label: Column, tier: Column) -> Column:
+    return F.concat(F.lit('<span class="badge '), escaped(tier), F.lit('">'), escaped(label), F.lit("</span>"))
+
+
+def briefing_html(c: Column) -> Column:
+    """Headings and paragraphs of a briefing as a page; a text without any is one paragraph."""
+    white = F.lit(" \t\n\r\f")
+    paras = F.filter(F.transform(F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n\n"), lambda p: F.btrim(p, white)), lambda p: p != "")
+
+    def block(p: Column) -> Column:
+        lines = F.filter(F.transform(F.split(p, "\n"), lambda x: F.btrim(x, white)), lambda x: x != "")
+        title = lambda n, tag: F.concat(F.lit(f'<{tag} class="briefing-{tag}">'), escaped(F.btrim(F.substr(p, F.lit(n)), white)), F.lit(f"</{tag}>"))
+        body = F.concat(F.lit('<p class="briefing-p">'), F.array_join(F.transform(lines, escaped), " "), F.lit("</p>"))
+        return F.when(F.startswith(p, F.lit("## ")), title(4, "h3")).when(F.startswith(p, F.lit("# ")), title(3, "h2")).otherwise(body)
+
+    html = F.array_join(F.transform(paras, block), "")
+    return F.when(html == "", F.concat(F.lit('<p class="briefing-p">'), escaped(c), F.lit("</p>"))).otherwise(html)
+
+
+def anchor_slug(c: Column) -> Column:
+    """The anchor of a group by subfield."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("uncategorized"))), r"[^\p{L}\p{N}_]+", "-"), "^-+|-+$", "")
+    return F.concat(F.lit("cross-"), F.coalesce(F.nullif(F.substring(slug, 1, 56), F.lit("")), F.lit("other")))
+
+
+def file_safe(c: Column, size: int = 80) -> Column:
+    """An id as a file name."""
+    return F.substring(F.translate(c, "/\\:", "___"), 1, size)
+
+
+def parsed_json(c: Column) -> tuple[Column, Column]:
+    """(kind, text) of a model's answer without its fence: object, list, value, or parse_error where it is no JSON."""
+    bare = F.trim(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", ""))
+    fine = F.try_parse_json(bare).isNotNull()
+    kind = F.when(~fine, "parse_error").when(bare.startswith("{"), "object").when(bare.startswith("["), "list").otherwise("value")
+    return kind, bare
+
+
+def n_needed(study: Column) -> Column:
+    """The sample size of a study as text: its value where it is an object (TBD without one), else what stands there."""
+    n = F.get_json_object(study, "$.n_needed")
+    return F.when(F.coalesce(n, F.lit("")).startswith("{"), F.coalesce(F.nullif(F.get_json_object(study, "$.n_needed.value"), F.lit("")), F.lit("TBD"))).otherwise(F.coalesce(n, F.lit("")))
+
+
 def blocked_page(text: Column) -> Column:
     low = F.lower(F.substring(text, 1, 2000))
     out = F.length(text) < 800
@@ -201,41 +245,78 @@ def fuzzy_grounding(ratio: float):
     return check
 
 
-_BOUND = re.compile(r"[.!?][\"'”’)]*$")
-
-
-def repair_quote(quote: str | None, body: str | None, cap: int = 4000) -> str | None:
-    """A quote widened to whole sentences of the text it comes from; unchanged where it is not found or already whole."""
-    if not quote or not body:
-        return quote
-    q = quote.strip()
-    at, size = body.lower().find(q.lower()), len(q)
-    if at < 0 and len(q) >= 8:
-        at = body.lower().find(q[:40].lower())
-        size = min(len(q), len(body) - at) if at >= 0 else 0
-    if at < 0:
-        return quote
-    start, end = at, at + size
-    para_start = body.rfind("\n\n", 0, start) + 2 if body.rfind("\n\n", 0, start) >= 0 else 0
-    para_end = body.find("\n\n", end) if body.find("\n\n", end) >= 0 else len(body)
-    whole_start = start == para_start or bool(re.search(r"[.!?][\"'”’)]*\s+$", body[max(0, start - 8) : start]))
-    if whole_start and _BOUND.search(body[start:end].rstrip()):
+# How a quote is widened: the head it is searched by where it is not found whole, how far back and forward it may
+# grow, the longest header line, and the end of a sentence in running text.
+HEAD_CHARS, HEAD_LEAST, HEAD_SPARE = 40, 8, 20
+BACK, COLON, PARAGRAPH, SPARE, HEADER, QUOTE_CAP = 200, 160, 200, 80, 90, 4000
+SENTENCE_END = re.compile(r"[.!?][\"')\]]*(?:\s+|$)")
+CLOSERS = "\"')]}"
+
+
+def _located(quote: str, body: str) -> tuple[int, int] | None:
+    """Where a quote stands in a body, by all of it or by its head, whatever the case."""
+    low, wanted = body.lower(), quote.lower()
+    if (at := low.find(wanted)) >= 0:
+        return at, at + len(quote)
+    head = wanted[:HEAD_CHARS].strip()
+    if len(head) < HEAD_LEAST or (at := low.find(head)) < 0:
+        return None
+    return at, min(len(body), at + max(len(quote), len(head) + HEAD_SPARE))
+
+
+def _whole(body: str, start: int, end: int) -> bool:
+    """Whether a span begins after the end of a sentence and ends with one, closing marks aside."""
+    before, inside = body[:start].rstrip(), body[:end].rstrip(CLOSERS)
+    begins = not before or before[-1] in ".!?" or (len(before) > 1 and before[-1] in CLOSERS)
+    return begins and (end >= len(body) or not inside or inside[-1] in ".!?")
+
+
+def _back(body: str, start: int, end: int) -> int:
+    """The start of the sentence a span lies in, within its paragraph and not far back; after a header line where one leads it."""
+    paragraph = body.rfind("\n\n", 0, start) + 2 if "\n\n" in body[:start] else 0
+    last = max((m.end() for m in SENTENCE_END.finditer(body[paragraph:start])), default=0) + paragraph
+    begin = last if start - last < BACK else start
+    line, newline, rest = body[begin:end].partition("\n")
+    line, rest = line.strip(), rest.lstrip()
+    header = newline and line and len(line) < HEADER and line[-1] not in ".!?" and rest[:1].isupper()
+    return body.index("\n", begin) + 1 if header else begin
+
+
+def _forward(body: str, begin: int, end: int, cap: int) -> int:
+    """The end of the sentence a span ends in: of a line's colon, of the paragraph or at the cap where none comes."""
+    ahead = body[end : begin + cap]
+    if m := SENTENCE_END.search(ahead):
+        return end + m.end()
+    if m := re.search(r":\s*(?:\n|$)", ahead[:COLON]):
+        return end + m.end()
+    gap = body.find("\n\n", end)
+    out = gap if end < gap < end + PARAGRAPH else min(len(body), begin + cap)
+    return out if out > end else min(len(body), end + SPARE)
+
+
+def repair_quote(quote: str | None, body: str | None, cap: int = QUOTE_CAP) -> str | None:
+    """A quote widened to whole sentences of the text it comes from, without a header line above it; as it was (trimmed) where it
+    is not found, is whole already, or what came out does not cover it."""
+    plain = (quote or "").strip()
+    if not plain or not body:
         return quote
-    if not whole_start:
-        stops = [m.end() for m in re.finditer(r"[.!?][\"'”’)]*\s+", body[para_start:start])]
-        back = para_start + stops[-1] if stops else para_start
-        if start - back < 200:
-            start = back
-    line, sep, rest = body[start:end].partition("\n")
-    if sep and len(line) < 60 and not re.search(r"[.!?:]$", line.strip()) and len(rest.strip()) >= 20:
-        start += len(line) + 1
-    if not _BOUND.search(body[start:end].rstrip()):
-        m = re.search(r"[.!?][\"'”’)]*(?=\s|$)", body[end:para_end]) or re.search(r":(?=\s|$)", body[end:para_end])
-        end = end + m.end() if m else para_end
-    out = body[start:end].strip()
+    span = _located(plain, body)
+    if span is None or _whole(body, *span):
+        return plain
+    begin = _back(body, *span)
+    out = body[begin : _forward(body, begin, span[1], cap)].strip()
     if len(out) > cap:
-        out = out[: cap - 1].rsplit(" ", 1)[0] + "…"
-    return out if len(out) >= len(q) and _norm(q)[:40] in _norm(out) else quote
+        cut = out[:cap]
+        out = (cut.rsplit(" ", 1)[0] if " " in cut else cut).rstrip(".,;:") + "…"
+    at = body.lower().find(out.lower()) if out else -1
+    covers = 0 <= at <= span[0] and at + len(out) >= span[1] - 2
+    return out if covers and len(out) >= len(plain) else plain
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Vectorised Python: the Ratcliff-Obershelp ratio of two texts; null where one is."""
+    return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio(), 6) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -10,6 +10,7 @@ from claimweave.operators import graph as G
 from claimweave.operators import stance as S
 from claimweave.operators.reconcile import epistemic_fields
 from claimweave.plans.registry import Tables, query
+from claimweave.runtime import bounded
 from claimweave.sources import readers as R
 
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -123,7 +124,7 @@ _HIT = "CASE WHEN len(list_filter(regexp_split_to_array(lower(e), '\\s+'), lambd
 
 
 def _with_entities(t: Tables, *columns: str):
-    return t.nd("content", "case_name", *columns).join(F.broadcast(t.case_profiles.select("case_name", "key_entities")), "case_name")
+    return t.nd("content", "case_name", *columns).join(bounded(t.case_profiles.select("case_name", "key_entities")), "case_name")
 
 
 @query("F09_entity_overlap", f"SELECT id, round(avg(CASE WHEN {_HIT} THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM {_ENT} WHERE content IS NOT NULL GROUP BY id")
@@ -302,7 +303,7 @@ _sum = lambda xs, c: " + ".join(f"contains({c}, '{x}')::INT" for x in xs)  # noq
 )
 def f21(t: Tables):
     hits = lambda c, xs: sum((F.contains(c, F.lit(x)).cast("int") for x in xs), F.lit(0))
-    used = t.nodes.select("case_name", "source_id").distinct().join(F.broadcast(t.so.select("source_id", "publication_status", "content_type")), "source_id")
+    used = t.nodes.select("case_name", "source_id").distinct().join(bounded(t.so.select("source_id", "publication_status", "content_type")), "source_id")
     cs = used.groupBy("case_name").agg(F.count("*").alias("n"), F.count_if(F.lower(F.coalesce("publication_status", F.lit(""))).isin("peer_reviewed", "published") | F.lower(F.coalesce("content_type", F.lit(""))).rlike("|".join(C.PAPER_KINDS))).alias("pub"), F.coalesce(F.bool_or(F.contains(F.lower("content_type"), F.lit("debate"))), F.lit(False)).alias("deb"))
     q = t.case_profiles.select("case_name", F.size("debate_positions").alias("np"), F.lower(F.array_join("central_questions", " ")).alias("qs"), F.lower(F.array_join("subfields", " ")).alias("sf")).join(cs, "case_name", "left")
     d = F.when(F.col("deb"), 3).otherwise(0) + F.when(hits(F.col("qs"), _PROB) > 0, 3).otherwise(0) + F.when((F.col("np") >= 2) & (hits(F.col("qs"), _MARK) > 0), 1).otherwise(0)

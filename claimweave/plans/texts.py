@@ -9,6 +9,7 @@ from claimweave.functions import text as X
 from claimweave.operators import chunks as H
 from claimweave.plans import filters, joins
 from claimweave.plans.registry import Tables, query
+from claimweave.runtime import bounded
 from claimweave.sources import readers as R
 
 
@@ -32,9 +33,9 @@ def x04(t: Tables):
     return t.nd("content").where("content IS NOT NULL").select("id", F.array_join(F.array_sort(X.stance_tokens(F.col("content"))), " ").alias("tokens"))
 
 
-@query("X05_slugs", "SELECT source_id, left(regexp_replace(regexp_replace(lower(source_id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS slug FROM {so}")
+@query("X05_slugs", r"SELECT source_id, left(regexp_replace(regexp_replace(lower(source_id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS slug, 'cross-' || coalesce(nullif(left(regexp_replace(regexp_replace(lower(coalesce(nullif(title, ''), 'uncategorized')), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 56), ''), 'other') AS anchor, left(translate(source_id, '/\:', '___'), 80) AS file FROM {so}")
 def x05(t: Tables):
-    return t.so.select("source_id", X.slug(F.col("source_id")).alias("slug"))
+    return t.so.select("source_id", X.slug(F.col("source_id")).alias("slug"), X.anchor_slug(F.col("title")).alias("anchor"), X.file_safe(F.col("source_id")).alias("file"))
 
 
 @query("X06_shared_questions", r"SELECT src, dst, type, coalesce(nullif(trim(shared_question), ''), trim(regexp_extract(rationale, '\(shared question:\s*(.*)\)\s*$', 1)), '') AS q FROM {rl}")
@@ -67,6 +68,25 @@ def x10(t: Tables):
     return t.nd("content").where("content IS NOT NULL").select("id", X.escaped(F.col("content")).alias("html"))
 
 
+_ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+_WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
+_BLOCK = (
+    f"CASE WHEN starts_with(p, '## ') THEN '<h3 class=\"briefing-h3\">' || {_ESC(f'trim(substr(p, 4), {_WHITE})')} || '</h3>' WHEN starts_with(p, '# ') THEN '<h2 class=\"briefing-h2\">' || {_ESC(f'trim(substr(p, 3), {_WHITE})')} || '</h2>' "
+    f"ELSE '<p class=\"briefing-p\">' || array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: {_ESC(f'trim(x, {_WHITE})')}), lambda x: x <> ''), ' ') || '</p>' END"
+)
+
+
+@query("X10_briefing_html", f"SELECT doc_id, CASE WHEN h = '' THEN '<p class=\"briefing-p\">' || {_ESC('t')} || '</p>' ELSE h END AS html FROM (SELECT doc_id, t, array_to_string(list_transform(list_filter(list_transform(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda p: trim(p, {_WHITE})), lambda p: p <> ''), lambda p: {_BLOCK}), '') AS h FROM (SELECT doc_id, '# ' || coalesce(title, '') || chr(10) || chr(10) || text AS t FROM documents))")
+def x10_briefing(t: Tables):
+    """Documents under their titles as briefing pages."""
+    return t.documents.select("doc_id", X.briefing_html(F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), "text")).alias("html"))
+
+
+@query("X10_badges", f"SELECT id, '<span class=\"badge b-ok\">' || {_ESC('status')} || '</span>' AS html FROM {{nd}} WHERE status IS NOT NULL")
+def x10_badges(t: Tables):
+    return t.nd("status").where("status IS NOT NULL").select("id", X.badge_html(F.col("status"), F.lit("b-ok")).alias("html"))
+
+
 @query("X11_short_names", "SELECT source_id, list_last(string_split(source_id, '/')) AS name FROM {so}")
 def x11(t: Tables):
     return t.so.select("source_id", F.substring_index("source_id", "/", -1).alias("name"))
@@ -80,7 +100,7 @@ def x12(t: Tables):
 
 @query("X13_audit_texts")
 def x13(t: Tables):
-    s = F.broadcast(t.so.select("source_id", "publication_status"))
+    s = bounded(t.so.select("source_id", "publication_status"))
     text = X.audit_text(F.col("body"), F.coalesce("publication_status", F.lit("")))
     return t.bd.join(s, "source_id", "left").select("capture_id", text.alias("x")).select("capture_id", F.length("x").alias("n_chars"), F.sha2("x", 256).alias("digest"))
 
@@ -132,7 +152,7 @@ def x21(t: Tables):
 @query("X22_sequence_ratio")
 def x22(t: Tables):
     n = t.nd("textual_evidence", "quote_exact").where("textual_evidence <> quote_exact")
-    return n.select("id", X.fuzzy_grounding(0.9)(F.col("quote_exact"), F.col("textual_evidence")).alias("close"))
+    return n.select("id", X.sequence_ratio(F.col("quote_exact"), F.col("textual_evidence")).alias("ratio"))
 
 
 @query("X23_rounding", "SELECT id, CASE WHEN evidential_weight IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, evidential_weight)) END AS clamped, floor((round(specificity_score * 1000) + 5) / 10) / 100 AS two FROM {nd}")
@@ -154,11 +174,13 @@ def x25(t: Tables):
     return m.select("src", F.array_join(part, ",").alias("kinds"))
 
 
-@query("X26_json_responses", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("X26_json_responses", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'list' ELSE 'parse_error' END AS kind, CASE WHEN event_id % 4 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def x26(t: Tables):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    bare = F.regexp_replace(F.trim(fenced), r"^```(?:json)?\s*|\s*```$", "")
-    return t.events.select("event_id", F.from_json(bare, "k bigint")["k"].alias("k"))
+    """Answers fenced, bare, as a list and cut off, read alike."""
+    e = F.col("event_id") % 4
+    said = F.when(e == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(e == 1, F.col("props")).when(e == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit("```\n"), F.substring("props", 1, 4)))
+    kind, bare = X.parsed_json(said)
+    return t.events.select("event_id", kind.alias("kind"), F.when(kind == "object", F.from_json(bare, "k bigint")["k"]).alias("k"))
 
 
 _OFF = "CASE att_ord % 3 WHEN 0 THEN '[5, 40.0, 12]' WHEN 1 THEN '[5.5]' ELSE '[true]' END"
@@ -190,9 +212,19 @@ def x30(t: Tables):
     return t.bd.select("capture_id", F.length(H.halves(F.col("body"))[0]).cast("bigint").alias("n_left"))
 
 
-@query("X32_question_projection", "SELECT event_type, count(*) AS n, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY 1")
+@query("X32_n_needed", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN 'TBD' WHEN 2 THEN json_extract_string(props, '$.k') ELSE '' END AS n FROM events")
 def x32(t: Tables):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.max(F.get_json_object("props", "$.k").cast("bigint")).alias("most"))
+    """The sample size a study asks for, given as an object with or without a value, as a number, or not at all."""
+    e, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    study = F.when(e == 0, F.concat(F.lit('{"n_needed": {"value": '), k, F.lit("}}"))).when(e == 1, F.lit('{"n_needed": {"why": "open"}}')).when(e == 2, F.concat(F.lit('{"n_needed": '), k, F.lit("}"))).otherwise(F.lit("{}"))
+    return t.events.select("event_id", X.n_needed(study).alias("n"))
+
+
+@query("X32_grounding_list", filters._PARAM + "SELECT node_id, string_agg(DISTINCT att_ord || ': ' || new, '; ' ORDER BY att_ord || ': ' || new) AS needs FROM r WHERE new = 'ungrounded' GROUP BY 1")
+def x32_list(t: Tables):
+    """Per node the parameters that need justification."""
+    p = filters.parameters(t).where("grounding = 'ungrounded'").select("node_id", F.concat(F.col("att_ord").cast("string"), F.lit(": "), "grounding").alias("x"))
+    return p.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set("x")), "; ").alias("needs"))
 
 
 @query("X33_first_quotes", "WITH a AS (SELECT node_id, quote FROM (SELECT node_id, quote, row_number() OVER (PARTITION BY node_id ORDER BY att_ord, quote) AS k FROM attestations WHERE coalesce(trim(quote), '') <> '') WHERE k = 1) SELECT n.id, coalesce(nullif(textual_evidence, ''), nullif(quote_exact, ''), a.quote) AS quote FROM {nd} n LEFT JOIN a ON a.node_id = n.id")

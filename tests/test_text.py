@@ -158,3 +158,26 @@ def test_hashed_vectors_are_unit(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma alpha"), (2, "delta words here beta")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = QUERIES["X21_hashed_vectors"](spark, str(tmp_path)).collect()
     assert [r["norm"] for r in out] == [1.0, 1.0]
+
+
+def test_repair_stops_at_header_and_paragraph():
+    body = "Intro line ends here.\n\nMethods of the panel\nThe panel met on a day and saw it all. It left.\n\nNext: the harbour"
+    assert X.repair_quote("met on a day", body) == "The panel met on a day and saw it all."
+    assert X.repair_quote("Next: the", body) == "Next: the harbour"
+    assert X.repair_quote("It left.", body) == "It left."
+    long = "word " * 2000
+    assert len(X.repair_quote("word word word", "x. " + long)) <= 4000
+
+
+def test_parsed_json_and_sample_sizes(spark):
+    def kind(text):
+        df = spark.createDataFrame([(text,)], "c string")
+        return df.select(X.parsed_json(F.col("c"))[0]).first()[0]
+
+    assert [kind(x) for x in ('```json\n{"a": 1}\n```', "[1, 2]", '```\n{"a"', "")] == ["object", "list", "parse_error", "parse_error"]
+    assert [one(spark, X.n_needed, x) for x in ('{"n_needed": {"value": 4}}', '{"n_needed": {}}', '{"n_needed": 7}', "{}", None)] == ["4", "TBD", "7", "", ""]
+
+
+def test_briefing_html(spark):
+    assert one(spark, X.briefing_html, "# A & b\r\n\r\n one \n two\n\n## C") == '<h2 class="briefing-h2">A &amp; b</h2><p class="briefing-p">one two</p><h3 class="briefing-h3">C</h3>'
+    assert one(spark, X.briefing_html, "  ") == '<p class="briefing-p">  </p>'
