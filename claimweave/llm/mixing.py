@@ -23,6 +23,7 @@ MAX_SOURCES = 100_000
 GROUP, FAN_IN = 2048, 64
 #: A document of more than this part of what its source should give is settled in a first round, so that the others make up.
 LARGE = 0.005
+MOST_TASKS = 4096
 
 
 def source_plan(counted: DataFrame, targets: DataFrame) -> pd.DataFrame:
@@ -127,7 +128,10 @@ def mixed(counted: DataFrame, plan: pd.DataFrame, seed: int = 7, label: str = "m
     most = max((max(1, -(-int(n) // GROUP)) for n in plan["n_docs"]), default=1)
     k = 0
     while True:
-        done = stash(level.groupBy("source", "g").applyInPandas(settler(most == 1), schema), f"{label}-{k}")
+        # a number of partitions is given, since groups are small in bytes but not in work
+        groups = sum(-(-max(1, -(-int(n) // GROUP)) // FAN_IN**k) for n in plan["n_docs"])
+        spread = level.repartition(max(1, min(groups, MOST_TASKS)), "source", "g")
+        done = stash(spread.groupBy("source", "g").applyInPandas(settler(most == 1), schema), f"{label}-{k}")
         settled = settled.unionByName(done.where("part IS NULL").select("doc_id", "source", "n_tokens", "uses"))
         if most == 1:
             return settled
