@@ -31,6 +31,8 @@ OPEN_SUPPORT, OPEN_SHARE = 3, 0.05
 PLAIN_SUPPORT, PLAIN_SHARE = 3, 0.5
 #: What stands in brackets at the end of so many texts, this share of which break off before it, marks a cut.
 MARKER_SUPPORT, MARKER_SHARE = 3, 0.5
+#: Words of at most so many letters are known by the source's own texts: some language has nearly each of them.
+SHORT = 3
 _FLUSH = 200_000
 
 _STOP = re.compile(r"[.?!…]")
@@ -153,7 +155,8 @@ def endings(docs: DataFrame) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(what, key, n): how many texts hold a sentence opener ('o') or a word not at the very end ('w'), over all rows.
+    """(what, key, n): how many texts hold a sentence opener ('o') or a word not at the very end ('w'; 's' for short words, with
+    the source before the word), over all rows.
 
     Counts are added up within a partition before the shuffle; the table held there is bounded.
     """
@@ -162,14 +165,16 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         counts: dict[tuple[str, str], int] = {}
         for batch in batches:
-            for text in batch.column(0):
+            for text, source in zip(batch.column(0), batch.column(1).to_pylist()):
                 text = (text.as_py() or "").rstrip()
                 if not text:
                     continue
                 seen = {("o", _key(a, b)) for a, b in _OPENER.findall(text)}
                 low = text.lower()
                 cut = max(low.rfind(" "), low.rfind("\n"), 0) if text[-1].isalpha() else len(low)
-                seen |= {("w", w) for w in _TOKEN.findall(low[:cut])}
+                words = set(_TOKEN.findall(low[:cut]))
+                seen |= {("w", w) for w in words}
+                seen |= {("s", f"{source or ''}\0{w}") for w in words if len(w) <= SHORT}
                 for k in seen:
                     counts[k] = counts.get(k, 0) + 1
             if len(counts) > _FLUSH:
@@ -180,7 +185,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     def made(counts):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["what", "key", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
 
 
 def source_baselines(ends: DataFrame, label: str = "cut") -> DataFrame:
@@ -217,22 +222,25 @@ def judged(docs: DataFrame, label: str = "cut") -> DataFrame:
     full = no(F.col("n_chars") == F.col("max_chars")) | no(F.col("n_bytes") > F.col("max_bytes") - BYTE_SLACK)
     # in a source without terminators a text is judged like a transcript, by its last word
     kind = F.when(no(F.col("plain")) & F.col("kind").isin("open", "line") & F.col("word").isNotNull(), "transcript").otherwise(F.col("kind"))
-    based = known.select("doc_id", "source", "digest", kind.alias("kind"), "key", "word", "ended", full.alias("full"), (F.col("holds") & ~no(F.col("habit"))).alias("held"))
+    placed_word = F.when(F.length("word") <= SHORT, F.concat(F.coalesce("source", F.lit("")), F.lit("\0"), "word")).otherwise(F.col("word"))
+    based = known.select("doc_id", "source", "digest", kind.alias("kind"), "key", "word", "ended", full.alias("full"), (F.col("holds") & ~no(F.col("habit"))).alias("held"), placed_word.alias("at"))
     # closing lines and remarks: openers that stand at the end of texts nearly always; markers: bracketed ends after a break
     last = ends.where("kind IN ('remark', 'line') AND key IS NOT NULL").groupBy("kind", "key").agg(F.count("*").alias("at_end"))
     closers = last.join(counts.where("what = 'o'").select("key", "n"), "key").where((F.col("at_end") >= CLOSER_SUPPORT) & (F.col("at_end") >= CLOSER_SHARE * F.col("n"))).select("kind", "key")
     markers = ends.where("kind = 'marked'").groupBy("kind", "key").agg(F.count("*").alias("at_end"), F.count_if(~F.col("ended")).alias("broken")).where((F.col("at_end") >= MARKER_SUPPORT) & (F.col("broken") >= MARKER_SHARE * F.col("at_end"))).select("kind", "key")
     told = stash(closers.unionByName(markers).withColumn("told", F.lit(True)), label + "-c")
     # broken-off words: nowhere else a word, and the beginning of words that are
-    wanted = ends.where("word IS NOT NULL").select("word").distinct()
+    # (short ones: nowhere else in their source)
+    wanted = ends.where("word IS NOT NULL").select(placed_word.alias("at"), "word").distinct()
     words = counts.where("what = 'w'").select(F.col("key").alias("word"), "n")
-    strange = wanted.join(words, "word", "left_anti")
+    known_words = words.where(F.length("word") > SHORT).select(F.col("word").alias("at")).unionByName(counts.where("what = 's'").select(F.col("key").alias("at")))
+    strange = wanted.join(known_words, "at", "left_anti")
     begins = words.where("n >= 2").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("word"))
-    broken = stash(strange.join(begins, "word", "left_semi").withColumn("broken", F.lit(True)), label + "-w")
+    broken = stash(strange.join(begins, "word", "left_semi").select("at", F.lit(True).alias("broken")), label + "-w")
     # texts without key or word take keys of their own, so that they don't meet in one task
     own_key = lambda c: F.coalesce(c, F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).alias(c)
-    spread = based.select("doc_id", "source", "digest", "kind", "ended", "full", "held", own_key("key"), own_key("word"))
-    seen = spread.join(bounded(told), ["kind", "key"], "left").join(bounded(broken), "word", "left")
+    spread = based.select("doc_id", "source", "digest", "kind", "ended", "full", "held", own_key("key"), own_key("at"))
+    seen = spread.join(bounded(told), ["kind", "key"], "left").join(bounded(broken), "at", "left")
     verdict = (
         F.when(F.col("kind").isin("cut", "open") | F.col("held"), True)
         .when(F.col("kind").isin("blank", "closed"), False)

@@ -170,3 +170,12 @@ def test_ascii_pairs_are_settled_like_the_others(spark):
     df = spark.createDataFrame(rows, "id bigint, t string, q string")
     want = {k for k, a, b in rows if a != b and L.one_form(a) == L.one_form(b) != ""}
     assert {r["id"] for r in L.alike_but_different(df, "id", "t", "q").collect()} == want
+
+
+def test_short_words_are_known_by_their_source(spark):
+    """A fragment that is a word of another source's language is broken off where its own source has no such word."""
+    english = "the panel of the harbour saw the deviation while the register and the residue of it amplify the measured gap between salinity and drought"
+    spanish = "El informe de la presa. El coste de la obra. "
+    rows = [(k, english + " during each hearing", "plain") for k in range(6)] + [(9, english + " de", "plain"), (10, english + " of it", "plain")] + [(20 + k, spanish * 3, "es") for k in range(4)]
+    got = {r["doc_id"] for r in T.judged(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "short").where("truncated").collect()}
+    assert got == {9}
