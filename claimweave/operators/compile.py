@@ -181,10 +181,10 @@ def cost_ledger(calls: DataFrame, label: str, tier: Column) -> DataFrame:
 def nearest(left: DataFrame, keys: list[str], right: DataFrame, floor: float) -> DataFrame:
     """(keys, id, sim): for each row of left (keys, tokens) the row of right (id, tokens) of the greatest Jaccard likeness, at
     least floor, then the least id. Tokens meet by equi-join and are counted; pairs without a shared one are never made."""
-    x = left.select(*keys, F.explode("tokens").alias("w"), F.size("tokens").alias("m"))
-    y = right.select("id", F.explode("tokens").alias("w"), F.size("tokens").alias("n"))
-    met = x.join(y, "w").groupBy(*keys, "id").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.first("n").alias("n"))
-    sims = met.select(*keys, "id", F.round(F.col("k") / (F.col("m") + F.col("n") - F.col("k")), 9).alias("sim")).where(F.col("sim") >= floor)
+    x = left.select(*keys, F.explode("tokens").alias("__w"), F.size("tokens").alias("__m"))
+    y = right.select("id", F.explode("tokens").alias("__w"), F.size("tokens").alias("__n"))
+    met = x.join(y, "__w").groupBy(*keys, "id").agg(F.count("*").alias("__k"), F.first("__m").alias("__m"), F.first("__n").alias("__n"))
+    sims = met.select(*keys, "id", F.round(F.col("__k") / (F.col("__m") + F.col("__n") - F.col("__k")), 9).alias("sim")).where(F.col("sim") >= floor)
     best = sims.groupBy(*keys).agg(F.min(F.struct((-F.col("sim")).alias("s"), "id")).alias("x"))
     return best.select(*keys, "x.id", (-F.col("x.s")).alias("sim"))
 
