@@ -265,6 +265,21 @@ def test_covered_is_existence(spark):
     assert covered(x.limit(0), y, 0.5).count() == 0
 
 
+def test_covered_rows_settle_frequent_tokens_in_arrays(spark, monkeypatch):
+    """Sets that all share frequent tokens: no pair that only meets becomes a row of a table, whatever the blocks."""
+    from claimweave.operators import similarity as M
+
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(M, "_met", lambda *_: pytest.fail("pairs that meet were made rows"))
+    draw = lambda n, low, high: [(k, [f"w{x}" for x in rng.choice(60, int(rng.integers(low, high)), False)]) for k in range(n)]
+    left, right = draw(300, 5, 40), draw(200, 2, 12)
+    want = {a for a, p in left for _, q in right if len(set(p) & set(q)) >= 0.28 * len(set(p) | set(q)) - 1e-9}
+    assert 0 < len(want) < 300
+    x, y = (spark.createDataFrame(r, "id long, tokens array<string>") for r in (left, right))
+    for blocks in ((1 << 17, 700_000), (70, 60)):
+        assert {r["a"] for r in M.covered(x, y, 0.28, blocks=blocks).collect()} == want
+
+
 @pytest.mark.parametrize("first_match", [True, False])
 def test_seed_clusters_equal_the_scan(spark, first_match):
     rng = np.random.default_rng(4)
