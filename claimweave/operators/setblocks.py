@@ -116,3 +116,127 @@ def covered_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, n
                 left_over = ~now & ~hit[cp]
                 cp, ce = cp[left_over], ce[left_over]
     return hit
+
+
+#: A token that so few sets of two blocks have is looked up by itself, a more frequent one together with a second.
+RARE = 128
+
+
+def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], need, least, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left and of right, (values, starts) of non-empty sets, that share at least need(m, n) values for their sizes m
+    and n, and how many they share; exact. least(n): the smallest size that a set of n can match. same: right is left, and a row meets later ones only.
+
+    Two sets that share k values have the first one, by the frequency in both blocks, among the n - k + 1 rarest of each, and
+    the second one among the n - k + 2 rarest. Sets meet under the first where it is rare and else under both, which few
+    sets have in common however frequent each of the two is.
+    """
+    (lt, ls), (rt, rs) = left, right
+    sizes, starts = (np.diff(ls), np.diff(rs)), (ls[:-1], rs[:-1])
+    if not len(sizes[0]) or not len(sizes[1]):
+        return (np.zeros(0, np.int64),) * 3
+    names = np.unique(np.concatenate([lt, rt]))
+    v = len(names)
+    values = [np.searchsorted(names, t).astype(np.int32) for t in (lt, rt)]
+    df = sum(np.bincount(x, minlength=v) for x in values)
+    rank = np.empty(v, np.int32)
+    rank[np.argsort(df, kind="stable")] = np.arange(v, dtype=np.int32)
+    df = np.sort(df)
+    of = [np.repeat(np.arange(len(n), dtype=np.int32), n) for n in sizes]
+    values = [rank[x][np.lexsort((rank[x], o))] for x, o in zip(values, of)]
+    place = [(np.arange(len(x)) - np.repeat(s, n)).astype(np.int32) for x, s, n in zip(values, starts, sizes)]
+    bits = [any_bits(lt, ls), any_bits(rt, rs)]
+    known = np.repeat(np.arange(len(sizes[0])), sizes[0]) * v + values[0]  # sorted, as values are within each row
+    found: list[np.ndarray] = []
+    common: list[np.ndarray] = []
+
+    def meet(kx: np.ndarray, rx: np.ndarray, ky: np.ndarray, ry: np.ndarray) -> None:
+        """Rows under equal keys, ky sorted: by the sketches, then by counting."""
+        a = np.searchsorted(ky, kx, "left")
+        many = np.searchsorted(ky, kx, "right") - a
+        at = np.flatnonzero(many)
+        total = np.cumsum(many[at])
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CHUNK)))
+            part, i = at[i:j], j
+            p, q = np.repeat(rx[part], many[part]), ry[runs(a[part], many[part])]
+            if same:
+                ok = p < q
+                p, q = p[ok], q[ok]
+            alone = np.zeros(len(p), np.int64)
+            for w in range(SKETCH):
+                alone += np.bitwise_count(bits[0][p, w] & ~bits[1][q, w])
+            m, n = sizes[0][p], sizes[1][q]
+            k = need(m, n)
+            ok = np.flatnonzero((alone <= m - k) & (k <= np.minimum(m, n)))
+            pair = np.unique(p[ok].astype(np.int64) * len(sizes[1]) + q[ok])
+            for lo in range(0, len(pair), CHUNK // 4):
+                p, q = np.divmod(pair[lo : lo + CHUNK // 4], len(sizes[1]))
+                n = sizes[1][q]
+                key = np.repeat(p * v, n) + values[1][runs(starts[1][q], n)]
+                where = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                shared = np.add.reduceat((known[where] == key).astype(np.int64), np.cumsum(n) - n)
+                good = shared >= need(sizes[0][p], n)
+                found.append(pair[lo : lo + CHUNK // 4][good])
+                common.append(shared[good])
+
+    classes = [np.floor(np.log(n) / math.log(CLASS) + 1e-9).astype(np.int64) for n in sizes]
+    for cx in np.unique(classes[0]):
+        for cy in np.unique(classes[1]):
+            own = classes[0] == cx, classes[1] == cy
+            low = [sizes[i][own[i]].min() for i in (0, 1)]
+            high = [sizes[i][own[i]].max() for i in (0, 1)]
+            if high[0] < least(low[1]) or high[1] < least(low[0]):
+                continue
+            # the fewest values that a set has to share with any of the other class
+            k = [need(sizes[i], np.maximum(low[1 - i], least(sizes[i]))) for i in (0, 1)]
+            single = min(k[i][own[i]].min() for i in (0, 1)) < 2
+            entry = []
+            for i in (0, 1):
+                e = np.flatnonzero(own[i][of[i]] & (place[i] <= (sizes[i] - k[i])[of[i]]) & (df[values[i]] > 1))
+                entry.append(e[np.argsort(values[i][e], kind="stable")])
+            here = [np.bincount(values[i][entry[i]], minlength=v) > 0 for i in (0, 1)]
+            entry = [e[here[1 - i][values[i][e]]] for i, e in enumerate(entry)]
+            rare = [np.ones(len(e), bool) if single else df[values[i][e]] <= RARE for i, e in enumerate(entry)]
+            x, y = (e[r] for e, r in zip(entry, rare))
+            meet(values[0][x], of[0][x], values[1][y], of[1][y])
+            x, y = (e[~r] for e, r in zip(entry, rare))
+            if not len(x) or not len(y):
+                continue
+            # the values that may come second, for the entries of some first values at a time
+            after = [(sizes[i] - k[i])[of[i][e]] + 1 - place[i][e] for i, e in ((0, x), (1, y))]
+            work = np.bincount(values[0][x], after[0], v) + np.bincount(values[1][y], after[1], v)
+            bound = np.cumsum(work) // (2 * CHUNK)
+            cut = np.flatnonzero(np.concatenate([[True], bound[1:] != bound[:-1]]))
+            for lo, hi in zip(cut, [*cut[1:], v]):
+                keys = []
+                for i, e, n in ((0, x, after[0]), (1, y, after[1])):
+                    s = slice(*np.searchsorted(values[i][e], [lo, hi]))
+                    e, n = e[s], n[s]
+                    second = runs(e + 1, n)
+                    keys.append((np.repeat(values[i][e].astype(np.int64), n) * v + values[i][second], np.repeat(of[i][e], n)))
+                (kx, rx), (ky, ry) = keys
+                order = np.argsort(ky, kind="stable")
+                meet(kx, rx, ky[order], ry[order])
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    pair, first = np.unique(np.concatenate(found), return_index=True)
+    return *np.divmod(pair, len(sizes[1])), np.concatenate(common)[first]
+
+
+def disjoint(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sets p[i] of left and q[i] of right, (values, starts), have nothing in common."""
+    (lt, ls), (rt, rs) = left, right
+    out = np.ones(len(p), bool)
+    if not len(lt) or not len(rt):
+        return out
+    names = np.unique(np.concatenate([lt, rt]))
+    n = np.diff(rs)
+    known = np.sort(np.repeat(np.arange(len(ls) - 1), np.diff(ls)) * len(names) + np.searchsorted(names, lt))
+    values = np.searchsorted(names, rt)
+    for lo in range(0, len(p), CHUNK):
+        x, y = p[lo : lo + CHUNK], q[lo : lo + CHUNK]
+        key = np.repeat(x * len(names), n[y]) + values[runs(rs[y], n[y])]
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        out[np.repeat(np.arange(lo, lo + len(x)), n[y])[known[at] == key]] = False
+    return out

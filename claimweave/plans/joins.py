@@ -47,14 +47,14 @@ def _band(low: float, high: float, side: str) -> str:
 def cross_paper_band(t: Tables, nodes, low: float, high: float, label: str):
     """(a, b, sim), a < b: records of one type and of different sources whose word sets have a cosine within the band.
 
-    Words carry the type of their record, so that only records of one type meet. The source flags are looked up for what is
-    within the band.
+    Words carry the type of their record, so that only records of one type meet. Records carry their source keys, of which
+    there are no more than sources, so that pairs with a common one are dropped where they are found.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{4,})"), 1))
-    rows = M.token_rows(nodes.where("content IS NOT NULL"), "id", F.transform(words, lambda w: F.concat("type", F.lit(":"), w)))
-    rows = stash(rows.distinct(), label + "-t")
-    near = stash(M.set_pairs(rows, rows, low, cosine=True, same=True).select("a", "b", F.round("likeness", 9).alias("sim")).where(F.col("sim").between(low, high)), label + "-p")
-    return Q.cross_source_pairs(near, t.attestations, t.nd("source_author")).where("cross_paper").select("a", "b", F.round("sim", 6).alias("sim"))
+    rows = nodes.where("content IS NOT NULL AND id IS NOT NULL AND type IS NOT NULL").select("id", F.col("type").alias("kind"), F.transform(words, lambda w: F.concat("type", F.lit(":"), w)).alias("tokens")).distinct()
+    sources = t.ak.where("sk IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.collect_set("sk").alias("tags"))
+    near = M.like_pairs(rows.join(sources, "id"), low, cosine=True, apart=True, label=label)
+    return near.select("a", "b", F.round("likeness", 9).alias("sim")).where(F.col("sim").between(low, high)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("J01_merge_band", _band(C.DEFAULT.merge_low, C.DEFAULT.merge_high, "true"))

@@ -280,6 +280,36 @@ def test_covered_rows_settle_frequent_tokens_in_arrays(spark, monkeypatch):
         assert {r["a"] for r in M.covered(x, y, 0.28, blocks=blocks).collect()} == want
 
 
+@pytest.mark.parametrize("rare", [0, 128])
+def test_like_pairs_of_frequent_tokens(spark, rare):
+    """Sets of 40 tokens in all, against brute force: single and double keys, several blocks, kinds and tags."""
+    from claimweave.operators import setblocks as B
+    from claimweave.operators import similarity as M
+
+    rng = np.random.default_rng(9)
+    sets = [(f"n{k:03d}", "xy"[k % 2], [f"{'xy'[k % 2]}{x}" for x in rng.choice(40, int(rng.integers(1, 25)), False)], [f"s{x}" for x in rng.choice(9, int(rng.integers(1, 3)), False)]) for k in range(260)]
+    df = spark.createDataFrame(sets, "id string, kind string, tokens array<string>, tags array<string>")
+    old, B.RARE = B.RARE, rare
+    try:
+        p = np.concatenate([[0], np.cumsum([len(s[2]) for s in sets])])
+        flat = np.array([hash(w) for s in sets for w in s[2]])
+        t = 0.5
+        need = lambda m, n: np.ceil(t * np.sqrt(m * n) - 1e-9).astype(np.int64)
+        a, b, _ = B.like_rows((flat, p), (flat, p), need, lambda n: np.maximum(1, np.ceil(t * t * n)), same=True)
+    finally:
+        B.RARE = old
+    near = {(x[0], y[0]) for i, x in enumerate(sets) for y in sets[i + 1 :] if len(set(x[2]) & set(y[2])) >= t * (len(x[2]) * len(y[2])) ** 0.5 - 1e-9}
+    assert {(sets[i][0], sets[j][0]) for i, j in zip(a, b)} == near
+    tags = {s[0]: set(s[3]) for s in sets}
+    for block in (1 << 17, 20):
+        got = M.like_pairs(df, t, cosine=True, block=block).collect()
+        assert len(got) == len(near) and {(r["a"], r["b"]) for r in got} == near
+        got = M.like_pairs(df, t, cosine=True, apart=True, block=block).collect()
+        assert {(r["a"], r["b"]) for r in got} == {p for p in near if not tags[p[0]] & tags[p[1]]}
+    jac = {(x[0], y[0]) for i, x in enumerate(sets) for y in sets[i + 1 :] if len(set(x[2]) & set(y[2])) >= 0.4 * len(set(x[2]) | set(y[2])) - 1e-9}
+    assert {(r["a"], r["b"]) for r in M.like_pairs(df, 0.4, block=30).collect()} == jac
+
+
 @pytest.mark.parametrize("first_match", [True, False])
 def test_seed_clusters_equal_the_scan(spark, first_match):
     rng = np.random.default_rng(4)
