@@ -13,16 +13,6 @@ from claimweave.operators.similarity import vector_pairs
 from claimweave.runtime import ship, stash
 
 
-def _by_component(items: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    comp = components(edges, label=label)
-    return items.join(comp, "id", "left").select("id", "ord", "v", F.coalesce("component", "id").alias("component"))
-
-
-def _vectors(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    frame = frame.sort_values(["ord", "id"], kind="stable").reset_index(drop=True)
-    return frame, np.array(frame["v"].tolist(), dtype=float)
-
-
 def seed_clusters(items: DataFrame, threshold: float, first_match: bool = True, label: str = "seed", recall: float | None = None, rounds: int = 200) -> DataFrame:
     """(id, seed): items in order of (ord, id); an item not yet taken opens a cluster and takes all later ones at or above
     the threshold to the seed. With first_match False each item joins its most similar seed instead (leader clustering).
@@ -59,46 +49,71 @@ def seed_clusters(items: DataFrame, threshold: float, first_match: bool = True,
     raise RuntimeError(f"seeds did not settle in {rounds} rounds")
 
 
+def joined(places: list[np.ndarray], values: list[np.ndarray], dims: int, threshold: float) -> np.ndarray:
+    """For each vector in order, given by the places and values that are not zero, the first member of the cluster it joins: the
+    one with the most similar normalised sum at or above the threshold, of equals the earliest, or one of its own.
+
+    Normalised sums are held by place, so that a vector is compared with all clusters over its own places only.
+    """
+    n = len(places)
+    unit, total = np.zeros((dims, 64)), []
+    first, out = [], np.empty(n, np.int64)
+    for i, (p, x) in enumerate(zip(places, values)):
+        c = len(first)
+        sims = np.round(x @ unit[p, :c], 12) if c else np.zeros(0)
+        k = int(np.argmax(sims)) if c else -1
+        if k < 0 or sims[k] < threshold:
+            k = c
+            first.append(i)
+            total.append({})
+            if c == unit.shape[1]:
+                unit = np.concatenate([unit, np.zeros((dims, 64 + c // 4))], axis=1)
+        own = total[k]
+        for q, y in zip(p.tolist(), x.tolist()):
+            own[q] = own.get(q, 0.0) + y
+        v = np.fromiter(own.values(), float, len(own))
+        unit[np.fromiter(own, np.int64, len(own)), k] = v / (float(np.linalg.norm(v)) or 1.0)
+        out[i] = first[k]
+    return out
+
+
 def centroid_clusters(items: DataFrame, threshold: float, label: str = "centroid") -> DataFrame:
     """(id, cluster): each item, in order, joins the cluster with the most similar normalised mean at or above the threshold,
-    or opens one; cluster is its first item. Blocked by components at threshold squared, which no such join can cross."""
+    or opens one; cluster is its first item. Sequential by definition, so one task has the places that are not zero of all."""
     ship(items.sparkSession)
-    edges = vector_pairs(items.where("v IS NOT NULL"), "id", "v", threshold * threshold - 1e-9).select("a", "b")
-    items = items.where("v IS NOT NULL")
+    have = items.where("v IS NOT NULL")
+    kept = F.filter(F.transform("v", lambda x, p: F.struct(p.alias("p"), x.cast("double").alias("x"))), lambda e: e["x"] != 0)
+    rows = have.select("id", "ord", F.size("v").alias("dims"), kept.alias("e")).select("id", "ord", "dims", F.col("e.p").alias("p"), F.col("e.x").alias("x"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, v = _vectors(frame)
-        sums: list[np.ndarray] = []
-        first: list[int] = []
-        out = []
-        for i in range(len(frame)):
-            sims = [float(s @ v[i]) / (float(np.linalg.norm(s)) or 1.0) for s in sums]
-            k = int(np.argmax(sims)) if sims else -1
-            if k >= 0 and sims[k] >= threshold:
-                sums[k] = sums[k] + v[i]
-            else:
-                k = len(sums)
-                sums.append(v[i].copy())
-                first.append(i)
-            out.append(k)
-        return pd.DataFrame({"id": frame["id"], "cluster": frame["id"].to_numpy()[[first[k] for k in out]]})
-
-    return _by_component(items, edges, label).groupBy("component").applyInPandas(run, "id bigint, cluster bigint")
+        frame = frame.sort_values(["ord", "id"], kind="stable").reset_index(drop=True)
+        ids = frame["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "cluster": ids[joined(frame["p"].tolist(), frame["x"].tolist(), int(frame["dims"].max()), threshold)]})
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "id bigint, cluster bigint")
 
 
 def fused(total: np.ndarray, threshold: float) -> np.ndarray:
     """For each row of total the row it ends in: the closest pair of normalised rows is fused while it is at or above the
-    threshold, of equals the earliest. Each row keeps its best later row only, so that memory grows with the rows alone."""
+    threshold, of equals (to twelve digits) the earliest. Each row keeps its best later row only, so that memory grows with the
+    rows alone, and is compared with others over the places that it has."""
     k = len(total)
     total, goes = total.copy(), np.arange(k)
     norm = np.linalg.norm(total, axis=1)
-    unit = total / np.where(norm > 0, norm, 1.0)[:, None]
+    unit = np.ascontiguousarray((total / np.where(norm > 0, norm, 1.0)[:, None]).T)  # by place
     alive, best, to = np.ones(k, dtype=bool), np.full(k, -np.inf), np.zeros(k, dtype=int)
 
+    def near(r: int, part: slice) -> np.ndarray:
+        p = np.flatnonzero(unit[:, r])
+        out = np.zeros(len(range(*part.indices(k))))
+        for q in p.tolist():
+            out += unit[q, r] * unit[q, part]
+        return np.round(out, 12)
+
     def seek(r: int) -> None:
         best[r] = -np.inf
         if r + 1 < k:
-            sims = np.where(alive[r + 1 :], unit[r + 1 :] @ unit[r], -np.inf)
+            sims = np.where(alive[r + 1 :], near(r, slice(r + 1, k)), -np.inf)
             m = int(np.argmax(sims))
             best[r], to[r] = sims[m], r + 1 + m
 
@@ -110,10 +125,10 @@ def fused(total: np.ndarray, threshold: float) -> np.ndarray:
             break
         j = int(to[i])
         total[i] += total[j]
-        unit[i] = total[i] / (np.linalg.norm(total[i]) or 1.0)
+        unit[:, i] = total[i] / (np.linalg.norm(total[i]) or 1.0)
         alive[j], best[j] = False, -np.inf
         goes[goes == j] = i
-        sims = unit[:i] @ unit[i]
+        sims = near(i, slice(0, i))
         nearer = np.flatnonzero(alive[:i] & ((sims > best[:i]) | ((sims == best[:i]) & (i < to[:i]))))
         stale = alive & ((to == i) | (to == j)) & np.isfinite(best)
         best[nearer], to[nearer] = sims[nearer], i

@@ -116,8 +116,9 @@ def clustered_questions(t: Tables, label: str):
     q = stash(question_vectors(t), label + "-q")
     have = q.where("v IS NOT NULL")
     first = stash(clustering.centroid_clusters(have.select("id", "ord", "v"), C.DEFAULT.proposition, label), label + "-c")
-    total = first.join(have, "id").select("cluster", F.posexplode("v").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x"))
-    total = stash(total.groupBy("cluster").agg(F.expr("transform(array_sort(collect_list(struct(pos, x))), p -> p.x)").alias("total")), label + "-t")
+    parts = first.join(have, "id").select("cluster", F.size("v").alias("dims"), F.posexplode("v").alias("pos", "x")).where("x <> 0").groupBy("cluster", "pos").agg(F.sum("x").alias("x"), F.max("dims").alias("dims"))
+    total = parts.groupBy("cluster").agg(F.expr("transform(sequence(0, max(dims) - 1), p -> coalesce(try_element_at(map_from_entries(collect_list(struct(pos, x))), p), 0D))").alias("total"))
+    total = stash(total, label + "-t")
     fused = clustering.merged_centroids(total, C.DEFAULT.proposition)
     named = first.join(fused, "cluster").join(have.select(F.col("id").alias("merged"), F.col("q").alias("name")), "merged")
     return q.join(named.select("id", "name"), "id", "left").select("q", F.coalesce("name", "q").alias("cluster")), total
