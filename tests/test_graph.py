@@ -125,6 +125,28 @@ def test_fused_equals_the_plain_loop():
         assert dict(enumerate(U.fused(total, t).tolist())) == want
 
 
+def test_joined_equals_the_plain_loop():
+    """Clusters by moving centroids over places only, against whole vectors."""
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random((300, 20)) < 0.2, rng.integers(1, 3, (300, 20)), 0).astype(float)
+    v = v[v.any(axis=1)]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for t in (0.5, 0.78):
+        sums, first, want = [], [], []
+        for i in range(len(v)):
+            sims = [round(float(s @ v[i]) / float(np.linalg.norm(s)), 12) for s in sums]
+            k = int(np.argmax(sims)) if sims else -1
+            if k >= 0 and sims[k] >= t:
+                sums[k] = sums[k] + v[i]
+            else:
+                k = len(sums)
+                sums.append(v[i])
+                first.append(i)
+            want.append(first[k])
+        places = [np.flatnonzero(x) for x in v]
+        assert U.joined(places, [x[p] for x, p in zip(v, places)], 20, t).tolist() == want
+
+
 def test_merged_centroids_leave_no_close_pair(spark):
     c = spark.createDataFrame([(k, circle(d)) for k, d in enumerate([0, 20, 90, 100, 200])], "cluster long, total array<double>")
     got = dict(U.merged_centroids(c, 0.9).collect())
@@ -143,6 +165,16 @@ def test_vector_pairs_in_blocks(spark):
     assert vector_pairs(items(spark, [None]), "id", "v", 0.1).count() == 0
 
 
+def test_vector_pairs_at_the_threshold(spark):
+    """Vectors whose products lie exactly at the threshold come out, whatever the last binary digit, in any number of blocks."""
+    rng = np.random.default_rng(6)
+    have = np.array([rng.permutation(np.arange(18) < 12) for _ in range(300)])
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if (have[a] & have[b]).sum() >= 9}
+    df = spark.createDataFrame([(k, [float(y) for y in x / np.sqrt(12)]) for k, x in enumerate(have)], "id long, v array<double>")
+    for block in (None, 90):
+        assert {(r["a"], r["b"]) for r in vector_pairs(df, "id", "v", 0.75, block=block).collect()} == want
+
+
 def test_jaccard_pairs_are_exact(spark):
     random.seed(7)
     sets = [(k, random.sample("abcdefghijklmnop", random.randint(1, 9))) for k in range(60)]
