@@ -9,8 +9,12 @@ import pyarrow as pa
 
 #: Words of 64 bits in a sketch of the tokens of a set.
 SKETCH = 4
+#: Words of 64 bits in the sketch that what passes the first has to pass from both sides.
+WIDE = 8
 #: Candidates held at once.
 CHUNK = 1 << 20
+#: The same in like_rows.
+MET = 1 << 18
 #: Ratio of the size classes.
 CLASS = 1.25
 
@@ -118,8 +122,17 @@ def covered_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, n
     return hit
 
 
+def wide_bits(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """any_bits of WIDE words, at places that have nothing to do with those of any_bits."""
+    n = len(starts) - 1
+    place = (mix64(mix64(tokens)) % np.uint64(64 * WIDE)).astype(np.int64)
+    out = np.zeros(n * WIDE, np.uint64)
+    np.bitwise_or.at(out, np.repeat(np.arange(n) * WIDE, np.diff(starts)) + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return out.reshape(n, WIDE)
+
+
 #: A token that so few sets of two blocks have is looked up by itself, a more frequent one together with a second.
-RARE = 128
+RARE = 512
 
 
 def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], need, least, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,19 +158,20 @@ def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.n
     values = [rank[x][np.lexsort((rank[x], o))] for x, o in zip(values, of)]
     place = [(np.arange(len(x)) - np.repeat(s, n)).astype(np.int32) for x, s, n in zip(values, starts, sizes)]
     bits = [any_bits(lt, ls), any_bits(rt, rs)]
+    wide = [wide_bits(lt, ls), wide_bits(rt, rs)]
     known = np.repeat(np.arange(len(sizes[0])), sizes[0]) * v + values[0]  # sorted, as values are within each row
     found: list[np.ndarray] = []
     common: list[np.ndarray] = []
 
     def meet(kx: np.ndarray, rx: np.ndarray, ky: np.ndarray, ry: np.ndarray) -> None:
-        """Rows under equal keys, ky sorted: by the sketches, then by counting."""
+        """Rows under equal keys, ky sorted: by the sketches, the wide ones once for each pair, then by counting."""
         a = np.searchsorted(ky, kx, "left")
         many = np.searchsorted(ky, kx, "right") - a
         at = np.flatnonzero(many)
         total = np.cumsum(many[at])
         i = 0
         while i < len(at):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CHUNK)))
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + MET)))
             part, i = at[i:j], j
             p, q = np.repeat(rx[part], many[part]), ry[runs(a[part], many[part])]
             if same:
@@ -170,14 +184,18 @@ def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.n
             k = need(m, n)
             ok = np.flatnonzero((alone <= m - k) & (k <= np.minimum(m, n)))
             pair = np.unique(p[ok].astype(np.int64) * len(sizes[1]) + q[ok])
-            for lo in range(0, len(pair), CHUNK // 4):
-                p, q = np.divmod(pair[lo : lo + CHUNK // 4], len(sizes[1]))
+            p, q = np.divmod(pair, len(sizes[1]))
+            x, y, k = wide[0][p], wide[1][q], need(sizes[0][p], sizes[1][q])
+            spare = [n - k - np.bitwise_count(b).sum(1, dtype=np.int64) for n, b in ((sizes[0][p], x & ~y), (sizes[1][q], y & ~x))]
+            pair = pair[(spare[0] >= 0) & (spare[1] >= 0)]
+            for lo in range(0, len(pair), MET // 4):
+                p, q = np.divmod(pair[lo : lo + MET // 4], len(sizes[1]))
                 n = sizes[1][q]
                 key = np.repeat(p * v, n) + values[1][runs(starts[1][q], n)]
                 where = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 shared = np.add.reduceat((known[where] == key).astype(np.int64), np.cumsum(n) - n)
                 good = shared >= need(sizes[0][p], n)
-                found.append(pair[lo : lo + CHUNK // 4][good])
+                found.append(pair[lo : lo + MET // 4][good])
                 common.append(shared[good])
 
     classes = [np.floor(np.log(n) / math.log(CLASS) + 1e-9).astype(np.int64) for n in sizes]

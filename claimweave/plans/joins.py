@@ -47,25 +47,26 @@ def _band(low: float, high: float, side: str) -> str:
 def cross_paper_band(t: Tables, nodes, low: float, high: float, label: str):
     """(a, b, sim), a < b: records of one type and of different sources whose word sets have a cosine within the band.
 
-    Words carry the type of their record, so that only records of one type meet. Records carry their source keys, of which
+    nodes are deliveries, which become hashes of words before they are sent, once, to where both an id's copies and its sources
+    are. Words carry the type of their record, so that only records of one type meet. Records carry their source keys, of which
     there are no more than sources, so that pairs with a common one are dropped where they are found.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{4,})"), 1))
-    rows = nodes.where("content IS NOT NULL AND id IS NOT NULL AND type IS NOT NULL").select("id", F.col("type").alias("kind"), F.transform(words, lambda w: F.concat("type", F.lit(":"), w)).alias("tokens")).distinct()
-    sources = t.ak.where("sk IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.collect_set("sk").alias("tags"))
+    rows = nodes.where("content IS NOT NULL AND id IS NOT NULL AND type IS NOT NULL").select("id", F.col("type").alias("kind"), F.transform(words, lambda w: F.xxhash64("type", w)).alias("tokens")).repartition("id").distinct()
+    sources = t.ak.where("sk IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.collect_set(F.xxhash64("sk")).alias("tags"))
     near = M.like_pairs(rows.join(sources, "id"), low, cosine=True, apart=True, label=label)
     return near.select("a", "b", F.round("likeness", 9).alias("sim")).where(F.col("sim").between(low, high)).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("J01_merge_band", _band(C.DEFAULT.merge_low, C.DEFAULT.merge_high, "true"))
 def j01(t: Tables):
-    return cross_paper_band(t, t.nd("type", "content"), C.DEFAULT.merge_low, C.DEFAULT.merge_high, "j01")
+    return cross_paper_band(t, t.nodes, C.DEFAULT.merge_low, C.DEFAULT.merge_high, "j01")
 
 
 @query("J02_contradiction_band", _band(C.DEFAULT.contradiction_low, C.DEFAULT.merge_high, _SIDE))
 def j02(t: Tables):
     """Rhetorical moves and what is not the author's own are left out before the pairs are made."""
-    n = t.nd("type", "content", "claim_type", "attributed_to").where(~filters.rhetorical() & (F.coalesce(F.nullif("attributed_to", F.lit("")), F.lit("source_author")) == "source_author"))
+    n = t.nodes.where(~filters.rhetorical() & (F.coalesce(F.nullif("attributed_to", F.lit("")), F.lit("source_author")) == "source_author"))
     return cross_paper_band(t, n, C.DEFAULT.contradiction_low, C.DEFAULT.merge_high, "j02")
 
 

@@ -342,6 +342,24 @@ def test_like_pairs_of_frequent_tokens(spark, rare):
     assert {(r["a"], r["b"]) for r in M.like_pairs(df, 0.4, block=30).collect()} == jac
 
 
+def test_like_pairs_write_each_row_once(spark, monkeypatch):
+    """However many blocks there are: one written table with a row per record, and no copy of a block is sent to what it meets."""
+    from claimweave.operators import similarity as M
+
+    rng = np.random.default_rng(4)
+    sets = [(f"n{k:03d}", "xyz"[k % 3], [f"{'xyz'[k % 3]}{x}" for x in rng.choice(30, int(rng.integers(1, 12)), False)]) for k in range(300)]
+    written, stash = [], M.stash
+    monkeypatch.setattr(M, "stash", lambda *a: written.append(stash(*a)) or written[-1])
+    df = spark.createDataFrame(sets, "id string, kind string, tokens array<string>").repartition(7)
+    pairs = M.like_pairs(df, 0.5, block=9)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert [w.count() for w in written] == [300]
+    want = {(x[0], y[0]) for i, x in enumerate(sets) for y in sets[i + 1 :] if len(set(x[2]) & set(y[2])) >= 0.5 * len(set(x[2]) | set(y[2])) - 1e-9}
+    got = pairs.collect()
+    assert len(got) == len(want) > 0 and {(r["a"], r["b"]) for r in got} == want
+
+
 @pytest.mark.parametrize("first_match", [True, False])
 def test_seed_clusters_equal_the_scan(spark, first_match):
     rng = np.random.default_rng(4)
