@@ -131,8 +131,8 @@ def wide_bits(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.reshape(n, WIDE)
 
 
-#: A token that so few sets of two blocks have is looked up by itself, a more frequent one together with a second.
-RARE = 512
+#: A token that so few sets of two blocks have, or one set in FEW, is looked up by itself, a more frequent one together with a second.
+RARE, FEW = 128, 350
 
 
 def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], need, least, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +154,7 @@ def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.n
     rank = np.empty(v, np.int32)
     rank[np.argsort(df, kind="stable")] = np.arange(v, dtype=np.int32)
     df = np.sort(df)
+    bar = max(RARE, (len(sizes[0]) + len(sizes[1])) // FEW)
     of = [np.repeat(np.arange(len(n), dtype=np.int32), n) for n in sizes]
     values = [rank[x][np.lexsort((rank[x], o))] for x, o in zip(values, of)]
     place = [(np.arange(len(x)) - np.repeat(s, n)).astype(np.int32) for x, s, n in zip(values, starts, sizes)]
@@ -215,7 +216,7 @@ def like_rows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.n
                 entry.append(e[np.argsort(values[i][e], kind="stable")])
             here = [np.bincount(values[i][entry[i]], minlength=v) > 0 for i in (0, 1)]
             entry = [e[here[1 - i][values[i][e]]] for i, e in enumerate(entry)]
-            rare = [np.ones(len(e), bool) if single else df[values[i][e]] <= RARE for i, e in enumerate(entry)]
+            rare = [np.ones(len(e), bool) if single else df[values[i][e]] <= bar for i, e in enumerate(entry)]
             x, y = (e[r] for e, r in zip(entry, rare))
             meet(values[0][x], of[0][x], values[1][y], of[1][y])
             x, y = (e[~r] for e, r in zip(entry, rare))
